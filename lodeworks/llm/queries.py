@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup, packing
+from . import bpe, langid, licenses, neardup, packing
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,9 +24,17 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scans(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_neardup, op9_bpe)}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op4_neardup, op8_licenses, op9_bpe, op10_langid)}
 ORACLES: dict[str, str] = {}
