@@ -1,3 +1,53 @@
+"""From raw documents to training sequences: language, near duplicates, personal data, packing.
+
+Each stage is one operator over all rows that the stage before kept; the result is written as
+Parquet to the shared folder and read again, so that a lost executor costs one stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeworks.llm import langid, neardup, packing, pii
+from lodeworks.llm.common import staged, table
+from lodeworks.llm.queries import tokenizer_path
+
+
+def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that have a language: those whose text is null or has no letter go."""
+    return langid.accepted(docs)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest doc_id."""
+    return neardup.deduplicated(docs)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data masked in their texts; n_chars follows."""
+    return pii.masked(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def in_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training sequences."""
+    return packing.packed(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language", with_language),
+    ("near duplicates", without_copies),
+    ("personal data", without_personal_data),
+    ("packing", in_sequences),
+]
+
+#: SQL has no way to say these stages; tests hold them against brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, from the table of documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

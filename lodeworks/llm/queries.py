@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, htmltext, langid, licenses, neardup, packing, pii, topk, winnowing
+from . import bpe, htmltext, langid, licenses, neardup, packing, pii, secretscan, topk, winnowing
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.searched(table(spark, sf_dir, "embeddings"))
 
 
+def op2_secretscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.reported(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -52,7 +56,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op3_packing, op4_neardup, op5_pii, op6_winnowing, op7_htmltext, op8_licenses, op9_bpe, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_secretscan, op3_packing, op4_neardup, op5_pii, op6_winnowing, op7_htmltext, op8_licenses, op9_bpe, op10_langid)}
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
