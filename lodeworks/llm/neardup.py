@@ -7,11 +7,14 @@ table: its key combines both collections' keys. So 16 collections of two give 12
 four for 32 minhashes instead of 480; a pair of similarity 0.75 that shares no table has a
 chance of 4 in 100,000.
 
-Candidates are verified on full sets. The work stays linear in a table's buckets: first every
-member is held against the bucket's leader, what is linked is joined into components, and then
-only members outside a bucket's largest component are held against the rest. Buckets in which
-very many stay apart (passages that unrelated documents share) go another exact way: documents
-of the asked similarity share one of their rarest shingles.
+Candidates are verified on full sets. How many of its shingles a class shares with any other
+candidate bounds every intersection it can have, which excludes most pairs without a look at them.
+Every member of a table's buckets is held against the bucket's leader first, the one that shares
+most (of edited copies, the text that they were made from), and what is linked is joined into
+components. Two members of a bucket have its leader in common, so what may still be linked are
+members of one leader's group in different components: those outside the group's largest component
+are held against all of the group, in blocks of bounded size within tasks, which pass on nothing
+but links.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is linked
 with nothing; a null doc_id takes no part and is kept, with a null component; repeated rows are
@@ -33,8 +36,8 @@ COLLECTIONS = 16
 #: Of the 32 minhashes, each cut to a byte, so many must agree before full sets are compared;
 #: a pair of similarity 0.75 falls short with a chance of about 1 in 100,000.
 AGREEING = 13
-#: Members outside a bucket's largest component up to which its pairs are taken from the bucket itself.
-APART = 300
+#: Members of a group that are held against as many others at once.
+BLOCK = 128
 #: Ids up to which a list of them is broadcast (16 bytes each); longer ones are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text that are hashed at once.
@@ -192,12 +195,22 @@ def _agreeing(x: str, y: str) -> Column:
 
 
 def _plausible(percent: int) -> Column:
-    """What two sizes and signatures allow."""
-    return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (_agreeing("agree", "agree2") >= AGREEING)
+    """What two sizes, shared parts and signatures allow. An intersection is no larger than what either shares with
+    any candidate, and has to be percent / (100 + percent) of both sizes together."""
+    close = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    enough = (100 + percent) * F.least("shared", "shared2") >= percent * (F.col("n") + F.col("n2"))
+    return close & enough & (_agreeing("agree", "agree2") >= AGREEING)
+
+
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """(node, shared): how many of a class's shingles another class of ``sets`` has as well."""
+    items = sets.select("node", F.explode("shingles").alias("s"))
+    own = items.groupBy("s").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("own"))
+    return sets.select("node", F.size("shingles").alias("all")).join(own, "node", "left").select("node", (F.col("all") - F.coalesce("own", F.lit(0))).alias("shared"))
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(key, node, n, agree): the tables' entries, without keys that only one class has."""
+    """(key, node): the tables' entries, without keys that only one class has."""
     single = classes.select("node", F.posexplode("keys").alias("c", "key"))
     shared = single.groupBy("c", "key").agg(F.count("*").alias("k")).where("k > 1").drop("k")
     held = single.join(shared, ["c", "key"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("held"))  # 16 at most
@@ -205,22 +218,54 @@ def postings(classes: DataFrame) -> DataFrame:
         "flatten(transform(held, (x, i) -> transform(slice(held, i + 2, size(held)), y -> xxhash64(x.c, x.key, y.c, y.key))))"
     )
     entries = held.where("size(held) > 1").select("node", F.explode(tables).alias("key"))
-    often = entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    return entries.join(often, "key").join(classes.select("node", "n", "agree"), "node").select("key", "node", "n", "agree")
+    return _met(entries)
 
 
-def rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with different labels that share one of their rarest shingles: all that can have the asked
-    similarity, since of n shingles the n - ceil(n * percent / 100) + 1 rarest must meet the other's rarest."""
-    items = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    counts = items.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
-    ranked = items.join(counts, "s", "left").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "s"))).alias("o"))
-    first = F.expr(f"slice(o, 1, n - cast(ceil(n * {percent} / 100) as int) + 1)")
-    heads = ranked.select("node", F.explode(F.filter(first, lambda x: x["k"] > 1)["s"]).alias("s")).join(labels, "node")
-    apart = heads.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("s")
-    heads = heads.join(apart, "s")
-    a, b = heads.select("s", F.col("node").alias("a"), F.col("label").alias("la")), heads.select("s", F.col("node").alias("b"), F.col("label").alias("lb"))
-    return a.join(b, "s").where("a < b and la <> lb").select("a", "b").distinct()
+def _met(entries: DataFrame) -> DataFrame:
+    """The entries whose key more than one class has."""
+    often = entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    return entries.join(often, "key")
+
+
+def links_apart(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) between members of a group (leader, node, label) that have different labels."""
+    sizes = groups.groupBy("leader", "label").agg(F.count("*").alias("k"))
+    parts = sizes.groupBy("leader").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("all")).where(F.col("all") > F.col("most.k"))
+    parts = parts.select("leader", F.col("most.label").alias("most"), F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("most.k")) / BLOCK).alias("apart"))
+    rows = groups.join(parts, "leader").join(sets, "node")
+    own, other = F.pmod(F.xxhash64("node"), "blocks"), F.pmod(F.xxhash64("node", F.lit(1)), "apart")
+    every = rows.select("leader", "node", "label", "shingles", F.lit(False).alias("outside"), own.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("apart") - 1)).alias("j"))
+    outside = rows.where("label <> most").select("leader", "node", "label", "shingles", F.lit(True).alias("outside"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), other.alias("j"))
+
+    def met(table: pa.Table) -> pa.Table:
+        side = table["outside"].to_numpy(zero_copy_only=False)
+        node, label = table["node"].to_numpy(), table["label"].to_numpy()
+        held = table["shingles"].combine_chunks()
+        n = pa.compute.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = held.flatten().to_numpy()
+        distinct, at = np.unique(values, return_inverse=True)
+        row = np.repeat(np.arange(len(n)), n)
+        often = np.zeros((2, len(distinct)), bool)
+        often[side[row].astype(int), at] = True
+        both = often.all(axis=0)  # only what occurs on both sides can be shared
+        kept = both[at]
+        place = np.cumsum(both) - 1
+        found = np.zeros((side.sum(), (~side).sum()), np.float32)
+        line = np.where(side, np.cumsum(side) - 1, np.cumsum(~side) - 1)
+        row, column = row[kept], place[at[kept]]
+        for lo in range(0, int(both.sum()), 8192):
+            now = (column >= lo) & (column < lo + 8192)
+            a, b = np.zeros((found.shape[0], 8192), np.float32), np.zeros((found.shape[1], 8192), np.float32)
+            x = side[row[now]]
+            a[line[row[now]][x], column[now][x] - lo] = 1
+            b[line[row[now]][~x], column[now][~x] - lo] = 1
+            found += a @ b.T
+        shared = np.rint(found).astype(np.int64)
+        total = n[side][:, None] + n[~side][None, :] - shared
+        x, y = np.nonzero((100 * shared >= percent * total) & (label[side][:, None] != label[~side][None, :]))
+        return pa.table({"a": pa.array(node[side][x], pa.int64()), "b": pa.array(node[~side][y], pa.int64())})
+
+    return every.unionByName(outside).groupBy("leader", "i", "j").applyInArrow(met, "a long, b long").distinct()
 
 
 def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -228,29 +273,22 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
     rows = staged(signed(docs), "signed")
     sets_of = rows.where("node is not null and doc_id is not null")
     classes = staged(sets_of.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("agree").alias("agree")), "classes")
-    entries = staged(postings(classes), "entries")
-    order = F.xxhash64("node")
-    leaders = entries.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n", "agree")).alias("l"))
-    led = entries.join(leaders.select("key", F.col("l.node").alias("b"), F.col("l.n").alias("n2"), F.col("l.agree").alias("agree2")), "key")
-    pairs = staged(led.where((F.col("node") != F.col("b")) & _plausible(percent)).select(F.col("node").alias("a"), "b").distinct(), "led")
-    wanted = entries.select("node").distinct().join(classes.select("node", F.col("rep").alias("doc_id")), "node")
+    met = staged(postings(classes), "met")
+    wanted = met.select("node").distinct().join(classes.select("node", F.col("rep").alias("doc_id")), "node")
     sets = staged(full_sets(docs, wanted), "sets")
+    about = classes.select("node", "n", "agree").join(shared_sizes(sets), "node").where(100 * F.col("shared") >= percent * F.col("n"))
+    entries = staged(_met(met.join(staged(about, "about"), "node")), "entries")
+
+    first = F.struct((-F.col("shared") / F.col("n")).alias("o"), F.xxhash64("node").alias("h"), "node", "n", "shared", "agree")
+    leaders = entries.groupBy("key").agg(F.min(first).alias("l"))
+    led = entries.join(leaders.select("key", F.col("l.node").alias("b"), *[F.col(f"l.{c}").alias(f"{c}2") for c in ("n", "shared", "agree")]), "key")
+    pairs = staged(led.where((F.col("node") != F.col("b")) & _plausible(percent)).select(F.col("node").alias("a"), "b").distinct(), "led")
     links = staged(linked(pairs, sets, percent), "links")
     labels = staged(components(links), "labels")
 
-    known = staged(entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "known")
-    sizes = known.groupBy("key", "label").agg(F.count("*").alias("k"))
-    apart = sizes.groupBy("key").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("all")).select("key", F.col("most.label").alias("most"), (F.col("all") - F.col("most.k")).alias("apart")).where("apart > 0")
-    open_ = staged(known.join(apart, "key"), "open")
-    few = open_.where(F.col("apart") <= APART)
-    minor = few.where("label <> most").select("key", F.col("node").alias("a"), F.col("n").alias("n2"), F.col("agree").alias("agree2"), F.col("label").alias("la"))
-    met = minor.join(few, "key").where((F.col("label") != F.col("la")) & ((F.col("label") == F.col("most")) | (F.col("a") < F.col("node"))) & _plausible(percent))
-    more = met.select("a", F.col("node").alias("b")).distinct()
-    many = open_.where(F.col("apart") > APART).select("node", "label").distinct()
-    if not many.isEmpty():
-        many = staged(many, "many")
-        more = more.union(rare_pairs(sets.join(many, "node", "left_semi"), many, percent)).distinct()
-    links = linked(staged(more, "more"), sets, percent).union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    groups = led.select(F.col("b").alias("leader"), "node").distinct().join(labels, "node", "left")
+    groups = staged(groups.select("leader", "node", F.coalesce("label", "node").alias("label")), "groups")
+    links = links_apart(groups, sets, percent).union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
     labels = components(links)
 
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
