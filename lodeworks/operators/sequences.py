@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def numbered_context(rows: DataFrame, key: str, order: list[str], label: str, text: str) -> DataFrame:
     """Per key one text of numbered blocks ``[i] (label) text``, an empty line between them."""
@@ -24,3 +26,14 @@ def bounded_list(values: Column, head: int, tail: int) -> Column:
     """The first and last values of a longer list, with an ellipsis between them."""
     short = F.concat(F.slice(values, 1, head), F.array(F.lit("…")), F.slice(values, -tail, tail))
     return F.when(F.size(values) > head + tail, short).otherwise(values)
+
+
+def global_rank(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """The place of each row in the order of all, from 1, without one task for all: rows are sorted into ranges,
+    numbered within each, and shifted by the sizes of the ranges before."""
+    # checkpointed, so that the sizes and the rows are those of the same ranges
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()).withColumn("within", F.monotonically_increasing_id() % (1 << 33))
+    placed = checkpointed(placed)
+    sizes = placed.groupBy("range").agg(F.count("*").alias("size"))  # a row for each partition
+    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
+    return placed.join(F.broadcast(before), "range").select(*rows.columns, (F.coalesce("before", F.lit(0)) + F.col("within") + 1).alias(name))
