@@ -13,3 +13,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-lodeworks-"))
     return df.checkpoint()
+
+
+def shared_folder(spark) -> str:
+    """The folder that all executors share."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-lodeworks-")
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
