@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unused
 
 #: Base kinds in the order of reports, and how their spans are found. The looks to both sides keep
 #: the time linear and change no match: a match never begins inside a run that it could begin before.
@@ -33,7 +33,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Tokens with four digits or more, or an at sign, at the beginning of a word.
-CANDIDATE = r"(?<![^\s\"'(<\[,;:])[^\s\"'(<\[,;:0-9@]*+(?:@[^\s\"'(<\[,;:@]|[0-9](?:[^\s\"'(<\[,;:0-9]{0,2}[0-9]){3})[^\s\"'()<>\[\],;:]*+"
+_IN = r"[^\s\"'()<>\[\],;:"
+CANDIDATE = rf"(?<!{_IN}])(?=(?:{_IN}0-9]*+[0-9]){{4}}|{_IN}@]*+@{_IN}@]){_IN}]++"
 ROUNDS = 3
 #: Distinct seeds that a pattern needs, and the scores that make a pattern count and an instance be reported.
 SUPPORT, TRUSTED, ACCEPT = 5, 0.5, 0.8
@@ -149,21 +150,24 @@ def reported(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of its texts replaced by its kind's name in brackets; what overlaps is one span, named after its first kind."""
     rows = found(docs).withColumn("all", F.array_sort(F.concat("base", "more"))).where(F.size("all") > 0).select("doc_id", "text_hash", "all").dropDuplicates(["doc_id", "text_hash"])
-    rows = staged(rows, "to-mask").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("all").alias("__spans"))
+    id_, hash_, held, merged, names = (unused(docs, f"mask_{x}") for x in ("id", "hash", "spans", "merged", "names"))
+    rows = staged(rows, "to-mask").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("all").alias(held))
     small = rows.count() <= BROADCAST_ROWS
-    met = docs.join(F.broadcast(rows) if small else rows, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash")), "left")
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, "context")])
-    merged = F.expr(
-        """aggregate(__spans, cast(array() as array<struct<start:bigint,kind:int,end:bigint>>),
-        (acc, x) -> case when size(acc) > 0 and x.start < element_at(acc, -1).end
-          then concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'kind', element_at(acc, -1).kind, 'end', greatest(x.end, element_at(acc, -1).end))))
-          else concat(acc, array(x)) end)"""
+    same = docs["doc_id"].cast("long").eqNullSafe(rows[id_]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == rows[hash_])
+    met = docs.join(F.broadcast(rows) if small else rows, same, "left")
+    met = met.withColumn(names, F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, "context")]))
+    met = met.withColumn(
+        merged,
+        F.expr(
+            f"""aggregate({held}, cast(array() as array<struct<start:bigint,kind:int,end:bigint>>),
+            (acc, x) -> case when size(acc) > 0 and x.start < element_at(acc, -1).end
+              then concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'kind', element_at(acc, -1).kind, 'end', greatest(x.end, element_at(acc, -1).end))))
+              else concat(acc, array(x)) end)"""
+        ),
     )
     pieces = F.expr(
-        """aggregate(__merged, named_struct('at', 0L, 'out', cast(array() as array<string>)),
-        (acc, x) -> named_struct('at', x.end, 'out', concat(acc.out, array(substring(text, cast(acc.at + 1 as int), cast(x.start - acc.at as int)), element_at(__names, x.kind + 1)))),
+        f"""aggregate({merged}, named_struct('at', 0L, 'out', cast(array() as array<string>)),
+        (acc, x) -> named_struct('at', x.end, 'out', concat(acc.out, array(substring(text, cast(acc.at + 1 as int), cast(x.start - acc.at as int)), element_at({names}, x.kind + 1)))),
         acc -> concat_ws('', acc.out, substring(text, cast(acc.at + 1 as int))))"""
     )
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(pieces)
-    met = met.withColumn("__merged", merged).withColumn("__names", names)
-    return met.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return met.withColumn("text", F.when(F.col(held).isNull(), F.col("text")).otherwise(pieces)).drop(id_, hash_, held, merged, names)
