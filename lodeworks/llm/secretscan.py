@@ -39,7 +39,7 @@ DIGIT = re.compile(r"[0-9]")
 BEFORE, INSIDE, AFTER = 24, 48, 8
 #: Candidates of either label that the network is fitted on, about.
 FIT_ROWS = 3000
-EPOCHS, BATCH, RATE = 6, 64, 0.004
+EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 400, 64, 0.004
 EMBED, WIDTH, FILTERS = 10, 5, 24
 RECALL = 0.98
 BINS = 1000
@@ -154,7 +154,7 @@ def fitted(before: list[str], inside: list[str], after: list[str], known: list[b
     mean, square, step = [np.zeros_like(w) for w in net[:4]], [np.zeros_like(w) for w in net[:4]], 0
     weight = np.where(label > 0, label.sum(), len(label) - label.sum())
     chance = 1 / weight[taught] / (1 / weight[taught]).sum()  # both labels alike often
-    for _ in range(EPOCHS * max(1, len(taught) // BATCH)):
+    for _ in range(max(LEAST_STEPS, EPOCHS * len(taught) // BATCH)):
         at = rng.choice(taught, BATCH, p=chance)
         own = codes[at].copy()
         swap = (label[at] > 0) & (rng.random(BATCH) < 0.5)
