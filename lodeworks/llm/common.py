@@ -56,3 +56,11 @@ def shipped(spark: SparkSession) -> None:
     Path(target).write_bytes(packed.getvalue())
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

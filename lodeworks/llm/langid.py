@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped
+from .common import shipped, unused
 
 FOLDS = 5
 BUCKETS = 1 << 14
@@ -151,8 +151,8 @@ def predict(text: str | None, model: Model | None) -> tuple[str, float]:
     return model.labels[best], float(p[best])
 
 
-def identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with the columns lang_pred and score."""
+def identified(docs: DataFrame, model: Model | None, name: str = "predicted") -> DataFrame:
+    """``docs`` with the column ``name``: lang_pred and score."""
     shipped(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -161,7 +161,7 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
 
         return pd.DataFrame([predict(t, model) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("predicted", of("text"))
+    return docs.withColumn(name, of("text"))
 
 
 def predictions(docs: DataFrame) -> DataFrame:
@@ -174,5 +174,5 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text has a language."""
-    keep = [F.col(c) for c in docs.columns]
-    return identified(docs, trained(docs)).where(F.col("predicted.lang_pred") != UNKNOWN).select(*keep)
+    name = unused(docs, "predicted")
+    return identified(docs, trained(docs), name).where(F.col(name)["lang_pred"] != UNKNOWN).drop(name)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, staged
+from .common import shipped, staged, unused
 
 WORDS = 5
 COLLECTIONS = 16
@@ -300,6 +300,7 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` without those that another document of their group stands for."""
-    gone = staged(grouped(docs, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    gone_id = unused(docs, "gone_id")
+    gone = staged(grouped(docs, percent).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].cast("long") == gone[gone_id], "left_anti")
