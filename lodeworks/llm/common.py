@@ -39,8 +39,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of whole documents that go to a Python worker at once, where the session has Spark's own default of 10,000.
+BATCH_ROWS = 1000
+
+
 def shipped(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, so that they need no copy of the repository."""
+    """Give the executors this package, once per application, so that they need no copy of the repository; and
+    keep Arrow batches small, since a row holds a whole text."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

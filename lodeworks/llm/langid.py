@@ -131,9 +131,12 @@ def trained(docs: DataFrame) -> Model | None:
 
     def sparse(batches):
         for batch in batches:
-            made = [counts(t.as_py()) for t in batch.column("text")]
-            at = [np.flatnonzero(c) for c in made]
-            lists = [pa.array(at, pa.list_(pa.int32())), pa.array([np.minimum(c[i], 32767) for c, i in zip(made, at, strict=True)], pa.list_(pa.int16()))]
+            at, often = [], []
+            for text in batch.column("text"):
+                count = counts(text.as_py())
+                at.append(np.flatnonzero(count).astype(np.int32))
+                often.append(np.minimum(count[at[-1]], 32767).astype(np.int16))
+            lists = [pa.array(at, pa.list_(pa.int32())), pa.array(often, pa.list_(pa.int16()))]
             yield pa.RecordBatch.from_arrays([batch.column("order"), *lists, batch.column("label")], ["order", "at", "count", "label"])
 
     got = sample.mapInArrow(sparse, "order long, at array<int>, count array<short>, label string").toArrow().sort_by("order")

@@ -41,7 +41,7 @@ BLOCK = 128
 #: Ids up to which a list of them is broadcast (16 bytes each); longer ones are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text that are hashed at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240817)
