@@ -71,4 +71,30 @@ WITH v AS (
 SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10
 """
 
-ORACLES: dict[str, str] = {"op1_topk": OP1_SQL}
+OP4_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), n AS (
+  SELECT doc_id, len(s) AS n FROM g
+), u AS (
+  SELECT doc_id, unnest(s) AS s FROM g
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), f AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r(doc_id, reached) AS (
+  SELECT doc_id, doc_id FROM n
+  UNION
+  SELECT r.doc_id, f.b FROM r JOIN f ON f.a = reached
+), c AS (
+  SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id
+)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_topk": OP1_SQL, "op4_neardup": OP4_SQL}
