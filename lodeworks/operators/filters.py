@@ -65,3 +65,8 @@ def tool_result(role: Column, body: Column) -> Column:
     """Whether a message is a tool's result, and whether it can be used."""
     failed = (F.trim(body) == "") | F.try_parse_json(body).isNull() | (F.get_json_object(body, "$.success") == "false") | (F.get_json_object(body, "$.status") == "error")
     return F.when(role != "tool", "not a tool").when(F.coalesce(failed, F.lit(False)), "error").otherwise("ok")
+
+
+def at_least(rows: DataFrame, column: str, threshold: float | None) -> DataFrame:
+    """The rows that reach a threshold; all of them where none is asked."""
+    return rows if threshold is None else rows.where(F.col(column) >= threshold)

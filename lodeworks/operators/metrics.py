@@ -41,13 +41,3 @@ def per_query(rankings: DataFrame, judgements: DataFrame, k: int = 5, cap: int =
         share(F.col("dcg_binary"), F.col("ideal_binary")).alias("ndcg_binary"),
     )
 
-
-def upper_median(c: Column) -> Column:
-    """The middle value, of an even number the upper one."""
-    held = F.array_sort(F.collect_list(c))
-    return F.try_element_at(held, F.floor(F.size(held) / 2).cast("int") + 1)
-
-
-def nearest_rank(c: Column, p: float) -> Column:
-    """The value at place ceil(p * n)."""
-    return F.expr(f"percentile_disc({p}) within group (order by {c._jc.toString()})")

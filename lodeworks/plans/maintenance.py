@@ -158,10 +158,17 @@ def e21_coalesced_columns(t: Tables) -> DataFrame:
     return legacy.withColumn("label", F.coalesce("new", "old")).drop("new", "old")
 
 
-@query("SELECT source, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY sha256('seed' || doc_id))) AS order_hash, count(*) FILTER (WHERE lang NOT IN ('en', 'de', 'fr')) AS invalid FROM documents GROUP BY source")
+@query("""WITH k AS (SELECT source, doc_id, lang, ('0x' || left(sha256('seed' || doc_id), 10))::BIGINT AS p FROM documents), a AS (SELECT source, p >> 10 AS p, sha256(string_agg(k.p || chr(0) || doc_id, chr(0) ORDER BY k.p, k.p || chr(0) || doc_id)) AS d FROM k GROUP BY source, k.p >> 10),
+b AS (SELECT source, p >> 10 AS p, sha256(string_agg(d, chr(0) ORDER BY a.p)) AS d FROM a GROUP BY source, a.p >> 10), c AS (SELECT source, p >> 10 AS p, sha256(string_agg(d, chr(0) ORDER BY b.p)) AS d FROM b GROUP BY source, b.p >> 10), f AS (SELECT source, left(sha256(string_agg(d, chr(0) ORDER BY p)), 16) AS order_hash FROM c GROUP BY source)
+SELECT source, order_hash, invalid FROM f JOIN (SELECT source, count(*) FILTER (WHERE lang NOT IN ('en', 'de', 'fr')) AS invalid FROM documents GROUP BY source) USING (source)""")
 def e22_pool_lock(t: Tables) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct(F.sha2(F.concat(F.lit("seed"), F.col("doc_id").cast("string")), 256).alias("k"), F.col("doc_id").cast("string").alias("i"))))
-    return t.documents.groupBy("source").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["i"]), ","), 256).alias("order_hash"), F.count_if(~F.col("lang").isin("en", "de", "fr")).alias("invalid"))
+    """A digest of each source's shuffled order, and how many of its rows are not valid."""
+    from ..operators.sequences import tree_fingerprint
+
+    place = F.conv(F.left(F.sha2(F.concat(F.lit("seed"), F.col("doc_id").cast("string")), 256), F.lit(10)), 16, 10).cast("long")
+    shuffled = t.documents.select("source", place.alias("place"), F.col("doc_id").cast("string").alias("id"))
+    invalid = t.documents.groupBy("source").agg(F.count_if(~F.col("lang").isin("en", "de", "fr")).alias("invalid"))
+    return tree_fingerprint(shuffled, "source", "place", "id").withColumnRenamed("fingerprint", "order_hash").join(invalid, "source")
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events WHERE event_type = 'click'")

@@ -170,16 +170,22 @@ def a13_distribution(t: Tables) -> DataFrame:
 
 @query("""SELECT source, list_sort(list(n_chars))[len(list(n_chars)) // 2 + 1] AS upper_median, max(n_chars) AS longest, round(avg(CASE WHEN n_chars <= 512 THEN 1.0 ELSE 0 END), 6) AS share_short FROM documents GROUP BY source""")
 def a14_upper_median(t: Tables) -> DataFrame:
-    """The middle row of each source by rank: a window, no list of a source's values in one place."""
+    """By counts of lengths: a source's rows meet as its distinct lengths, however many they are."""
+    sizes = t.documents.groupBy("source", "n_chars").agg(F.count("*").alias("k"))
     w = Window.partitionBy("source")
-    ranked = t.documents.select("source", "n_chars", F.row_number().over(w.orderBy("n_chars")).alias("r"), F.count("*").over(w).alias("n"))
-    return ranked.groupBy("source").agg(F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("n_chars"))).alias("upper_median"), F.max("n_chars").alias("longest"), F.round(F.avg(F.when(F.col("n_chars") <= 512, 1.0).otherwise(0.0)), 6).alias("share_short"))
+    upto = sizes.withColumn("upto", F.sum("k").over(w.orderBy("n_chars"))).withColumn("n", F.sum("k").over(w))
+    middle = F.min(F.when(F.col("upto") >= F.floor(F.col("n") / 2) + 1, F.col("n_chars")))
+    share = F.round(F.sum(F.when(F.col("n_chars") <= 512, F.col("k")).otherwise(0)) / F.sum("k"), 6)
+    return upto.groupBy("source").agg(middle.alias("upper_median"), F.max("n_chars").alias("longest"), share.alias("share_short"))
 
 
 @query("""SELECT event_type, quantile_disc(value, 0.95) AS p95, round(avg(value), 6) AS mean, max(value) AS high FROM events WHERE event_type <> 'error' GROUP BY event_type""")
 def a15_a16_latency(t: Tables) -> DataFrame:
+    from ..operators.sequences import quantiles
+
     rows = t.events.where("event_type <> 'error'")
-    return rows.groupBy("event_type").agg(F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("high"))
+    rest = rows.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("high"))
+    return quantiles(rows, "event_type", "value", 0.95, "p95").join(rest, "event_type")
 
 
 @query("""WITH f AS (SELECT p_type, count(*) AS n FROM part GROUP BY p_type) SELECT split_part(p_type, ' ', 1) AS cluster, count(*) AS names, sum(n)::BIGINT AS weight FROM f GROUP BY 1""")
@@ -291,6 +297,6 @@ def u4_shared_terms(t: Tables) -> DataFrame:
 
 @query("""WITH w AS (SELECT conv_id, list(role ORDER BY turn, text) AS r FROM conversations GROUP BY conv_id) SELECT conv_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(r), lambda x: {'i': list_position(r, x), 'x': x})), lambda y: y.x), ',') AS roles FROM w""")
 def u7_ordered_distinct(t: Tables) -> DataFrame:
-    r = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))), lambda x: x["role"])
-    return t.conversations.groupBy("conv_id").agg(r.alias("r")).select("conv_id", F.array_join(F.array_distinct("r"), ",").alias("roles"))
-
+    first = t.conversations.groupBy("conv_id", "role").agg(F.min(F.struct("turn", "text")).alias("first"))
+    held = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("first.turn", "first.text", "role"))).alias("r"))
+    return held.select("conv_id", F.array_join(F.transform("r", lambda x: x["role"]), ",").alias("roles"))

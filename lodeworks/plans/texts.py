@@ -189,19 +189,20 @@ def t43_excerpt(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.excerpt(F.col("text"), 90).alias("title"))
 
 
-@query("""SELECT source, left(sha256(string_agg(doc_id || chr(0) || text, chr(0) ORDER BY doc_id)), 16) AS fingerprint FROM (SELECT doc_id, left(sha256(text), 16) AS text, source FROM documents) GROUP BY source""")
+@query("""WITH a AS (SELECT source, doc_id >> 10 AS p, sha256(string_agg(doc_id || chr(0) || left(sha256(text), 16), chr(0) ORDER BY doc_id)) AS d FROM documents GROUP BY ALL),
+b AS (SELECT source, p >> 10 AS p, sha256(string_agg(d, chr(0) ORDER BY a.p)) AS d FROM a GROUP BY source, p >> 10), c AS (SELECT source, p >> 10 AS p, sha256(string_agg(d, chr(0) ORDER BY b.p)) AS d FROM b GROUP BY source, p >> 10)
+SELECT source, left(sha256(string_agg(d, chr(0) ORDER BY p)), 16) AS fingerprint FROM c GROUP BY source""")
 def t44_fingerprint(t: Tables) -> DataFrame:
-    from ..operators.sequences import ordered_fingerprint
+    from ..operators.sequences import tree_fingerprint
 
-    return ordered_fingerprint(t.documents.withColumn("text", F.left(F.sha2("text", 256), F.lit(16))), "source", "doc_id", "text")
+    return tree_fingerprint(t.documents.withColumn("text", F.left(F.sha2("text", 256), F.lit(16))), "source", "doc_id", "text")
 
 
 @query("""SELECT conv_id, array_to_string(CASE WHEN len(r) <= 5 THEN r ELSE list_concat(list_concat(r[1:3], ['…']), r[len(r) - 1:len(r)]) END, ',') AS roles FROM (SELECT conv_id, list(role ORDER BY turn, text) AS r FROM conversations GROUP BY conv_id)""")
 def t45_bounded_list(t: Tables) -> DataFrame:
     from ..operators.sequences import bounded_list
 
-    ordered = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))).alias("r"))
-    return ordered.select("conv_id", F.array_join(bounded_list(F.col("r.role"), 3, 2), ",").alias("roles"))
+    return bounded_list(t.conversations, "conv_id", ["turn", "text"], "role", 3, 2, "roles")
 
 
 _ERR = """(lower(trim(text)) IN ('[]', '{}', 'error', 'failed', 'failure', 'null', 'none', 'n/a', 'na', 'pending', 'processing', 'skipped') OR regexp_matches(text, '(?i)^(api\\s+)?(error|failed|failure|exception|traceback|timeout|timed out)\\b') OR regexp_matches(text, '(?i)\\b(traceback \\(most recent call last\\)|exception:|api error|connection error|rate limit)\\b'))"""
@@ -236,5 +237,5 @@ def f24_small_talk(t: Tables) -> DataFrame:
 
 @query()
 def t15_t16_watermark(t: Tables) -> DataFrame:
-    marked = F.concat(F.lit("0101 1010 0110 11\nCLB HIT CLUB\n"), "text", F.lit("\nHTC"))
-    return t.documents.select("doc_id", text.without_watermark(text.clean_lines(marked)).alias("text"))
+    marked = F.concat(F.lit("0101 1010 0110 11\nTHE SAMPLE CLUB\n"), "text", F.lit("\nSMP"))
+    return t.documents.select("doc_id", text.without_watermark(text.clean_lines(marked), ("sample club", "the sample club", "smp")).alias("text"))

@@ -60,3 +60,14 @@ def archive_report(entries: DataFrame, path: str, size: str, most: int) -> DataF
     p = F.regexp_replace(path, r"\\", "/")
     unsafe = p.startswith("/") | p.rlike(r"(?:^|/)\.\.(?:/|$)") | p.rlike("^[A-Za-z]:")
     return entries.agg(F.count_if(unsafe).alias("unsafe"), F.sum(size).alias("expanded"), (F.sum(size) > most).alias("too_large"))
+
+
+#: Kinds of files by the endings of their names.
+KINDS = {"document": r"\.(?:html?|md)$", "image": r"\.(?:png|jpe?g|webp)$", "video": r"\.(?:mp4|mov)$"}
+
+
+def kind_of(column: str) -> Column:
+    out = F.lit("unknown")
+    for kind, ending in reversed(KINDS.items()):
+        out = F.when(F.lower(column).rlike(ending), kind).otherwise(out)
+    return out

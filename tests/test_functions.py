@@ -8,6 +8,10 @@ from lodeworks.operators import entities, filters, fusion, greedy, intervals, me
 from lodeworks.sources import files
 
 
+def bare(c):
+    return text.without_watermark(c, ("sample club", "smp"))
+
+
 def one(spark, expression, *values):
     names = [f"c{i}" for i in range(len(values))]
     frame = spark.createDataFrame([tuple(values)], ", ".join(f"{n} {'double' if isinstance(v, float) else 'long' if isinstance(v, int) else 'string'}" for n, v in zip(names, values)))
@@ -32,8 +36,8 @@ def one(spark, expression, *values):
         (text.terms, "Các bạn và BẠN có a x1 test_1", ["bạn", "x1", "test_1"]),
         (text.point_id, "video_transcript:1:2", "uuid"),
         (text.facts, "Phí 100.000 đồng, gọi 0823 644 212 hoặc a.b@c.vn", ["0823 644 212", "100.000", "a.b@c.vn"]),
-        (text.without_watermark, "HIT CLUB\nMã lớp 1010\n0 1 0 1 1 0 0 1 1\nHTC", "Mã lớp 1010"),
-        (text.without_watermark, "htc hitc", ""),
+        (bare, "SAMPLE CLUB\nMã lớp 1010\n0 1 0 1 1 0 0 1 1\nSMP", "Mã lớp 1010"),
+        (bare, "smp sample club", ""),
         (text.without_fence, '```json\n{"a": 1}\n```', '{"a": 1}'),
         (text.json_fragment, 'x {"a": {"b": 1}} y', '{"a": {"b": 1}}'),
         (text.json_fragment, "none", None),
