@@ -118,6 +118,9 @@ class Vocabulary:
                 push(queue, r << 32 | h)
         return [x for x in ids if x >= 0]
 
+    def of_text_word(self, word: str) -> list[int]:
+        return self.merged(word.encode())
+
     def pieces(self, text: str) -> Iterator[tuple[str, int | None]]:
         """The stretches of a text, those that are a special string with its id."""
         if self.special_cut is None or not any(s in text for s in self.special):
@@ -156,7 +159,7 @@ class Memory(dict):
             self.clear()
         got = self.older.get(word)
         if got is None:
-            got = self.made(self.of_word(word.encode()))
+            got = self.made(self.of_word(word))
         self[word] = got
         return got
 
@@ -176,7 +179,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     @F.pandas_udf("array<int>")
     def ids(texts):
         vocab = vocabulary(path)
-        memory = Memory(vocab.merged, tuple)
+        memory = Memory(vocab.of_text_word, tuple)
         return texts.map(lambda t: [i for w in remembered(vocab, memory, t or "") for i in w])
 
     return docs.withColumn("ids", ids(F.col(text)))
@@ -198,7 +201,7 @@ def decoded(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 def digest_memory(path: str) -> Memory:
     """Kept by a worker from task to task: of each word the ids, written out, and the bytes that they decode to."""
     vocab = vocabulary(path)
-    return Memory(vocab.merged, lambda ids: (",".join(map(str, ids)), b"".join(map(vocab.bytes_of.__getitem__, ids))))
+    return Memory(vocab.of_text_word, lambda ids: (",".join(map(str, ids)), b"".join(map(vocab.bytes_of.__getitem__, ids))))
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

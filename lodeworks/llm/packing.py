@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import struct
 import zlib
 
 import numpy as np
@@ -40,7 +41,7 @@ def id_memory(path: str) -> Memory:
     """Kept by a worker from task to task: the ids of each word, as bytes."""
     vocab = vocabulary(path)
     library = tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks=vocab.id_of, special_tokens={})
-    return Memory(lambda word: library.encode_ordinary(word.decode()), lambda ids: np.array(ids, "<u4").tobytes())
+    return Memory(library.encode_ordinary, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
 
 
 def cuts(tokens: int, length: int, fine: bool) -> list[tuple[int, int]]:
