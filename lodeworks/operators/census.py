@@ -23,14 +23,12 @@ def zero_filled(rows: DataFrame, column: str, keys: list[str], name: str) -> Dat
 
 
 def duplicate_report(rows: DataFrame, by: Column, also_by: Column) -> DataFrame:
-    """Groups of equal content, their files, surplus copies, and whether another digest finds as many groups."""
-
-    def groups(h: Column) -> DataFrame:
-        return rows.groupBy(h.alias("h")).agg(F.count("*").alias("n")).where("n > 1")
-
-    one = groups(by).agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus"))
-    two = groups(also_by).agg(F.count("*").alias("other"))
-    return one.join(F.broadcast(two)).select("groups", "files", "surplus", (F.col("groups") == F.col("other")).alias("agree"))
+    """Groups of equal content, their files, surplus copies, and whether another digest finds as many groups; both digests in one pass."""
+    digests = rows.select(F.explode(F.array(F.struct(F.lit(1).alias("kind"), by.alias("h")), F.struct(F.lit(2).alias("kind"), also_by.alias("h")))).alias("d")).select("d.*")
+    found = digests.groupBy("kind", "h").agg(F.count("*").alias("n")).where("n > 1")
+    first = F.col("kind") == 1
+    sums = found.agg(F.count_if(first).alias("groups"), F.coalesce(F.sum(F.when(first, F.col("n"))), F.lit(0)).alias("files"), F.coalesce(F.sum(F.when(first, F.col("n") - 1)), F.lit(0)).alias("surplus"), F.count_if(~first).alias("other"))
+    return sums.select("groups", "files", "surplus", (F.col("groups") == F.col("other")).alias("agree"))
 
 
 def merged_counters(parts: DataFrame, key: str, counters: str) -> DataFrame:

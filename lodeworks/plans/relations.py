@@ -104,10 +104,10 @@ def j21_composite_lookup(t: Tables) -> DataFrame:
     return t.supplier.where(F.col("s_name").startswith("Supplier")).join(nations, "s_nationkey").select("s_suppkey", "s_name", "n_name")
 
 
-@query("SELECT event_type, count(*) AS n, (SELECT count(DISTINCT user_id) FROM events) AS users FROM events GROUP BY event_type")
+@query("SELECT coalesce(event_type, 'total') AS event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ROLLUP (event_type)")
 def a1_by_type(t: Tables) -> DataFrame:
-    users = t.events.agg(F.countDistinct("user_id").alias("users"))
-    return t.events.groupBy("event_type").agg(F.count("*").alias("n")).join(F.broadcast(users))
+    rows = t.events.rollup("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    return rows.withColumn("event_type", F.coalesce("event_type", F.lit("total")))
 
 
 @query("SELECT count(DISTINCT nullif(source, '')) AS sources, count(DISTINCT nullif(lang, '')) AS langs, count(*) FILTER (WHERE lang = 'en') AS english FROM documents")

@@ -53,11 +53,10 @@ def t10_utc_text(t: Tables) -> DataFrame:
     return t.events.select("event_id", text.utc_text(F.col("ts")).alias("at"))
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS at, count(*) OVER () AS n FROM orders""")
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS at FROM orders""")
 def t11_local_time(t: Tables) -> DataFrame:
     written = t.orders.select("o_orderkey", F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.element_at(F.array(F.lit("Z"), F.lit("+0000"), F.lit("+07:00")), (F.col("o_orderkey") % 3 + 1).cast("int"))).alias("iso"))
-    n = written.agg(F.count("*").alias("n"))
-    return written.select("o_orderkey", F.date_format(text.local_time(F.col("iso")), "yyyy-MM-dd HH:mm:ss").alias("at")).join(F.broadcast(n))
+    return written.select("o_orderkey", F.date_format(text.local_time(F.col("iso")), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 @query("""SELECT event_id, CASE WHEN value * 100 < 3600 THEN printf('%02d:%02d', floor(value * 100 / 60)::BIGINT, floor(value * 100)::BIGINT % 60)
