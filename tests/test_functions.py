@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeworks.functions import status, text, vector
-from lodeworks.operators import entities, filters, fusion, greedy, intervals, merge, search
+from lodeworks.operators import entities, filters, fusion, greedy, hooks, intervals, merge, search, sequences
 from lodeworks.sources import files
 
 
@@ -146,3 +146,29 @@ def test_sources(spark, tmp_path):
     keys = spark.createDataFrame([("a/b/x.PNG",), ("a/bc/x.png",), ("a/b/x.txt",)], "key string")
     assert [r[0] for r in files.listed(keys, "key", "a/b", r"\.png").collect()] == ["a/b/x.PNG"]
     assert filters.matching(keys, "key").count() == 3
+
+
+def test_calls_fall_back_to_items_and_end_at_fatal_errors(spark):
+    def double(xs):
+        if any(x == 3 for x in xs):
+            raise ValueError("three")
+        return [2 * x for x in xs]
+
+    def fatal(xs):
+        raise hooks.Fatal("no key")
+
+    rows = spark.range(1, 5, numPartitions=1)
+    assert [tuple(r["r"]) for r in hooks.called(rows, "id", double, "long", "r").collect()] == [(2, None), (4, None), (None, "three"), (8, None)]
+    with pytest.raises(Exception, match="no key"):
+        hooks.called(rows, "id", fatal, "long", "r").collect()
+
+
+def test_json_is_cleaned_at_any_depth():
+    assert hooks.without_empties({" a ": " x ", "b": ["", [], {"c": None}], "": 1, "n": float("nan"), "z": 0, "f": False}) == {"a": "x", "z": 0, "f": False}
+    assert hooks.without_empties([{}, [[""]]]) is None
+
+
+def test_ranks_over_all_rows_and_quantiles(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(100)] + [("b", 7), ("b", 9)], "k string, v long").repartition(5)
+    assert [r["n"] for r in sequences.global_rank(rows, ["k", "v"], "n").orderBy("k", "v").collect()] == list(range(1, 103))
+    assert sorted(map(tuple, sequences.quantiles(rows, "k", "v", 0.95, "q").collect())) == [("a", 94), ("b", 9)]
