@@ -11,9 +11,9 @@ from ..session import shared_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of events as a stream of files."""
+    """The table of events as a stream of files, be it one file or a folder of them (a pattern finds either)."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
 def counted(events: DataFrame, width: str = "1 hour", late: str = "40 days") -> DataFrame:
