@@ -28,8 +28,8 @@ from .common import shipped, unused
 FOLDS = 5
 BUCKETS = 1 << 14
 #: Labelled rows of each language that the model is fitted on, about (all, if there are fewer).
-FIT_ROWS = 1500
-EPOCHS = 2
+FIT_ROWS = 500
+EPOCHS = 4
 ALPHA, BETA, LASSO, RIDGE = 0.3, 1.0, 0.02, 0.1
 UNKNOWN = "und"
 #: Characters that are counted at once.
@@ -83,7 +83,7 @@ def fitted(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: list[str], id
     made = []
     for at, count, label in rows:
         x = np.log1p(count) * idf[at]
-        made.append((at, x / max(np.sqrt(x @ x), 1e-12), label))
+        made.append((at, (x / max(np.sqrt(x @ x), 1e-12)).astype(np.float32), label))
     kept = [r for i, r in enumerate(made) if i % 5 == 4] or made
     for _ in range(EPOCHS):
         for i, (at, x, label) in enumerate(made):
@@ -142,7 +142,10 @@ def trained(docs: DataFrame) -> Model | None:
     got = sample.mapInArrow(sparse, "order long, at array<int>, count array<short>, label string").toArrow().sort_by("order")
     number = {k: i for i, k in enumerate(labels)}
     taught = [(np.asarray(a.values), np.asarray(c.values), number[k.as_py()]) for a, c, k in zip(got["at"], got["count"], got["label"], strict=True)]
-    return fitted(taught, labels, idf) if taught else None
+    model = fitted(taught, labels, idf) if taught else None
+    del got, taught
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def predict(text: str | None, model: Model | None) -> tuple[str, float]:

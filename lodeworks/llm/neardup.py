@@ -288,8 +288,9 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     groups = led.select(F.col("b").alias("leader"), "node").distinct().join(labels, "node", "left")
     groups = staged(groups.select("leader", "node", F.coalesce("label", "node").alias("label")), "groups")
-    links = links_apart(groups, sets, percent).union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    labels = components(links)
+    more = staged(links_apart(groups, sets, percent), "more")
+    if not more.isEmpty():
+        labels = staged(components(more.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))), "joined")
 
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     component = named.groupBy("label").agg(F.min("rep").alias("component_id"))
