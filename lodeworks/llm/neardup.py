@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -241,7 +242,7 @@ def links_apart(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         side = table["outside"].to_numpy(zero_copy_only=False)
         node, label = table["node"].to_numpy(), table["label"].to_numpy()
         held = table["shingles"].combine_chunks()
-        n = pa.compute.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = pc.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int64)
         values = held.flatten().to_numpy()
         distinct, at = np.unique(values, return_inverse=True)
         row = np.repeat(np.arange(len(n)), n)

@@ -18,8 +18,8 @@ table gives an empty result; other columns are ignored. Scores have to fit in a
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,9 +123,9 @@ def searched(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 102
 
     def met(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[list] = [[], [], [], []]
-        for n in pa.compute.list_value_length(left["x"]).unique().to_pylist():
-            q = left.filter(pa.compute.equal(pa.compute.list_value_length(left["x"]), n))
-            x = right.filter(pa.compute.equal(pa.compute.list_value_length(right["x"]), n))
+        for n in pc.list_value_length(left["x"]).unique().to_pylist():
+            q = left.filter(pc.equal(pc.list_value_length(left["x"]), n))
+            x = right.filter(pc.equal(pc.list_value_length(right["x"]), n))
             if not len(x):
                 continue
             ids, q_ids, q_rows = x["vec_id"].to_numpy(), q["vec_id"].to_numpy(), q["row"].to_numpy()
