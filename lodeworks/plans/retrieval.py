@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text, vector
+from ..functions import vector
 from ..operators import fusion, metrics, search
 from .registry import Tables, query
 
