@@ -7,7 +7,8 @@ occurrence are the word before it, the word after it, both together, and each of
 token's shape. Patterns and instances (token values) form a graph that is scored in rounds: a
 pattern is as good as the share of its instances that are known, an instance as good as its
 patterns together. Instances that reach ``ACCEPT`` by patterns with enough seeds are reported as
-``context`` spans.
+``context`` spans, and are seeds themselves in the rounds that follow, so that they induce patterns
+in which no base span stands.
 
 All of it is DataFrame functions; texts are read once and never shuffled.
 
@@ -113,14 +114,16 @@ def discovered(rows: DataFrame) -> DataFrame:
     contexts = F.array(F.concat(F.lit("<"), "before"), F.concat(F.lit(">"), "after"), F.concat(F.lit("<"), "before", F.lit(">"), "after"))
     patterns = F.concat(contexts, F.transform(contexts, lambda c: F.concat(c, F.lit(" "), shape)))
     edges = each.select("value", "known", F.explode(patterns).alias("pattern")).groupBy("pattern", "value").agg(F.max("known").alias("known"))
-    enough = edges.groupBy("pattern").agg(F.count_if("known").alias("seeds")).where(F.col("seeds") >= SUPPORT)
-    edges = staged(edges.join(enough, "pattern"), "edges").withColumn("score", F.col("known").cast("double"))
+    shared = edges.groupBy("pattern").count().where(F.col("count") >= SUPPORT).select("pattern")  # fewer values never make SUPPORT seeds
+    edges = staged(edges.join(shared, "pattern"), "edges")
+    scored = edges.withColumn("got", F.lit(0.0))
     for n in range(ROUNDS):
-        good = edges.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("trust")).where(F.col("trust") >= TRUSTED)
-        value = edges.join(good, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1.000001 - F.least("trust", F.lit(1.0)))))).alias("got"))
-        edges = edges.drop("score").join(value, "value", "left").withColumn("score", F.when(F.col("known"), 1.0).otherwise(F.coalesce("got", F.lit(0.0)))).drop("got")
-        edges = staged(edges, f"scored-{n}")
-    accepted = edges.where(~F.col("known") & (F.col("score") >= ACCEPT)).select("value").distinct()
+        score = F.when(F.col("known"), 1.0).otherwise(F.coalesce("got", F.lit(0.0)))
+        good = scored.select("pattern", score.alias("score")).groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("trust"), F.count_if(F.col("score") >= ACCEPT).alias("seeds"))
+        good = good.where((F.col("trust") >= TRUSTED) & (F.col("seeds") >= SUPPORT))
+        value = staged(edges.join(good, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1.000001 - F.least("trust", F.lit(1.0)))))).alias("got")), f"scored-{n}")
+        scored = edges.join(value, "value", "left")
+    accepted = scored.where(~F.col("known") & (F.col("got") >= ACCEPT)).select("value").distinct()
     return each.where("not known").join(accepted, "value", "left_semi").select("row", "start", "end")
 
 

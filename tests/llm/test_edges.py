@@ -246,6 +246,18 @@ def test_contexts_reveal_identifiers(spark):
     assert "context:" in got[100]["spans"] and "context:" not in got[101]["spans"]
 
 
+def test_found_identifiers_reveal_further_contexts(spark):
+    rows = [(i, f"{words(i, 8)} reach me under user{i}@mail.example.com today please {words(i + 500, 6)}") for i in range(60)]
+    for i in range(8):  # found in the first round, in whose second context no base span stands
+        rows.append((100 + i, f"{words(i, 8)} reach me under AB-{73910000 + i} today please {words(i + 700, 6)}"))
+        rows.append((200 + i, f"{words(i, 8)} badge AB-{73910000 + i} holder {words(i + 800, 6)}"))
+    rows.append((300, f"{words(7, 8)} badge QX-55501234 holder {words(8, 6)}"))
+    rows.append((301, f"{words(9, 8)} number 12345678 elsewhere {words(10, 6)}"))
+    got = by_id(pii.reported(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert "context:" in got[300]["spans"] and "context:" not in got[301]["spans"]
+    assert all("context:" in got[i + k]["spans"] for i in (100, 200) for k in range(8))
+
+
 def test_winnowing(docs):
     got = [r for r in winnowing.compared(docs).collect()]
     assert len(got) == len(TEXTS) + 2
