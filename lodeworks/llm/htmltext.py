@@ -6,7 +6,8 @@ lines of their own, paragraphs and headings set off by an empty line, lists with
 indents, preformatted text as it is, and the cells of a table's columns aligned.
 
 Hidden: head, script, style and other elements without rendering, and what the attributes
-``hidden`` or a style of ``display:none`` or ``visibility:hidden`` hide.
+``hidden`` or a style of ``display:none`` or ``visibility:hidden`` hide. Of svg, the text elements
+are shown, of math all but annotations.
 
 Defined results: null or empty html has the empty text; any markup, however broken, has a text;
 repeated rows give repeated results; an empty table gives an empty result; other columns are
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import shipped
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSHOWN = frozenset("head script style title template noscript iframe object audio video canvas datalist svg math".split())
+UNSHOWN = frozenset("head script style title template noscript iframe object audio video canvas datalist annotation annotation-xml".split())
 RAW = frozenset("script style title textarea xmp iframe noframes".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
@@ -44,19 +45,47 @@ ENDS = {
     "tbody": (("thead", "tbody", "tfoot"), ("table",)),
     "tfoot": (("thead", "tbody", "tfoot"), ("table",)),
 }
+#: Of a drawing only what stands in these is text; never what stands in the others. What is not drawn ends it.
+DRAWN, UNDRAWN = frozenset("text foreignobject".split()), frozenset("desc metadata defs symbol clippath mask marker pattern".split())
+UNDRAWABLE = frozenset("b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Tables inside tables are aligned down to this depth; deeper ones are shown as blocks.
 TABLE_DEPTH = 8
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|([^<]+|<)""", re.DOTALL)
-_HIDING = re.compile(r"""(?:^|[\s"'/])hidden(?=[\s=/]|$)|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.IGNORECASE)
-_START = re.compile(r"""start\s*=\s*["']?(\d{1,9})""", re.IGNORECASE)
+#: One attribute: its name, and its value in quotes or bare; and whether a look at all of them is worth it.
+_ATTRIBUTE = re.compile(r"""([^\s/=>][^\s/=>]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_LOOK = re.compile("hidden|style", re.IGNORECASE)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+_START = re.compile(r"\s*(\d{1,9})")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "shown", "start", "children")
+    __slots__ = ("tag", "shown", "start", "children", "drawing", "line")
 
     def __init__(self, tag: str, shown: bool = True, start: int = 1):
         self.tag, self.shown, self.start, self.children = tag, shown, start, []
+        self.drawing, self.line = False, tag in BLOCK  # whether text in it is not shown; whether it has lines of its own
+
+
+def attributes_of(written: str) -> dict[str, str]:
+    """Names, in lower case, and values of a start tag's attributes; of repeated ones the first."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(written):
+        out.setdefault(name.lower(), html.unescape("".join(values)))
+    return out
+
+
+def hides(written: str) -> bool:
+    """Whether a start tag's attributes hide its element: by ``hidden``, or by the last such declarations of its style."""
+    if not _LOOK.search(written):
+        return False
+    attributes, style = attributes_of(written), {}
+    for declaration in _COMMENT.sub("", attributes.get("style", "")).lower().split(";"):
+        name, _, value = declaration.partition(":")
+        value, mark, _ = value.partition("!")
+        if mark or not style.get(name.strip(), ("", ""))[1]:
+            style[name.strip()] = (value.strip(), mark)
+    return "hidden" in attributes or style.get("display", ("",))[0] == "none" or style.get("visibility", ("",))[0] == "hidden"
 
 
 def tree(page: str) -> Node:
@@ -72,19 +101,25 @@ def tree(page: str) -> Node:
             if in_head and text.isspace():
                 continue
             in_head = False
-            open_[-1].children.append(html.unescape(text) if "&" in text else text)
+            if not open_[-1].drawing:
+                open_[-1].children.append(html.unescape(text) if "&" in text else text)
         elif tag is not None:
             tag = tag.lower()
             if tag in ("html", "head", "body"):
                 in_head = in_head and tag != "body"
-                if tag == "body" and _HIDING.search(attributes):
+                if tag == "body" and hides(attributes):
                     body.shown = False
                 continue
             inside_head = in_head and tag in HEAD_ONLY
             in_head = inside_head
-            shown = tag not in UNSHOWN and not (attributes and _HIDING.search(attributes))
+            while tag in UNDRAWABLE and open_[-1].drawing:
+                open_.pop()
+            drawing = open_[-1].drawing
+            shown = tag not in UNSHOWN and not (drawing and tag in UNDRAWN) and not (attributes and hides(attributes))
             node = Node(tag, shown)
-            if tag == "ol" and (start := _START.search(attributes)):
+            node.drawing = tag == "svg" or drawing and tag not in DRAWN and tag != "desc"
+            node.line = node.line or drawing and tag in DRAWN
+            if tag == "ol" and (start := _START.match(attributes_of(attributes).get("start", ""))):
                 node.start = int(start[1])
             if inside_head:
                 head.children.append(node)
@@ -147,6 +182,8 @@ class Page:
         self.breaks, self.blank, self.mark = 0, False, ""
 
     def write(self, text: str, indent: int, pre: bool) -> None:
+        if not text:
+            return
         if not pre:
             if text[0] in " \t\n\r\f":
                 self.blank = True
@@ -208,7 +245,7 @@ def rendered(top: Node, depth: int = 0) -> str:
                 page.write(lines, indent, True)
             page.due(2)
             continue
-        if tag in BLOCK:
+        if x.line:
             nested = tag in ("ul", "ol") and parent is not None
             page.due(1 if nested or tag not in SPACED else 2)
             stack.append((Node("div") if nested else x,))
@@ -237,7 +274,7 @@ def _table(table: Node, depth: int) -> str:
     while stack:
         x = stack.pop()
         if isinstance(x, str):
-            if not x.isspace():
+            if x and not x.isspace():
                 before.append(_BLANKS.sub(" ", x).strip(" "))
         elif not x.shown:
             continue

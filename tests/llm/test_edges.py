@@ -310,6 +310,25 @@ def test_html(html, text):
     assert htmltext.text_of(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p class=\"hidden lg:flex\">a<p title=\"a hidden gem\">b<p data-state='is hidden now'>c<p data-style=\"display:none\">d", "a\n\nb\n\nc\n\nd"),
+        ("<body class='no hidden x'>seen", "seen"),
+        ("<p title='a'hidden>no<p HIDDEN=''>no<p style=display:none>no<p style=\"color:red; VISIBILITY : hidden !important\">no<p style='display:none;display:block'>yes", "yes"),
+        ("<p title='style=\"display:none\"'>yes<p style='--x:display:none'>too", "yes\n\ntoo"),
+        ("<ol data-start=7><li>x</ol>", "1. x"),
+        ("a<svg><title>no</title><desc>no</desc> no <g><text x=1>one</text><text>two</text></g></svg>b", "a\none\ntwo\nb"),
+        ("<svg><path d='M0'><p>after", "after"),
+        ("so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> holds", "so x=1 holds"),
+        ("<b>&#1;</b>a<noframes></noframes>", "a"),
+        ("<table>&#1;<tr><td>&#1;</td><td>x</table>", "  x"),
+    ],
+)
+def test_html_shows_all_that_is_visible(html, text):
+    assert htmltext.text_of(html) == text
+
+
 def test_html_over_rows(spark):
     rows = [(1, "u", "<p>a", 5), (1, "u", "<p>a", 5), (None, "u", None, 5)]
     got = htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
