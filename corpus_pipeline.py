@@ -15,7 +15,7 @@ from lodeworks.llm.queries import tokenizer_path
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that have a language: those whose text is null or has no letter go."""
+    """The documents that have a language: those whose text is null, has no letter or lets the language be guessed at most go."""
     return langid.accepted(docs)
 
 

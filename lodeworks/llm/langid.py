@@ -32,6 +32,9 @@ FIT_ROWS = 500
 EPOCHS = 4
 ALPHA, BETA, LASSO, RIDGE = 0.3, 1.0, 0.02, 0.1
 UNKNOWN = "und"
+#: Rows are accepted from the score that ``KEPT`` of the labelled rows reach, or so many times a blind guess, if that is less.
+KEPT, GUESS = 0.999, 1.25
+BINS = 10_000
 #: Characters that are counted at once.
 CHUNK = 1 << 18
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -101,11 +104,16 @@ def fitted(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: list[str], id
     return Model(labels, idf, w.astype(np.float32), float(tried[int(np.argmin(loss))]))
 
 
+def teaching(docs: DataFrame) -> DataFrame:
+    """The rows that may teach: id, text and label."""
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), "text", F.col("lang").alias("label"))
+    return rows.where((F.crc32(F.col("id").cast("binary")) % FOLDS != 0) & F.col("label").isNotNull() & F.col("text").isNotNull())
+
+
 def trained(docs: DataFrame) -> Model | None:
     """The model of the rows that may teach; None where none does."""
     shipped(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("string").alias("id"), "text", F.col("lang").alias("label"))
-    rows = rows.where((F.crc32(F.col("id").cast("binary")) % FOLDS != 0) & F.col("label").isNotNull() & F.col("text").isNotNull())
+    rows = teaching(docs)
     per_label = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not per_label:
         return None
@@ -178,7 +186,25 @@ def predictions(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "predicted.lang_pred", "predicted.score")
 
 
+def bound(docs: DataFrame, model: Model) -> float:
+    """The least score of an accepted row, learned over all rows that may teach and whose label is predicted."""
+    rows = identified(teaching(docs).select("text", "label"), model).where(F.col("predicted.lang_pred") == F.col("label"))
+    bins = {r["bin"]: r["count"] for r in rows.groupBy(F.floor(F.col("predicted.score") * BINS).alias("bin")).count().collect()}  # BINS rows at most
+    least = GUESS / len(model.labels)
+    missed, allowed = 0, sum(bins.values()) * (1 - KEPT)
+    for k in sorted(bins):
+        missed += bins[k]
+        if missed > allowed:
+            return min(least, k / BINS)
+    return 0.0
+
+
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a language."""
+    """The rows of ``docs`` whose text has a letter and a language that is no mere guess; where nothing teaches, all that have a letter."""
+    model = trained(docs)
+    if model is None:
+        lettered = F.pandas_udf(lambda texts: texts.map(has_letter).astype(bool), "boolean")
+        return docs.where(lettered("text"))
     name = unused(docs, "predicted")
-    return identified(docs, trained(docs), name).where(F.col(name)["lang_pred"] != UNKNOWN).drop(name)
+    found = F.col(name)
+    return identified(docs, model, name).where((found["lang_pred"] != UNKNOWN) & (found["score"] >= bound(docs, model))).drop(name)

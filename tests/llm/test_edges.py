@@ -398,3 +398,18 @@ def test_language(spark, docs):
     assert kept.columns == frame.columns and kept.count() == len(rows) - 3
     unlabelled = langid.predictions(frame.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
+
+
+def test_language_decides_what_is_accepted(spark):
+    rng = random.Random(8)
+    stems = {"aa": "the of and ing tion", "bb": "der und ein sch keit", "cc": "que los ción ado mente"}
+    rows = []
+    for i in range(900):
+        lang = rng.choice(list(stems))
+        text = " ".join(rng.choice(stems[lang].split()) + rng.choice("aeiou") for _ in range(rng.randint(3, 60)))
+        rows.append((i, text, rng.choice(list(stems)) if i % 4 == 0 else lang))  # labels are wrong at times, so scores are no certainties
+    junk = ["\u65e5\u672c\u8a9e\u306e\u30c6\u30ad\u30b9\u30c8", "\u043f\u0440\u0438\u0432\u0435\u0442", "12 !!", None]
+    frame = spark.createDataFrame([*rows, *[(1000 + i, t, None) for i, t in enumerate(junk)]], "doc_id long, text string, lang string").repartition(3)
+    assert {r["doc_id"] for r in langid.accepted(frame).collect()} == set(range(900))
+    unlabelled = langid.accepted(frame.withColumn("lang", F.lit(None).cast("string")))
+    assert {r["doc_id"] for r in unlabelled.collect()} == {*range(900), 1000, 1001}
