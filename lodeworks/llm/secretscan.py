@@ -1,9 +1,10 @@
 """Secret scans: base rules, and a character convolutional network over every other candidate.
 
 The base rules (assignments to names like password or token, access keys, long hexadecimal runs)
-find labelled findings. A candidate is every run of 16 or more characters of the kind that keys
-are made of, with a digit among them. The network reads its characters and those around it: an
-embedding, one convolution, the maxima and means inside and outside the candidate, a linear
+find labelled findings. A candidate is every run of 6 or more characters of the kind that keys
+are made of (6 being the least of the base rules), and every finding without such a run. The network
+reads its characters, long ones in overlapping windows of which the highest counts, and those around
+it: an embedding, one convolution, the maxima and means inside and outside the candidate, a linear
 layer. It is trained in numpy on a bounded sample of candidates, those that base spans cover as
 findings; half of the findings get the surroundings of another candidate, so that it is the
 value's look that is learned as well as the place. Scores are calibrated on a part that the
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, staged
+from .common import shipped
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -33,12 +34,17 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
-#: Characters of a window: before the candidate, of it (its first), and after it.
-BEFORE, INSIDE, AFTER = 24, 48, 8
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
+#: Characters that a finding has at least.
+LEAST = 6
+#: Characters of a window: before the part of a candidate, of it, and after it; and how far the next part of a long candidate is.
+BEFORE, INSIDE, AFTER, STRIDE = 24, 48, 8, 24
+#: Windows that are scored at once, and up to how many characters inside they count as short.
+CHUNK, SHORT = 4096, 16
 #: Candidates of either label that the network is fitted on, about.
 FIT_ROWS = 3000
+#: Rows of either label that a fit needs; fewer are repeated, so that any finding teaches.
+LEAST_ROWS = 10
 EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 400, 64, 0.004
 EMBED, WIDTH, FILTERS = 10, 5, 24
 RECALL = 0.98
@@ -57,21 +63,51 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, bool, str, str, str]]:
-    """(start, end, whether a base span covers part of it, what stands before, its first characters, what stands after)."""
-    out, at, reach = [], 0, 0
+def findings(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Where the values of base spans lie: without the name that they are assigned to."""
+    return sorted((ASSIGN.match(text, a).start(2) if k == 0 else a, b) for a, k, b in base)
+
+
+def parts(start: int, end: int) -> list[tuple[int, int]]:
+    """The overlapping parts in which a candidate is read, over its whole length."""
+    return [(i, min(end, i + INSIDE)) for i in range(start, max(start + 1, end - INSIDE + STRIDE), STRIDE)]
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, bool, list[tuple[int, int]], list[int]]]:
+    """(start, end, whether a base span covers part of it, its parts, each part's label: 1 finding, 0 none, -1 neither)."""
+    out, at, first, reach = [], 0, 0, 0
+    values = findings(text, base)
+    met = [False] * len(values)
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        if not DIGIT.search(text, start, end):
-            continue
         while at < len(base) and base[at][0] < end:  # reach: where the base spans that begin before this end reach to
             reach = max(reach, base[at][2])
             at += 1
         known = reach > start
-        out.append((start, end, known, text[max(0, start - BEFORE) : start], text[start : min(end, start + INSIDE)], text[end : end + AFTER]))
+        read = parts(start, end)
+        if known:
+            while first < len(values) and values[first][1] <= start and values[first][0] <= start:
+                first += 1
+            labels = [-1] * len(read)
+            for v in range(first, len(values)):
+                if values[v][0] >= end:
+                    break
+                met[v] = met[v] or start <= values[v][0] and values[v][1] <= end
+                labels = [1 if x == 1 or min(b, values[v][1]) - max(a, values[v][0]) >= LEAST else -1 for x, (a, b) in zip(labels, read, strict=True)]
+        else:
+            labels = [0] * len(read)
+        out.append((start, end, known, read, labels))
+    for (start, end), found in zip(values, met, strict=True):
+        if not found:
+            read = parts(start, end)
+            out.append((start, end, True, read, [1] * len(read)))
     return out
 
 
+def around(text: str, part: tuple[int, int]) -> tuple[str, str, str]:
+    return text[max(0, part[0] - BEFORE) : part[0]], text[part[0] : part[1]], text[part[1] : part[1] + AFTER]
+
+
 #: Codes of characters: 0 none, 1 other, 2 white space, then the visible ASCII ones.
 _CODE = np.ones(128, np.int64)
 _CODE[[9, 10, 11, 12, 13, 32]] = 2
@@ -81,7 +117,7 @@ CODES = 97
 
 def windows(before: list[str], inside: list[str], after: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Character codes (row x place), and which places lie inside the candidate."""
-    codes, marks = np.zeros((len(inside), BEFORE + INSIDE + AFTER), np.int64), np.zeros((len(inside), BEFORE + INSIDE + AFTER), bool)
+    codes, marks = np.zeros((len(inside), BEFORE + INSIDE + AFTER), np.uint8), np.zeros((len(inside), BEFORE + INSIDE + AFTER), bool)
     for i, (a, b, c) in enumerate(zip(before, inside, after, strict=True)):
         held = np.frombuffer((a + b + c).encode("utf-32-le", "surrogatepass"), np.uint32)
         at = BEFORE - len(a)
@@ -117,7 +153,22 @@ def logits(net: Net, codes: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 
 def scores(net: Net, before: list[str], inside: list[str], after: list[str]) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(net.slope * logits(net, *windows(before, inside, after)) + net.shift, -60, 60)))
+    """The score of each window. Short ones leave out the places that are empty in them."""
+    z, size = np.empty(len(inside)), np.array([len(x) for x in inside], np.int64)
+    for own, length in ((np.flatnonzero(size <= SHORT), BEFORE + SHORT + AFTER + WIDTH // 2), (np.flatnonzero(size > SHORT), BEFORE + INSIDE + AFTER)):
+        for i in range(0, len(own), CHUNK):
+            at = own[i : i + CHUNK]
+            codes, marks = windows(*[[x[k] for k in at] for x in (before, inside, after)])
+            z[at] = logits(net, codes[:, :length], marks[:, :length])
+    return 1 / (1 + np.exp(-np.clip(net.slope * z + net.shift, -60, 60)))
+
+
+def best(net: Net, text: str, reads: list[list[tuple[int, int]]]) -> np.ndarray:
+    """The highest score of each candidate's parts."""
+    if not reads:
+        return np.empty(0)
+    got = scores(net, *map(list, zip(*[around(text, p) for read in reads for p in read], strict=True)))
+    return np.maximum.reduceat(got, np.cumsum([0, *map(len, reads[:-1])]))
 
 
 def _gradients(net: Net, codes: np.ndarray, marks: np.ndarray, label: np.ndarray):
@@ -176,67 +227,95 @@ def fitted(before: list[str], inside: list[str], after: list[str], known: list[b
     return net._replace(slope=float(slope), shift=float(shift))
 
 
-SCANNED = "doc_id long, base array<struct<start:long,kind:int,end:long>>, candidates array<struct<start:long,end:long,known:boolean,before:string,inside:string,after:string>>"
-
-
-def scanned(docs: DataFrame) -> DataFrame:
-    """Per row: its base spans and candidates. Nothing is shuffled."""
+def trained(docs: DataFrame) -> Net | None:
+    """The network of a sample of the parts of all candidates; None where there is no finding, or nothing beside findings."""
     shipped(docs.sparkSession)
-    span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    place = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("known", pa.bool_()), ("before", pa.string()), ("inside", pa.string()), ("after", pa.string())]))
+    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text").where("text is not null")
 
-    def scan(batches):
+    def counted(batches):
+        n = [0, 0]
         for batch in batches:
-            base, more = [], []
             for text in batch.column("text"):
-                text = text.as_py() or ""
-                found = base_spans(text)
-                base.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in found])
-                more.append([dict(zip(("start", "end", "known", "before", "inside", "after"), x, strict=True)) for x in candidates(text, found)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, span), pa.array(more, place)], ["doc_id", "base", "candidates"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, SCANNED)
-
+                text = text.as_py()
+                for c in candidates(text, base_spans(text)):
+                    for label in c[4]:
+                        if label >= 0:
+                            n[label] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(n, pa.int64())], ["known", "n"])
+
+    n = {r["known"]: r["n"] for r in texts.mapInArrow(counted, "known int, n long").groupBy("known").agg(F.sum("n").alias("n")).collect()}
+    if not n.get(0) or not n.get(1):
+        return None
+    share = [min(1.0, FIT_ROWS / n[k]) for k in (0, 1)]
 
-def trained(rows: DataFrame) -> Net | None:
-    """The network of a sample of the candidates of ``rows`` (as scanned)."""
-    each = rows.select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.*")
-    per_label = {r["known"]: r["count"] for r in each.groupBy("known").count().collect()}
-    share = F.when(F.col("known"), min(1.0, FIT_ROWS / per_label.get(True, 1))).otherwise(min(1.0, FIT_ROWS / per_label.get(False, 1)))
-    order = F.xxhash64("doc_id", "start", "inside")
-    sample = each.where(F.pmod(order, F.lit(1_000_000)) < 1_000_000 * share).select(order.alias("order"), "before", "inside", "after", "known").toArrow()
-    sample = sample.sort_by([("order", "ascending"), ("before", "ascending")])
-    return fitted(*[sample[c].to_pylist() for c in ("before", "inside", "after", "known")])
+    def sampled(batches):
+        for batch in batches:
+            out = []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                text = text.as_py()
+                for c in candidates(text, base_spans(text)):
+                    for part, label in zip(c[3], c[4], strict=True):
+                        if label < 0:
+                            continue
+                        order = ((key ^ part[0] * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 >> 20) % (1 << 40)
+                        if order < share[label] * (1 << 40):
+                            out.append((order * 0x9E3779B1 % (1 << 40), *around(text, part), label == 1))
+            names = ["order", "before", "inside", "after", "known"]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
+
+    sample = texts.mapInArrow(sampled, "order long, before string, inside string, after string, known boolean").toArrow()
+    rows = sorted(zip(*[sample[c].to_pylist() for c in ("order", "before", "inside", "after", "known")], strict=True))
+    for known in (True, False):
+        own = [x for x in rows if x[4] == known]
+        if not own:
+            return None
+        rows += own * (-(-LEAST_ROWS // len(own)) - 1)
+    return fitted(*[[x[i] for x in rows] for i in (1, 2, 3, 4)])
 
 
 def reported(docs: DataFrame) -> DataFrame:
     """One row per document: base counts, a digest of the base spans, and all spans."""
-    rows = staged(scanned(docs), "scanned")
-    net = trained(rows)
-
-    def scored(batches):
-        for batch in batches:
-            lists = batch.column("candidates")
-            flat = lists.flatten()
-            got = scores(net, *[flat.field(c).to_pylist() for c in ("before", "inside", "after")]) if len(flat) else np.empty(0)
-            made = pa.StructArray.from_arrays([flat.field("start"), flat.field("end"), flat.field("known"), pa.array(got, pa.float64())], ["start", "end", "known", "score"])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("base"), pa.ListArray.from_arrays(lists.offsets, made)], ["doc_id", "base", "candidates"])
-
-    kind = "doc_id long, base array<struct<start:long,kind:int,end:long>>, candidates array<struct<start:long,end:long,known:boolean,score:double>>"
-    if net is None:
-        none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
-        rows = rows.withColumn("more", none)
-    else:
-        rows = staged(rows.mapInArrow(scored, kind), "scored")
-        bins = rows.select(F.explode(F.filter("candidates", lambda c: c["known"])["score"]).alias("s")).groupBy(F.floor(F.col("s") * BINS).alias("bin")).count().collect()  # BINS rows at most
-        missed, allowed, threshold = 0, sum(r["count"] for r in bins) * (1 - RECALL), 1.0
+    net = trained(docs)
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    threshold = 1.0
+    if net is not None:
+
+        def binned(batches):
+            n = np.zeros(BINS + 1, np.int64)
+            for batch in batches:
+                for text in batch.column("text"):
+                    text = text.as_py() or ""
+                    if base := base_spans(text):
+                        got = best(net, text, [c[3] for c in candidates(text, base) if 1 in c[4]])
+                        n += np.bincount((got * BINS).astype(np.int64), minlength=BINS + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["bin", "n"])
+
+        bins = texts.mapInArrow(binned, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("count")).collect()  # BINS rows at most
+        missed, allowed = 0, sum(r["count"] for r in bins) * (1 - RECALL)
         for r in sorted(bins, key=lambda r: r["bin"]):
             missed += r["count"]
             if missed > allowed:
                 threshold = r["bin"] / BINS
                 break
-        more = F.filter("candidates", lambda c: ~c["known"] & (c["score"] >= threshold))
-        rows = rows.withColumn("more", F.transform(more, lambda c: F.struct(c["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), c["end"].alias("end"))))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+
+    def scan(batches):
+        for batch in batches:
+            base, more = [], []
+            for text in batch.column("text"):
+                text = text.as_py() or ""
+                found, new = base_spans(text), []
+                if net is not None:
+                    other = [c for c in candidates(text, found) if not c[2]]
+                    got = best(net, text, [c[3] for c in other])
+                    new = [(other[k][0], len(KINDS), other[k][1]) for k in np.flatnonzero(got >= threshold)]
+                for out, x in ((base, found), (more, new)):
+                    out.append([dict(zip(("start", "kind", "end"), y, strict=True)) for y in x])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, span), pa.array(more, span)], ["doc_id", "base", "more"])
+
+    spans = "array<struct<start:long,kind:int,end:long>>"
+    rows = texts.mapInArrow(scan, f"doc_id long, base {spans}, more {spans}")
 
     def written(column):
         names = F.array(*[F.lit(k) for k in (*KINDS, "secret")])

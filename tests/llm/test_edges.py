@@ -124,6 +124,35 @@ def test_secret_network_finds_what_looks_like_secrets():
     assert secretscan.fitted(before[:4], inside[:4], after[:4], known[:4]) is None
 
 
+def test_secret_candidates_are_read_whole():
+    text = "password: hunter and \"" + "see/the/path/of/words/" * 5 + "Zk93LmQ0xT71\", token=a.b.cd.e secret = " + "x1" * 60
+    found = secretscan.candidates(text, secretscan.base_spans(text))
+    for start, end, _, read, labels in found:
+        assert {k for a, b in read for k in range(a, b)} == set(range(start, end)) and len(read) == len(labels)
+    assert max(len(c[3]) for c in found) > 3
+    taught = {text[c[0] : c[1]] for c in found if 1 in c[4]}
+    assert taught == {"hunter", "a.b.cd.e", "x1" * 60}  # no names that are assigned to, and findings of any length
+    assert {text[c[0] : c[1]] for c in found if not c[2]} == {"see/the/path/of/words/" * 5 + "Zk93LmQ0xT71"}
+
+
+def test_secrets_beyond_the_first_characters_count(spark):
+    rng = random.Random(12)
+
+    def key():
+        return "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=96))
+
+    rows = [(i, f"{words(i, 20)} token = \"{key()}\" {words(i + 500, 20)} {words(i, 12, 9).replace(' ', '/')}") for i in range(200)]
+    path = words(900, 20).replace(" ", "/")
+    assert len(path) > 60
+    rows += [(300, f"{words(7, 9)} {path}/{key()} {words(8, 9)}"), (301, f"{words(7, 9)} {path} {words(8, 9)}")]
+    net = secretscan.trained(spark.createDataFrame(rows[:200], "doc_id long, text string"))
+    long = f"{path}/{key()}"
+    whole, first = (secretscan.best(net, long, [read])[0] for read in (secretscan.parts(0, len(long)), [(0, secretscan.INSIDE)]))
+    assert whole > 0.5 > first
+    few = secretscan.trained(spark.createDataFrame(rows[:3], "doc_id long, text string"))
+    assert few is not None and secretscan.trained(spark.createDataFrame(rows[-1:], "doc_id long, text string")) is None
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
