@@ -1,12 +1,18 @@
 """Packing of documents into sequences of at most ``length`` tokens with little padding.
 
 A document's ids (the vocabulary's, then a closing id) are cut into whole sequences and one
-rest. Whole sequences need no partner. The rests are packed in groups of bounded size by
-multiway differencing (Karmarkar-Karp): partial partitions into m windows are merged, largest
-imbalance first, the fullest windows of one with the emptiest of the other, which gives m
-near-equal windows; where one exceeds the capacity, m rises and the group is packed anew.
-One rest in four is cut into halves of halves, and these small pieces let the differences
-shrink to a token or so.
+rest; a document that fits is a rest as a whole. Whole sequences need no partner. The rests are
+packed in groups of bounded size by multiway differencing (Karmarkar-Karp): partial partitions
+into m windows are merged, largest imbalance first, the fullest windows of one with the emptiest
+of the other, which gives m near-equal windows; where one exceeds the capacity, m rises, up to a
+share of ``SLACK`` windows more than the tokens ask for. Windows that exceed the capacity even
+then are short of room by some tokens: so many, ``LEAST`` at least, are cut off a rest (of a
+document that is cut anyway, if there is one) and laid into the window with the most room, or
+into a further window where none has enough.
+
+Groups are dealt by a hash of the piece, so the result does not hang on the order or files of
+the table; only rows that are repeated so often that their group exceeds its bound are dealt on
+by their place.
 
 Defined results: a null or empty text is the closing id alone; repeated rows are packed each
 on its own; a null doc_id stays null; an empty table gives an empty result; other columns are
@@ -21,7 +27,6 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -31,9 +36,13 @@ from .bpe import WORD_PATTERN, Memory, remembered, vocabulary
 from .common import shipped, staged
 
 #: Pieces in a group of rests: bounds the memory and time of one packing, not what is packed.
-GROUP_PIECES = 1600
-#: One rest in so many is cut finely.
-FINE_EVERY = 4
+GROUP_PIECES = 3200
+#: Share of windows beyond those that the tokens ask for, up to which their number rises before rests are cut.
+SLACK = 0.006
+#: Tokens that are cut off at least, and what their number is a multiple of.
+LEAST, GRAIN = 32, 16
+#: Bits of a sequence's number that name its window within a group.
+WINDOW_BITS = 24
 
 
 @functools.lru_cache(maxsize=1)
@@ -44,15 +53,9 @@ def id_memory(path: str) -> Memory:
     return Memory(library.encode_ordinary, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
 
 
-def cuts(tokens: int, length: int, fine: bool) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: whole sequences, then the rest, in one piece or in halves of halves."""
-    out = [(s, length) for s in range(0, tokens - length + 1, length)]
-    start = len(out) * length
-    while start < tokens:
-        n = (tokens - start + 1) // 2 if fine else tokens - start
-        out.append((start, n))
-        start += n
-    return out
+def cuts(tokens: int, length: int) -> list[tuple[int, int]]:
+    """(start, length) of a document's whole sequences and its rest."""
+    return [(s, min(length, tokens - s)) for s in range(0, tokens, length)]
 
 
 def differenced(sizes: list[int], m: int) -> np.ndarray:
@@ -94,53 +97,117 @@ def differenced(sizes: list[int], m: int) -> np.ndarray:
     return window
 
 
-def balanced(sizes: list[int], capacity: int) -> np.ndarray:
-    """The window of each piece; as many windows as it takes for none to exceed the capacity."""
-    m = max(1, -(-sum(sizes) // capacity))
+def balanced(sizes: list[int], capacity: int, most: int | None = None) -> tuple[np.ndarray, int]:
+    """The window of each piece, and the number of windows: as many as it takes for none to exceed the capacity, but not more than ``most``."""
+    total = sum(sizes)
+    m = max(1, -(-total // capacity))
     while True:
         window = differenced(sizes, m)
-        if np.bincount(window, weights=sizes, minlength=m).max() <= capacity:
-            return window
-        m += 1
+        over = np.bincount(window, weights=sizes, minlength=m).max() - capacity
+        if over <= 0 or most is not None and m >= most:
+            return window, m
+        # an excess of some tokens in a window asks for about as many less in each
+        m = max(m + 1, min(-(-total // max(1, capacity - int(over) // 2)), most or 1 << 62))
+
+
+def placed(sizes: list[int], capacity: int, cut_already: list[bool]) -> list[tuple[int, int, int, int]]:
+    """(piece, start in it, length, window) of all pieces, some of them cut in two or more."""
+    window, m = balanced(sizes, capacity, max(1, -(-sum(sizes) // capacity), int(sum(sizes) / (capacity * (1 - SLACK)))))
+    loads = np.bincount(window, weights=sizes, minlength=m).astype(np.int64).tolist()
+    held: list[list[int]] = [[] for _ in range(m)]
+    for i, w in enumerate(window.tolist()):
+        held[w].append(i)
+    left, moved = list(sizes), []
+    for w in range(m):
+        while (over := loads[w] - capacity) > 0:
+            i = max(held[w], key=lambda i: (left[i] >= 2 * LEAST and cut_already[i], left[i], -i))
+            n = max(-(-over // GRAIN) * GRAIN, LEAST)
+            if left[i] - n < LEAST:  # too little would stay
+                n = left[i]
+                held[w].remove(i)
+            left[i] -= n
+            loads[w] -= n
+            moved.append((-n, i, left[i]))
+    rooms = [(loads[w] - capacity, w) for w in range(m)]
+    heapq.heapify(rooms)
+    out = []
+    for n, i, start in sorted(moved):
+        if rooms[0][0] > n:
+            heapq.heappush(rooms, (-capacity, m))
+            m += 1
+        room, w = heapq.heappop(rooms)
+        heapq.heappush(rooms, (room - n, w))
+        out.append((i, start, -n, w))
+    return [(i, 0, left[i], w) for i, w in enumerate(window.tolist()) if left[i]] + out
+
+
+def crc_marks(ids: bytes | memoryview) -> list[int]:
+    """The digests (crc32) of the ids before each place where a rest may be cut, which is a multiple of GRAIN from its end, and of all of it."""
+    out, digest, at = [], 0, 0
+    for end in range(len(ids) % (4 * GRAIN) or 4 * GRAIN, len(ids) + 1, 4 * GRAIN):
+        digest = zlib.crc32(ids[at:end], digest)
+        at = end
+        out.append(digest)
+    return out
+
+
+def crc_between(before: int, all_: int, n: int) -> int:
+    """The digest of the last n ids, by the digests of those before them and of all. The digest is linear but for its constant parts."""
+    nothing = bytes(4 * n)
+    return all_ ^ zlib.crc32(nothing, before) ^ zlib.crc32(nothing)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
 
 def pieces(docs: DataFrame, path: str, length: int, closing: int) -> DataFrame:
     shipped(docs.sparkSession)
 
     def cut(batches):
-        vocab, memory, rests = vocabulary(path), id_memory(path), 0
+        vocab, memory = vocabulary(path), id_memory(path)
         end = np.array([closing], "<u4").tobytes()
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 doc = doc.as_py()
                 ids = memoryview(b"".join([*remembered(vocab, memory, text.as_py() or ""), end]))
                 tokens = len(ids) // 4
-                rests += tokens % length > 0
-                for start, n in cuts(tokens, length, rests % FINE_EVERY == 0):
-                    for column, x in zip(rows, (doc, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), tokens), strict=True):
+                for start, n in cuts(tokens, length):
+                    marks = crc_marks(ids[4 * start : 4 * (start + n)]) if n < length else [zlib.crc32(ids[4 * start : 4 * (start + n)])]
+                    for column, x in zip(rows, (doc, start, n, marks.pop(), tokens, marks), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in rows[:5]], pa.array(rows[5], pa.list_(pa.int64()))], [*NAMES, "marks"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, f"{PIECES}, marks array<long>")
 
 
 def packed(docs: DataFrame, path: str, length: int = 2048, closing: int = 1) -> DataFrame:
     """One row per piece: where it lies in its document, and in which sequence and where there."""
     cut = staged(pieces(docs, path, length, closing), "pieces").withColumn("n", F.monotonically_increasing_id())
-    whole = cut.where(F.col("length") == length).select(*cut.columns[:5], F.col("n").bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = cut.where(F.col("length") == length).select(*NAMES, F.col("n").bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rests = cut.where(F.col("length") < length)
     groups = max(1, -(-rests.count() // GROUP_PIECES))
-
-    def packing(key, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "start", "n"], kind="stable")  # the same for each run, whatever order the shuffle gives
-        sizes = group["length"]
-        window = balanced(sizes.tolist(), length)
-        out = group[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].assign(sequence_id=(int(key[0]) << 24) + window)
-        return out.assign(offset=sizes.groupby(window).cumsum() - sizes)
-
-    dealt = rests.withColumn("group", F.pmod("n", F.lit(groups)))
-    return whole.unionByName(dealt.groupBy("group").applyInPandas(packing, f"{PIECES}, sequence_id long, offset long"))
+    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(groups))
+    rests = rests.withColumn("group", group)
+    full = rests.groupBy("group").agg(F.count("*").alias("k")).where(F.col("k") > 2 * GROUP_PIECES).select("group", F.ceil(F.col("k") / GROUP_PIECES).alias("parts"))
+    dealt = rests.join(full, "group", "left").withColumn("group", F.col("group") + groups * F.pmod("n", F.coalesce("parts", F.lit(1))))
+
+    def digest(rows: dict, i: int, at: int) -> int:
+        size = rows["length"][i]
+        return 0 if at == 0 else rows["ids_crc32"][i] if at == size else rows["marks"][i][(at - (size % GRAIN or GRAIN)) // GRAIN]
+
+    def packing(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = table.select([*NAMES, "marks"]).sort_by([(x, "ascending") for x in NAMES]).to_pydict()  # the same for each run, whatever order the shuffle gives
+        out: list[list] = [[] for _ in range(7)]
+        ends: dict[int, int] = {}
+        first = key[0].as_py() << WINDOW_BITS
+        for i, start, n, w in placed(rows["length"], length, [t > length for t in rows["doc_tokens"]]):
+            offset = ends.get(w, 0)
+            ends[w] = offset + n
+            crc = crc_between(digest(rows, i, start), digest(rows, i, start + n), n)
+            for column, x in zip(out, (rows["doc_id"][i], rows["start"][i] + start, n, crc, rows["doc_tokens"][i], first + w, offset), strict=True):
+                column.append(x)
+        return pa.table([pa.array(c, pa.int64()) for c in out], [*NAMES, "sequence_id", "offset"])
+
+    return whole.unionByName(dealt.groupBy("group").applyInArrow(packing, f"{PIECES}, sequence_id long, offset long"))
