@@ -16,10 +16,14 @@ members of one leader's group in different components: those outside the group's
 are held against all of the group, in blocks of bounded size within tasks, which pass on nothing
 but links.
 
+Keys that many classes have (a leader's, a component's, a table's, a set's with many copies) are
+dealt into pieces wherever they are joined (``joined``).
+
 Defined results: a null or empty text, or one of white space, has an empty set and is linked
 with nothing; a null doc_id takes no part and is kept, with a null component; repeated rows are
 copies of each other; of rows with one doc_id and different texts each has the component of its
-own text; an empty table gives an empty result; other columns are ignored.
+own text; an empty table gives an empty result; other columns are ignored. Of the rows of a
+component one stays, of those with the smallest doc_id that with the smallest hash of its text.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, staged, unused
+from .common import joined, shipped, staged, unused
 
 WORDS = 5
 COLLECTIONS = 16
@@ -115,7 +119,12 @@ def _chunks(batch: pa.RecordBatch):
         yield rows, held
 
 
-SIGNED = "doc_id long, n long, node long, keys array<long>, agree array<long>"
+def digest_of(shingles: np.ndarray) -> int:
+    """64 bits that stand for a set."""
+    return _mixed(np.array([np.add.reduce(shingles) ^ _mixed(np.array([np.bitwise_xor.reduce(shingles) + _U(len(shingles))]))[0]])).view(np.int64)[0].item()
+
+
+SIGNED = "doc_id long, text_hash long, n long, node long, keys array<long>, agree array<long>"
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -132,15 +141,14 @@ def signed(docs: DataFrame) -> DataFrame:
                         node.append(None), keys.append(None), agree.append(None)
                         continue
                     low = minhashes(s)
-                    digest = _mixed(np.array([np.add.reduce(s) ^ _mixed(np.array([np.bitwise_xor.reduce(s) + _U(len(s))]))[0]]))
-                    node.append(digest.view(np.int64)[0].item())
+                    node.append(digest_of(s))
                     keys.append(_mixed(low[::2] * _PAIR[0] + low[1::2] * _PAIR[1] + np.arange(COLLECTIONS, dtype=np.uint64)).view(np.int64))
                     agree.append((_mixed(low) >> _U(56)).astype(np.uint8).view(np.int64))
-                ids = batch.column("doc_id").take(pa.array(rows))
+                ids = [batch.column(x).take(pa.array(rows)) for x in ("doc_id", "text_hash")]
                 lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, agree)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), *lists], ["doc_id", "n", "node", "keys", "agree"])
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), *lists], ["doc_id", "text_hash", "n", "node", "keys", "agree"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sign, SIGNED)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -151,16 +159,21 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def sets(batches):
         for batch in batches:
             for rows, texts in _chunks(batch):
-                found = pa.array([s.view(np.int64) for s in shingle_sets(texts)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(rows)), found], ["node", "shingles"])
+                asked = batch.column("node").take(pa.array(rows)).to_pylist()
+                held = [(k, s) for k, s in zip(asked, shingle_sets(texts), strict=True) if len(s) and digest_of(s) == k]  # of rows with one doc_id, those that have the class's set
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([s.view(np.int64) for _, s in held], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    # of rows with one doc_id, only the one that has the class's set
     return picked.mapInArrow(sets, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
+def _counted(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("k"))
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have the asked similarity."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    """The pairs (a, b) whose full sets have the asked similarity. b is a leader, of many pairs maybe; an a has one leader a table at most."""
+    own = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = joined(own, sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), ["b"], ["a"], counts=_counted(pairs, "b"))
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
@@ -171,10 +184,11 @@ def components(edges: DataFrame) -> DataFrame:
     stars, before = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"), None
     while True:
         ways = stars.union(stars.select("b", "a"))
-        least = ways.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = ways.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = staged(ways.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("k")), "least")
+        large = joined(ways.where("b > a"), least.select("a", "m"), ["a"], ["b"], counts=least.select("a", "k"))  # a star's centre has many ways
+        large = staged(large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = large.join(least, "a")  # no more rows of an a than it had smaller neighbours
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
         stars = staged(small.where("a <> b").distinct(), "stars")
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -213,19 +227,18 @@ def shared_sizes(sets: DataFrame) -> DataFrame:
 def postings(classes: DataFrame) -> DataFrame:
     """(key, node): the tables' entries, without keys that only one class has."""
     single = classes.select("node", F.posexplode("keys").alias("c", "key"))
-    shared = single.groupBy("c", "key").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    held = single.join(shared, ["c", "key"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("held"))  # 16 at most
+    shared = staged(_counted(single, "c", "key").where("k > 1"), "shared-keys")
+    held = joined(single, shared.select("c", "key"), ["c", "key"], ["node"], counts=shared).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("held"))  # 16 at most
     tables = F.expr(
         "flatten(transform(held, (x, i) -> transform(slice(held, i + 2, size(held)), y -> xxhash64(x.c, x.key, y.c, y.key))))"
     )
-    entries = held.where("size(held) > 1").select("node", F.explode(tables).alias("key"))
-    return _met(entries)
+    return _met(staged(held.where("size(held) > 1").select("node", F.explode(tables).alias("key")), "entries"))
 
 
 def _met(entries: DataFrame) -> DataFrame:
     """The entries whose key more than one class has."""
-    often = entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    return entries.join(often, "key")
+    often = staged(_counted(entries, "key").where("k > 1"), "often")
+    return joined(entries, often.select("key"), ["key"], ["node"], counts=often)
 
 
 def links_apart(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,7 +246,7 @@ def links_apart(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sizes = groups.groupBy("leader", "label").agg(F.count("*").alias("k"))
     parts = sizes.groupBy("leader").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("all")).where(F.col("all") > F.col("most.k"))
     parts = parts.select("leader", F.col("most.label").alias("most"), F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("most.k")) / BLOCK).alias("apart"))
-    rows = groups.join(parts, "leader").join(sets, "node")
+    rows = joined(groups, staged(parts, "parts"), ["leader"], ["node"]).join(sets, "node")
     own, other = F.pmod(F.xxhash64("node"), "blocks"), F.pmod(F.xxhash64("node", F.lit(1)), "apart")
     every = rows.select("leader", "node", "label", "shingles", F.lit(False).alias("outside"), own.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("apart") - 1)).alias("j"))
     outside = rows.where("label <> most").select("leader", "node", "label", "shingles", F.lit(True).alias("outside"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), other.alias("j"))
@@ -269,40 +282,62 @@ def links_apart(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return every.unionByName(outside).groupBy("leader", "i", "j").applyInArrow(met, "a long, b long").distinct()
 
 
-def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row per document: set size, component (its smallest doc_id), and whether it is the one that is kept."""
+def labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """One row per document: doc_id, text_hash, set size n, set (node), component of sets (label) and component_id."""
     rows = staged(signed(docs), "signed")
     sets_of = rows.where("node is not null and doc_id is not null")
-    classes = staged(sets_of.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("agree").alias("agree")), "classes")
+    classes = staged(sets_of.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("agree").alias("agree")), "classes")
     met = staged(postings(classes), "met")
     wanted = met.select("node").distinct().join(classes.select("node", F.col("rep").alias("doc_id")), "node")
     sets = staged(full_sets(docs, wanted), "sets")
     about = classes.select("node", "n", "agree").join(shared_sizes(sets), "node").where(100 * F.col("shared") >= percent * F.col("n"))
-    entries = staged(_met(met.join(staged(about, "about"), "node")), "entries")
+    entries = staged(_met(staged(met.join(staged(about, "about"), "node"), "entries")), "entries")
 
     first = F.struct((-F.col("shared") / F.col("n")).alias("o"), F.xxhash64("node").alias("h"), "node", "n", "shared", "agree")
-    leaders = entries.groupBy("key").agg(F.min(first).alias("l"))
-    led = entries.join(leaders.select("key", F.col("l.node").alias("b"), *[F.col(f"l.{c}").alias(f"{c}2") for c in ("n", "shared", "agree")]), "key")
-    pairs = staged(led.where((F.col("node") != F.col("b")) & _plausible(percent)).select(F.col("node").alias("a"), "b").distinct(), "led")
+    leaders = staged(entries.groupBy("key").agg(F.min(first).alias("l"), F.count("*").alias("k")), "leaders")
+    led = joined(entries, leaders.select("key", F.col("l.node").alias("b"), *[F.col(f"l.{c}").alias(f"{c}2") for c in ("n", "shared", "agree")]), ["key"], ["node"], counts=leaders.select("key", "k"))
+    groups = staged(led.select("node", "b", ((F.col("node") != F.col("b")) & _plausible(percent)).alias("plausible")).distinct(), "led")
+    pairs = groups.where("plausible").select(F.col("node").alias("a"), "b")
     links = staged(linked(pairs, sets, percent), "links")
     labels = staged(components(links), "labels")
 
-    groups = led.select(F.col("b").alias("leader"), "node").distinct().join(labels, "node", "left")
+    groups = groups.select(F.col("b").alias("leader"), "node").join(labels, "node", "left")
     groups = staged(groups.select("leader", "node", F.coalesce("label", "node").alias("label")), "groups")
     more = staged(links_apart(groups, sets, percent), "more")
     if not more.isEmpty():
         labels = staged(components(more.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))), "joined")
 
-    named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    component = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(component, "label").select("node", "component_id")
-    out = rows.join(of_class, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    named = staged(classes.select("node", "rep", "k").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+    component = staged(named.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("k")), "components")
+    of_class = staged(joined(named.drop("k"), component.drop("k"), ["label"], ["node"], counts=component.select("label", "k")).select("node", "label", "component_id"), "of-class")
+    rows = rows.select("doc_id", "text_hash", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    out = joined(rows, of_class, ["node"], ["doc_id", "text_hash"], "left", counts=named.select("node", "k"))
+    return out.withColumn("component_id", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")))
+
+
+def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row per document: set size, component (its smallest doc_id), and whether it is the one that is kept."""
+    return labelled(docs, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` without those that another document of their group stands for."""
-    gone_id = unused(docs, "gone_id")
-    gone = staged(grouped(docs, percent).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
-    small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].cast("long") == gone[gone_id], "left_anti")
+    """The rows of ``docs`` without those that another row of their component stands for."""
+    names = gone_id, gone_hash = unused(docs, "gone_id"), unused(docs, "gone_hash")
+    rows = staged(labelled(docs, percent).where("node is not null"), "labelled")
+    stays = F.col("doc_id") == F.col("component_id")
+    gone = rows.where(~stays).select("doc_id", "text_hash")
+    held = rows.where(stays).groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("k"))
+    first = held.groupBy("label").agg(F.min("text_hash").alias("first"))
+    again = staged(held.join(first, "label").where("k > 1 or text_hash <> first"), "again")  # only where a doc_id is repeated
+    gone = staged(gone.union(again.where("text_hash <> first").select("doc_id", "text_hash")).distinct().toDF(*names), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    same = (docs["doc_id"].cast("long") == gone[gone_id]) & (F.xxhash64(docs["text"]) == gone[gone_hash])
+    out = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    if again.isEmpty():
+        return out
+    # one row of those that are repeated as they are
+    repeated = again.where("text_hash = first").select("doc_id", "text_hash").toDF(*names)
+    marked = out.withColumn(gone_id, out["doc_id"].cast("long")).withColumn(gone_hash, F.xxhash64("text"))
+    once = joined(marked, repeated, list(names), docs.columns).dropDuplicates(list(names))
+    same = [marked[x] == repeated[x] for x in names]
+    return marked.join(repeated, same, "left_anti").unionByName(once).select(*docs.columns)
