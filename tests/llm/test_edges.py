@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeworks.llm import bpe, htmltext, langid, licenses, neardup, packing, pii, secretscan, topk, winnowing
+from lodeworks.llm.common import joined
 from lodeworks.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, row int, base string, ids string, predicted string, gone_id long, mask_id long, bucket int, label string, start long, `group` int"
@@ -179,11 +180,55 @@ def test_packing(docs):
 
 def test_differencing_balances():
     rng = random.Random(2)
-    sizes = [n for _ in range(200) for _, n in packing.cuts(rng.randint(1, 2047), 2048, rng.random() < 0.25)]
-    window = packing.balanced(sizes, 2048)
-    loads = [sum(s for s, w in zip(sizes, window) if w == k) for k in set(window)]
-    assert max(loads) <= 2048 and max(loads) - min(loads) <= 64 and len(loads) <= -(-sum(sizes) // 2048) + 2
-    assert packing.balanced([2048, 2047, 1, 1], 2048).max() == 2
+    sizes = [n for _ in range(400) for n in (rng.randint(1, 2047), rng.randint(1, 600))]
+    window, m = packing.balanced(sizes, 2048)
+    loads = [sum(s for s, w in zip(sizes, window) if w == k) for k in range(m)]
+    assert max(loads) <= 2048 and max(loads) - min(loads) <= 200 and m <= 1.05 * sum(sizes) / 2048
+    assert packing.balanced([2048, 2047, 1, 1], 2048)[0].max() == 2
+
+
+@pytest.mark.parametrize("sizes", [[], [5], [2000] * 3, [1500, 1500, 1000], [1] * 5000, [2047] * 40, [1366] * 60, [700] * 99 + [3] * 7])
+def test_rests_are_cut_only_where_a_window_is_short(sizes):
+    out = packing.placed(sizes, 2048, [i % 3 == 0 for i in range(len(sizes))])
+    loads, own = {}, {}
+    for i, start, n, w in out:
+        loads[w] = loads.get(w, 0) + n
+        own.setdefault(i, []).append((start, n))
+        assert n >= min(packing.LEAST, sizes[i])
+    for i, size in enumerate(sizes):
+        at = 0
+        for start, n in sorted(own[i]):
+            assert start == at
+            at += n
+        assert at == size
+    assert max(loads.values(), default=0) <= 2048
+    assert len(out) - len(sizes) <= max(len(loads), 1)
+
+
+def test_digests_of_cut_rests():
+    for n in (1, 15, 16, 17, 999, 2047):
+        ids = random.Random(n).randbytes(4 * n)
+        marks = packing.crc_marks(ids)
+        for k, digest in enumerate(marks):
+            at = (n % packing.GRAIN or packing.GRAIN) + packing.GRAIN * k
+            assert digest == zlib.crc32(ids[: 4 * at])
+            assert packing.crc_between(digest, marks[-1], n - at) == zlib.crc32(ids[4 * at :])
+
+
+def test_packing_has_little_padding_in_any_layout(spark):
+    rng = random.Random(4)
+    texts = [words(i, int(rng.lognormvariate(5.6, 0.9)) + 1, 3000) for i in range(1500)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for layout in (frame.repartition(1), frame.repartition(7, "text")):
+        got = packing.packed(layout, tokenizer_path()).collect()
+        sequences = {r["sequence_id"] for r in got}
+        assert 1 - sum(r["length"] for r in got) / (2048 * len(sequences)) < 0.015
+        assert sum(1 for r in got if r["length"] < packing.LEAST and r["length"] < r["doc_tokens"] % 2048) == 0
+        cut = {r["doc_id"] for r in got if r["doc_tokens"] <= 2048 and r["length"] < r["doc_tokens"]}
+        assert len(cut) < 0.15 * len(texts)
+        found.append(sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["offset"]) for r in got))
+    assert found[0] == found[1]
 
 
 def shingles(t):
@@ -232,6 +277,24 @@ def test_near_duplicates_of_edited_copies(spark):
     assert {i: got[i]["component_id"] for i in texts} == label
 
 
+def test_repeated_ids_keep_one_row_of_each_component(spark):
+    near = BASE.replace(BASE.split()[60], "changed", 1)
+    other = words(77, 90, 400)
+    rows = [(1, BASE, "a"), (1, near, "b"), (1, other, "c"), (2, BASE, "d"), (3, other, "e"), (3, other, "e"), (4, words(78, 50), "f"), (4, words(78, 50), "f"), (5, None, "g"), (5, None, "g"), (None, BASE, "h")]
+    kept = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, gone_hash string").repartition(3)).collect()
+    found = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept)
+    assert [x[0] for x in found] == [0, 1, 1, 4, 5, 5]
+    assert {x[1] for x in found if x[0] == 1} in ({BASE, other}, {near, other})
+
+
+def test_joins_hold_hot_keys(spark):
+    many = spark.createDataFrame([(i % 3 if i % 2 else 7, i) for i in range(900)] + [(None, 1000), (8, 1001)], "key long, x long").repartition(3)
+    one = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (7, "h")], "key long, y string")
+    for how in ("inner", "left"):
+        got = sorted(map(str, joined(many, one, ["key"], ["x"], how, most=100).select("key", "x", "y").collect()))
+        assert got == sorted(map(str, many.join(one, "key", how).select("key", "x", "y").collect()))
+
+
 def pii_base(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
@@ -287,6 +350,51 @@ def test_found_identifiers_reveal_further_contexts(spark):
     assert all("context:" in got[i + k]["spans"] for i in (100, 200) for k in range(8))
 
 
+def masked_by_hand(t):
+    spans, out, at = [], [], 0
+    for start, kind, end in pii_base(t):
+        if spans and start < spans[-1][2]:
+            spans[-1][2] = max(spans[-1][2], end)
+        else:
+            spans.append([start, kind, end])
+    for start, kind, end in spans:
+        out += [t[at:start], f"[{pii.KINDS[kind].upper()}]"]
+        at = end
+    return "".join(out) + t[at:]
+
+
+def test_masking_and_long_texts_full_of_matches(spark):
+    rng = random.Random(21)
+    pieces = ["a.b@c.dd", "1.2.3.4", "4111 1111 1111 1111", "+1 (017) 555-7713", "4111111111111111.2.3.4", "word", "día 😀", "12.0.0.1@x.yy"]
+    texts = {i: " ".join(rng.choice(pieces) for _ in range(i * 7)) for i in range(12)}
+    texts[100] = " ".join(f"a{i}@b.cc" for i in range(20_000))  # 200 KB
+    frame = spark.createDataFrame([*texts.items(), (101, None), (102, "")], "doc_id long, text string")
+    got = by_id(pii.reported(frame))
+    assert got[100]["n_email"] == 20_000
+    spans = {i: {tuple(map(int, x.split(":")[1:])) for x in got[i]["spans"].split(",") if x.startswith("context")} for i in texts}
+    for i, r in by_id(pii.masked(frame)).items():
+        if i in texts and not spans[i]:
+            assert r["text"] == masked_by_hand(texts[i]), i
+    assert sum(not spans[i] for i in texts) > 6
+
+
+def test_planted_identifiers_are_found_by_their_contexts(spark):
+    """Recall and precision over planted identifiers whose kinds no pattern knows."""
+    rng = random.Random(31)
+    frames = ["write to {} any time", "account of {} is open", "contact {} for help", "card {} was used"]
+    rows, planted = [], set()
+    for i in range(400):
+        seed = i % 4 < 3
+        value = rng.choice([f"user{i}@mail.example.com", f"10.{i % 250}.3.{i % 199}"]) if seed else f"ID-{rng.randrange(10**9):09d}"
+        rows.append((i, f"{words(i, 12, 900)} {frames[i % 3].format(value)} {words(i + 900, 12, 900)}"))
+        if not seed:
+            planted.add(i)
+    rows += [(1000 + i, f"{words(i + 4000, 12, 900)} page {rng.randrange(10**6):06d} of {rng.randrange(10**4, 10**5)} {words(i + 5000, 12, 900)}") for i in range(200)]
+    got = by_id(pii.reported(spark.createDataFrame(rows, "doc_id long, text string")))
+    found = {i for i, r in got.items() if "context:" in r["spans"]}
+    assert len(found & planted) >= 0.95 * len(planted) and len(found - planted) <= 0.02 * len(rows)
+
+
 def test_winnowing(docs):
     got = [r for r in winnowing.compared(docs).collect()]
     assert len(got) == len(TEXTS) + 2
@@ -352,6 +460,17 @@ def test_html(html, text):
         ("so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> holds", "so x=1 holds"),
         ("<b>&#1;</b>a<noframes></noframes>", "a"),
         ("<table>&#1;<tr><td>&#1;</td><td>x</table>", "  x"),
+        ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>d", "yes\nd"),
+        ("<ul style='visibility:hidden'><li>no</ul>a", "a"),
+        ("<details><summary>s</summary>no<p>no</details>a<details open><summary>t</summary>yes</details>", "s\na\nt\nyes"),
+        ("<select><option>a<option>b<optgroup><option>c</select>", "a\nb\nc"),
+        ("<table><tr><td>a<td>bb<td>c<tr><td colspan=2>wide one here<td>d</table>", "a  bb          c\nwide one here  d"),
+        ("<table><tr><td rowspan=2>r<td>x<tr><td>y<tr><td>p<td>q</table>", "r  x\n   y\np  q"),
+        ("<table><tr><td>日本<td>x<tr><td>abc<td>y</table>", "日本  x\nabc   y"),
+        ("<p title=\"abc>text<p don't>more", "text\n\nmore"),
+        ("1 <a href='", "1"),
+        ("<a " * 8000, ""),
+        ("<p title='x\">" * 8001, ""),
     ],
 )
 def test_html_shows_all_that_is_visible(html, text):
@@ -375,6 +494,13 @@ def test_licences(docs):
     assert got[15]["n_base"] == 4 and "mit" in got[15]["labels"].split(",") and got[15]["permitted"]
 
 
+def test_licences_of_a_text_full_of_phrases():
+    n = 150_000
+    got = licenses.scanned(b"cc by " * n)
+    assert got[:4] == (2 * n, n, 0, 2 * n - 2)
+    assert licenses.scanned(b"SPDX-License-Identifier: " + b"LicenseRef-a OR " * n + b"MIT")[6] > 0.9
+
+
 @pytest.mark.parametrize(
     ("expression", "postfix", "permitted"),
     [
@@ -385,6 +511,11 @@ def test_licences(docs):
         ("(MIT OR GPL-2.0) AND LGPL-2.1 -->", ["mit", "gpl-2.0", "or", "lgpl-2.1", "and"], False),
         ("GPL-2.0 WITH Classpath-exception-2.0", ["gpl-2.0", "classpath-exception-2.0", "with"], False),
         ("MIT */ more prose", ["mit"], True),
+        ("MIT and the rest", ["mit"], True),
+        ("MIT AND (see below)", ["mit"], True),
+        ("GPL-3.0-or-later WITH nothing", ["gpl-3.0-or-later"], False),
+        ("(MIT AND the", None, None),
+        ("whatever", None, None),
         ("(MIT", None, None),
         ("OR MIT", None, None),
         ("", None, None),
