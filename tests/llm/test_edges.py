@@ -7,6 +7,7 @@ import re
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodeworks.llm import bpe, htmltext, langid, licenses, neardup, packing, pii, secretscan, topk, winnowing
@@ -411,6 +412,50 @@ def test_winnowing(docs):
     assert next(r for r in got if r["doc_id"] == 1)["near_next"] == 1
 
 
+def winnowed(t):
+    """(place, hash) by hand: 64-bit cyclic polynomials, the smallest of each window, of equal ones the rightmost."""
+    turned = lambda x, r: (x << r | x >> 64 - r) & (1 << 64) - 1 if r else x
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    u = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in re.findall(r"\S{1,16}", t.lower(), re.ASCII)]
+    k = min(len(u), winnowing.GRAM)
+    h = []
+    for i in range(len(u) - k + 1 if u else 0):
+        x = 0
+        for j in range(k):
+            x ^= turned(u[i + j], k - 1 - j)
+        h.append(signed(x))
+    out = []
+    for i in range(max(1, len(h) - winnowing.WINDOW + 1) if h else 0):
+        window = h[i : i + winnowing.WINDOW]
+        at = i + max(j for j, x in enumerate(window) if x == min(window))
+        if not out or out[-1] != at:
+            out.append(at)
+    return [(p, h[p] & (1 << 64) - 1) for p in out]
+
+
+def test_winnowing_against_brute_force(spark):
+    rng = random.Random(17)
+    texts = [words(i, n, size) for i, (n, size) in enumerate([(0, 9), (1, 9), (3, 9), (4, 9), (10, 9), (11, 9), (12, 3), (40, 2), (70, 1), (67, 40), (68, 40), (300, 2), (2000, 900), (131, 500)])]
+    texts += ["a " * 500, "", None, "x" * 700, "\n\t ", *[words(90 + i, rng.randint(1, 90), 60) for i in range(700)]]
+    rows = list(enumerate(texts))
+    got = by_id(winnowing.compared(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    line = lambda x: ",".join(f"{p}:{h:x}" for p, h in x)
+
+    def like(a, b):
+        x, y = ({h for _, h in p} for p in (a, b))
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    for i, t in rows:
+        t, following = t or "", texts[(i + 1) % len(texts)] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        own, other = winnowed(t), winnowed(edited)
+        r = got[i]
+        assert (r["n_chars"], r["fingerprint"], r["edited_fingerprint"]) == (len(t), line(own), line(other)), i
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(r["near_edited"] - like(own, other)) < 1e-12 and abs(r["near_next"] - like(own, winnowed(following))) < 1e-12
+
+
 def test_winnowing_guarantee(spark):
     run = words(11, winnowing.GRAM + winnowing.WINDOW - 1, 300)
     rows = [(i, f"{words(20 + i, 30, 300)} {run} {words(40 + i, 30, 300)}") for i in range(6)]
