@@ -85,12 +85,36 @@ def test_topk(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_topk_beyond_doubles():
+def test_topk_beyond_doubles(spark):
     import numpy as np
 
     x = np.array([[2**40, 1], [2**40, 2], [1, 1]])
-    found = list(topk.best(x[:1], np.zeros((1, 0)), np.array([9]), x, np.zeros((3, 0)), np.arange(3), np.arange(3), 2))
-    assert found[0][1].tolist() == [1, 0] and found[0][2].tolist() == [2**80 + 2, 2**80 + 1]
+    for pivots in (x[:0], x[2:]):
+        far = np.linalg.norm(x[:, None].astype(float) - pivots[None], axis=2)
+        found = list(topk.best(x[:1], far[:1], np.array([9]), np.array([-np.inf]), x, far, np.arange(3), np.arange(3), 2))
+        assert found[0][1].tolist() == [1, 0] and found[0][2].tolist() == [2**80 + 2, 2**80 + 1]
+    got = topk.searched(spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0])], "vec_id long, embedding array<double>")).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2**63 - 1), (2, -(2**63))]
+
+
+def test_topk_leaves_out_what_bounds_exclude():
+    """On vectors in clusters the search stops early; its result is that of all products."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 500, (40, 32))
+    x = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(0, 20, (4000, 32))).astype(np.int64)
+    pivots = topk.spread(x[:1000].astype(float), topk.PIVOTS)
+    far = np.stack([np.linalg.norm(x - p, axis=1) for p in pivots], axis=1)
+    row = np.arange(4000)
+    floor = topk.floors(x[:50], row[:50], x[:1000], row[:1000], 10)
+    evaluated = 0
+    for i, at, score, done in topk.best(x[:50], far[:50], row[:50], floor, x, far, row, row, 10):
+        every = x @ x[i]
+        want = [j for j in np.lexsort((row, -every)) if j != i][:10]
+        assert at.tolist() == want and score.tolist() == every[want].tolist()
+        evaluated += done
+    assert evaluated < 0.5 * 50 * 4000
 
 
 def secret_base(t):
