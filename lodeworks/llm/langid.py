@@ -4,7 +4,8 @@ Features are the 1- to 3-grams of the lower-cased text's characters, hashed to `
 buckets, with logarithmic counts, inverse document frequencies over all rows that may teach,
 and unit length. The model is fitted by follow-the-regularised-leader with elastic-net
 penalties on a bounded sample of the labelled rows, then calibrated by one temperature on the
-part of the sample that the fit did not see.
+part of the sample that the fit did not see; copies of a text are on one side. One task holds the
+sample and fits, and the driver gets nothing but the model's weights.
 
 Rows whose crc32(doc_id as text) mod ``FOLDS`` is 0 are held out: nothing is learned from them.
 
@@ -27,8 +28,8 @@ from .common import shipped, unused
 
 FOLDS = 5
 BUCKETS = 1 << 14
-#: Labelled rows of each language that the model is fitted on, about (all, if there are fewer).
-FIT_ROWS = 500
+#: Labelled rows of each language that the model is fitted on, about (all, if there are fewer), and of all languages at most, about.
+FIT_ROWS, FIT_TOTAL = 1500, 12_000
 EPOCHS = 4
 ALPHA, BETA, LASSO, RIDGE = 0.3, 1.0, 0.02, 0.1
 UNKNOWN = "und"
@@ -75,8 +76,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fitted(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: list[str], idf: np.ndarray) -> Model:
-    """rows: bucket, count and label of each text, in the order of learning."""
+def fitted(rows: list[tuple[np.ndarray, np.ndarray, int, bool]], labels: list[str], idf: np.ndarray) -> Model:
+    """rows: bucket, count and label of each text, and whether it is for calibration, in the order of learning."""
     z, n = np.zeros((BUCKETS, len(labels))), np.zeros((BUCKETS, len(labels)))
     one_hot = np.eye(len(labels))
 
@@ -84,21 +85,19 @@ def fitted(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: list[str], id
         return np.where(np.abs(z[at]) <= LASSO, 0, (np.sign(z[at]) * LASSO - z[at]) / ((BETA + np.sqrt(n[at])) / ALPHA + RIDGE))
 
     made = []
-    for at, count, label in rows:
+    for at, count, label, apart in rows:
         x = np.log1p(count) * idf[at]
-        made.append((at, (x / max(np.sqrt(x @ x), 1e-12)).astype(np.float32), label))
-    kept = [r for i, r in enumerate(made) if i % 5 == 4] or made
+        made.append((at, (x / max(np.sqrt(x @ x), 1e-12)).astype(np.float32), label, apart))
+    kept, taught = [r for r in made if r[3]] or made, [r for r in made if not r[3]] or made
     for _ in range(EPOCHS):
-        for i, (at, x, label) in enumerate(made):
-            if i % 5 == 4:
-                continue
+        for at, x, label, _ in taught:
             w = weights(at)
             g = np.outer(x, softmax(x @ w) - one_hot[label])
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - sigma * w
             n[at] += g * g
     w = weights(slice(None))
-    logits, own = np.array([x @ w[at] for at, x, _ in kept]), np.array([r[2] for r in kept])
+    logits, own = np.array([x @ w[at] for at, x, *_ in kept]), np.array([r[2] for r in kept])
     tried = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
     loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(own)), own], 1e-12)).mean() for t in tried]
     return Model(labels, idf, w.astype(np.float32), float(tried[int(np.argmin(loss))]))
@@ -133,9 +132,12 @@ def trained(docs: DataFrame) -> Model | None:
         often[r["bucket"]] = r["n"]
     idf = np.log((1 + sum(per_label.values())) / (1 + often)) + 1
 
-    share = F.create_map(*[F.lit(x) for k, v in per_label.items() for x in (k, min(1.0, FIT_ROWS / v))])
-    order = F.xxhash64("id", F.lit("fit"))
-    sample = rows.where(F.pmod(order, F.lit(1_000_000)) < 1_000_000 * share[F.col("label")]).withColumn("order", F.xxhash64("id", F.lit("order")))
+    most = max(1, min(FIT_ROWS, FIT_TOTAL // len(labels)))
+    share = F.create_map(*[F.lit(x) for k, v in per_label.items() for x in (k, min(1.0, most / v))])
+    picked = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_000)) < 1_000_000 * share[F.col("label")]
+    if rows.where(picked).count() > 2 * most * len(labels) + 1000:  # an id of many rows is among them: tell its rows apart
+        picked = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(1_000_000)) < 1_000_000 * share[F.col("label")]
+    sample = rows.withColumn("picked", picked).where("picked").select("text", "label", F.xxhash64("id", F.lit("order")).alias("order"), (F.pmod(F.xxhash64("text"), F.lit(5)) == 4).alias("apart"))
 
     def sparse(batches):
         for batch in batches:
@@ -143,17 +145,25 @@ def trained(docs: DataFrame) -> Model | None:
             for text in batch.column("text"):
                 count = counts(text.as_py())
                 at.append(np.flatnonzero(count).astype(np.int32))
-                often.append(np.minimum(count[at[-1]], 32767).astype(np.int16))
-            lists = [pa.array(at, pa.list_(pa.int32())), pa.array(often, pa.list_(pa.int16()))]
-            yield pa.RecordBatch.from_arrays([batch.column("order"), *lists, batch.column("label")], ["order", "at", "count", "label"])
-
-    got = sample.mapInArrow(sparse, "order long, at array<int>, count array<short>, label string").toArrow().sort_by("order")
-    number = {k: i for i, k in enumerate(labels)}
-    taught = [(np.asarray(a.values), np.asarray(c.values), number[k.as_py()]) for a, c, k in zip(got["at"], got["count"], got["label"], strict=True)]
-    model = fitted(taught, labels, idf) if taught else None
-    del got, taught
-    pa.default_memory_pool().release_unused()
-    return model
+                often.append(count[at[-1]].astype(np.int32))
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (at, often)]
+            yield pa.RecordBatch.from_arrays([batch.column("order"), *lists, batch.column("label"), batch.column("apart")], ["order", "at", "count", "label", "apart"])
+
+    def fit(batches):
+        number, held = {k: i for i, k in enumerate(labels)}, []
+        for batch in batches:
+            columns = [batch.column(x) for x in ("order", "at", "count", "label", "apart")]
+            held += [(o.as_py(), np.array(a.values), np.array(c.values), number[k.as_py()], x.as_py()) for o, a, c, k, x in zip(*columns, strict=True)]
+        if held:
+            held.sort(key=lambda r: (r[0], r[3], len(r[1]), r[1].tobytes()))  # the same for each run, whatever order the shuffle gives
+            model = fitted([r[1:] for r in held], labels, idf)
+            yield pa.RecordBatch.from_arrays([pa.array([model.temperature]), pa.array([model.weights.tobytes()])], ["temperature", "weights"])
+
+    vectors = sample.mapInArrow(sparse, "order long, at array<int>, count array<int>, label string, apart boolean")
+    model = vectors.repartition(1).mapInArrow(fit, "temperature double, weights binary").first()  # FIT_TOTAL rows, about
+    if model is None:
+        return None
+    return Model(labels, idf, np.frombuffer(model["weights"], np.float32).reshape(BUCKETS, len(labels)), model["temperature"])
 
 
 def predict(text: str | None, model: Model | None) -> tuple[str, float]:
