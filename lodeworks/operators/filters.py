@@ -67,6 +67,31 @@ def tool_result(role: Column, body: Column) -> Column:
     return F.when(role != "tool", "not a tool").when(F.coalesce(failed, F.lit(False)), "error").otherwise("ok")
 
 
+#: Letters of a key word by which it is sought; shorter key words are sought by all they have.
+SOUGHT_BY = 5
+
+
+def labelled(rows: DataFrame, asked: DataFrame, id_: str, text: str, label: str) -> DataFrame:
+    """(label, id) of the texts that hold, for each group of a label, one of its words, anywhere inside a word of theirs.
+    asked: label, grp, word (lower case, without blanks). A word of a text that holds a key word has the key word's first
+    letters somewhere: distinct words of texts and key words are joined by those, then compared, then brought back to the
+    texts; there is no product of texts and labels."""
+    sought = asked.select("word", F.left("word", F.lit(SOUGHT_BY)).alias("gram")).distinct()
+    tokens = rows.select(id_, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"\s+"))).alias("token"))
+    sizes = [r["n"] for r in sought.select(F.length("gram").alias("n")).distinct().collect()]  # SOUGHT_BY values at most
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - (n - 1), F.lit(1))), lambda i: F.substring("token", i, F.lit(n)))
+
+    grams = F.flatten(F.array(*map(runs, sizes))) if sizes else F.expr("cast(array() as array<string>)")
+    each = tokens.select("token").distinct().select("token", F.explode(F.array_distinct(grams)).alias("gram"))
+    holds = each.join(sought, "gram").where(F.contains("token", "word")).select("token", "word")
+    of_text = tokens.join(holds, "token").select(id_, "word").distinct()
+    need = asked.groupBy(label).agg(F.countDistinct("grp").alias("need"))
+    got = of_text.join(asked, "word").groupBy(label, id_).agg(F.countDistinct("grp").alias("got"))
+    return got.join(need, label).where("got = need").select(label, id_)
+
+
 def at_least(rows: DataFrame, column: str, threshold: float | None) -> DataFrame:
     """The rows that reach a threshold; all of them where none is asked."""
     return rows if threshold is None else rows.where(F.col(column) >= threshold)

@@ -55,8 +55,22 @@ def islands(scores: DataFrame, key: str, order: str, score: str, threshold: floa
 
 
 def window_means(frames: DataFrame, key: str, pos: str, score: str, length: int, stride: int) -> DataFrame:
-    """(key, window, mean): averages over overlapping windows of positions; a frame is in length / stride of them."""
-    last = F.floor(F.col(pos) / stride)
-    first = F.greatest(F.lit(0), F.ceil((F.col(pos) - length + 1) / stride))
-    each = frames.select(key, score, F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("window"))
-    return each.groupBy(key, "window").agg(F.round(F.avg(score), 6).alias("mean"), F.count("*").alias("frames"))
+    """(key, first, mean, frames): averages over overlapping windows of positions, one at each stride and one that ends with
+    the last frame; a window that reaches beyond the last frame is filled up with it."""
+    ends = frames.groupBy(key).agg(F.greatest(F.lit(0), F.max(pos) - (length - 1)).cast("long").alias("tail"), F.max_by(score, pos).alias("last"))
+    at = F.col(pos).cast("long")
+    regular = F.sequence(F.greatest(F.lit(0), F.ceil((at - length + 1) / stride)).cast("long"), F.floor(at / stride).cast("long"))
+    begins = F.concat(F.transform(regular, lambda x: x * stride), F.when(at >= F.col("tail"), F.array("tail")).otherwise(F.slice(F.array("tail"), 1, 0)))
+    each = frames.join(ends, key).select(key, score, "last", F.explode(F.array_distinct(begins)).alias("first"))
+    mean = (F.sum(score) + (length - F.count("*")) * F.first("last")) / length
+    return each.groupBy(key, "first").agg(F.round(mean, 6).alias("mean"), F.count("*").alias("frames"))
+
+
+def overlapping_pairs(starts: DataFrame, key: str, start: str, seconds: float) -> DataFrame:
+    """(key, pairs) of the keys of which two intervals of one length overlap: begins are counted by their time first, and each
+    time meets those of the next seconds in a window, so that no pair is made."""
+    counted = starts.groupBy(key, start).agg(F.count("*").alias("n"))
+    micros = (F.col(start) * 1_000_000).cast("long")
+    later = F.sum("n").over(Window.partitionBy(key).orderBy(micros).rangeBetween(1, int(seconds * 1_000_000) - 1))
+    pairs = F.col("n") * (F.col("n") - 1) / 2 + F.col("n") * F.coalesce(later, F.lit(0))
+    return counted.select(key, pairs.cast("long").alias("pairs")).groupBy(key).agg(F.sum("pairs").alias("pairs")).where("pairs > 0")

@@ -12,16 +12,16 @@ from .registry import Tables, query
 
 
 def _posts_old(t: Tables) -> DataFrame:
-    return t.documents.where(F.col("doc_id") % 3 != 0).select("doc_id", "lang", "source", "n_chars")
+    return t.documents.where(~F.col("lang").eqNullSafe("fr")).select("doc_id", "lang", "source", "n_chars")
 
 
 def _posts_new(t: Tables) -> DataFrame:
-    d = t.documents.where(F.col("doc_id") % 3 != 1)
+    d = t.documents.where(~F.col("lang").eqNullSafe("de"))
     return d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("lang"), F.upper("source").alias("source"), F.when(F.col("doc_id") % 5 != 0, F.col("n_chars") + 1).alias("n_chars"))
 
 
-_OLD = "o AS (SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id % 3 <> 0)"
-_NEW = "n AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, upper(source) AS source, CASE WHEN doc_id % 5 <> 0 THEN n_chars + 1 END AS n_chars FROM documents WHERE doc_id % 3 <> 1)"
+_OLD = "o AS (SELECT doc_id, lang, source, n_chars FROM documents WHERE lang IS DISTINCT FROM 'fr')"
+_NEW = "n AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, upper(source) AS source, CASE WHEN doc_id % 5 <> 0 THEN n_chars + 1 END AS n_chars FROM documents WHERE lang IS DISTINCT FROM 'de')"
 
 
 @query(f"WITH {_OLD}, {_NEW} SELECT doc_id, coalesce(n.lang, o.lang) AS lang, CASE WHEN n.doc_id IS NULL THEN o.source ELSE n.source END AS source, CASE WHEN n.doc_id IS NULL THEN o.n_chars ELSE n.n_chars END AS n_chars FROM o FULL JOIN n USING (doc_id)")
@@ -77,13 +77,13 @@ def e8_children_replaced(t: Tables) -> DataFrame:
     return merge.replaced_children(c, new, "conv_id")
 
 
-@query("""WITH o AS (SELECT doc_id, sha256(text) AS h, lang, 'v1' AS v FROM documents WHERE doc_id % 5 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS h, lang, CASE WHEN doc_id % 11 = 0 THEN 'v2' ELSE 'v1' END AS v FROM documents WHERE doc_id % 4 <> 0 AND lang <> 'es')
+@query("""WITH o AS (SELECT doc_id, sha256(text) AS h, lang, 'v1' AS v FROM documents WHERE lang IS DISTINCT FROM 'fr'), n AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS h, lang, CASE WHEN doc_id % 11 = 0 THEN 'v2' ELSE 'v1' END AS v FROM documents WHERE lang IS DISTINCT FROM 'es' AND NOT (lang = 'en' AND n_chars < 1500))
 SELECT doc_id, CASE WHEN o.doc_id IS NULL THEN 'insert' WHEN n.doc_id IS NULL AND o.lang IN (SELECT lang FROM n) THEN 'delete' WHEN n.doc_id IS NULL THEN 'out of scope' WHEN o.h = n.h AND o.v = n.v THEN 'unchanged' ELSE 'update' END AS action FROM o FULL JOIN n USING (doc_id)""")
 def e11_index_diff(t: Tables) -> DataFrame:
     d = t.documents
-    old = d.where(F.col("doc_id") % 5 != 0).select("doc_id", F.sha2("text", 256).alias("h"), "lang", F.lit("v1").alias("v"))
+    old = d.where(~F.col("lang").eqNullSafe("fr")).select("doc_id", F.sha2("text", 256).alias("h"), "lang", F.lit("v1").alias("v"))
     changed = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    new = d.where((F.col("doc_id") % 4 != 0) & (F.col("lang") != "es")).select("doc_id", F.sha2(changed, 256).alias("h"), "lang", F.when(F.col("doc_id") % 11 == 0, "v2").otherwise("v1").alias("v"))
+    new = d.where("lang is distinct from 'es' and not (lang <=> 'en' and n_chars < 1500)").select("doc_id", F.sha2(changed, 256).alias("h"), "lang", F.when(F.col("doc_id") % 11 == 0, "v2").otherwise("v1").alias("v"))
     return merge.index_actions(old, new, "doc_id", ["h", "v"], "lang")
 
 
@@ -94,9 +94,9 @@ def e12_embed_once(t: Tables) -> DataFrame:
     return keyed.select("doc_id", "h").join(once, "h").select("doc_id", "v", (F.col("doc_id") == F.col("first_id")).alias("made"))
 
 
-@query("""SELECT count(*) AS found, count(*) FILTER (WHERE o_orderkey IS NULL) AS created, count(*) FILTER (WHERE o_orderkey IS NOT NULL) AS skipped, count(DISTINCT user_id) AS posts FROM events LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) o ON o_orderkey = event_id""")
+@query("""SELECT count(*) AS found, count(*) FILTER (WHERE o_orderkey IS NULL) AS created, count(*) FILTER (WHERE o_orderkey IS NOT NULL) AS skipped, count(DISTINCT user_id) AS posts FROM events LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') o ON o_orderkey = event_id""")
 def e14_registration(t: Tables) -> DataFrame:
-    held = t.orders.where(F.col("o_orderkey") % 2 == 0).select("o_orderkey")
+    held = t.orders.where("o_orderstatus <> 'F'").select("o_orderkey")
     rows = t.events.join(held, F.col("o_orderkey") == F.col("event_id"), "left")
     return rows.agg(F.count("*").alias("found"), F.count_if(F.col("o_orderkey").isNull()).alias("created"), F.count("o_orderkey").alias("skipped"), F.countDistinct("user_id").alias("posts"))
 
@@ -176,9 +176,9 @@ def s1_scan(t: Tables) -> DataFrame:
     return t.events.where("event_type = 'click'").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
-@query("SELECT n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA'")
+@query("SELECT l_orderkey, l_linenumber, o_orderpriority FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'")
 def s2_s3_children(t: Tables) -> DataFrame:
-    return t.nation.join(t.region.where("r_name = 'ASIA'"), F.col("r_regionkey") == F.col("n_regionkey")).select("n_name", "r_name")
+    return t.lineitem.join(t.orders.where("o_orderpriority = '1-URGENT'"), F.col("o_orderkey") == F.col("l_orderkey")).select("l_orderkey", "l_linenumber", "o_orderpriority")
 
 
 @query("SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON p_partkey = l_partkey")
@@ -234,10 +234,10 @@ def s12_referential(t: Tables) -> DataFrame:
     return t.labels.join(held, "doc_id", "left").agg(F.count("*").alias("labels"), F.count_if(F.col("held").isNull()).alias("unknown"))
 
 
-@query("SELECT conv_id, turn, coalesce(d.doc_id, e.doc_id) AS media, CASE WHEN d.doc_id IS NOT NULL THEN 'id' WHEN e.doc_id IS NOT NULL THEN 'index' ELSE 'none' END AS by FROM conversations c LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) d ON d.doc_id = conv_id LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) e ON e.doc_id = conv_id * 3 + turn")
+@query("SELECT conv_id, turn, coalesce(d.doc_id, e.doc_id) AS media, CASE WHEN d.doc_id IS NOT NULL THEN 'id' WHEN e.doc_id IS NOT NULL THEN 'index' ELSE 'none' END AS by FROM conversations c LEFT JOIN (SELECT doc_id FROM documents WHERE lang IN ('en', 'de')) d ON d.doc_id = conv_id LEFT JOIN (SELECT doc_id FROM documents WHERE coalesce(lang, '') NOT IN ('en', 'de')) e ON e.doc_id = conv_id * 3 + turn")
 def s14_bundle_import(t: Tables) -> DataFrame:
-    by_id = t.documents.where(F.col("doc_id") % 2 == 0).select(F.col("doc_id").alias("a"))
-    by_index = t.documents.where(F.col("doc_id") % 3 == 0).select(F.col("doc_id").alias("b"))
+    by_id = t.documents.where(F.col("lang").isin("en", "de")).select(F.col("doc_id").alias("a"))
+    by_index = t.documents.where(~F.coalesce("lang", F.lit("")).isin("en", "de")).select(F.col("doc_id").alias("b"))
     rows = t.conversations.join(by_id, F.col("a") == F.col("conv_id"), "left").join(by_index, F.col("b") == F.col("conv_id") * 3 + F.col("turn"), "left")
     return rows.select("conv_id", "turn", F.coalesce("a", "b").alias("media"), F.when(F.col("a").isNotNull(), "id").when(F.col("b").isNotNull(), "index").otherwise("none").alias("by"))
 
@@ -260,11 +260,10 @@ def s21_backfill(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "source").join(s, "source").select("doc_id", "n", F.when(F.col("n") > 40, F.col("lang")).alias("lang"))
 
 
-@query("WITH a AS (SELECT doc_id, n_chars FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 4 <> 0) SELECT doc_id, CASE WHEN b.doc_id IS NULL THEN 'upload' WHEN a.doc_id IS NULL THEN 'extra' WHEN a.n_chars <> b.n_chars THEN 'replace' ELSE 'same' END AS action FROM a FULL JOIN b USING (doc_id)")
+@query("WITH a AS (SELECT doc_id, n_chars FROM documents WHERE lang IS DISTINCT FROM 'fr'), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE lang IS DISTINCT FROM 'de') SELECT doc_id, CASE WHEN b.doc_id IS NULL THEN 'upload' WHEN a.doc_id IS NULL THEN 'extra' WHEN a.n_chars <> b.n_chars THEN 'replace' ELSE 'same' END AS action FROM a FULL JOIN b USING (doc_id)")
 def s23_sync(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", "n_chars")
-    remote = d.where(F.col("doc_id") % 4 != 0).withColumn("n_chars", F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
-    return merge.synced(d.where(F.col("doc_id") % 3 != 0), remote, "doc_id", "n_chars")
+    remote = t.documents.where(~F.col("lang").eqNullSafe("de")).select("doc_id", "n_chars").withColumn("n_chars", F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
+    return merge.synced(t.documents.where(~F.col("lang").eqNullSafe("fr")).select("doc_id", "n_chars"), remote, "doc_id", "n_chars")
 
 
 @query("""WITH e AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/' || url WHEN 1 THEN '../' || page_id WHEN 2 THEN 'a/../b' ELSE 'ok/' || page_id END AS path, length(html) AS size FROM pages)

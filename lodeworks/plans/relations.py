@@ -57,13 +57,14 @@ def j12_two_hops(t: Tables) -> DataFrame:
     return rows.agg(F.count("*").alias("lines"), F.count("o_orderkey").alias("found"), (F.count("*") - F.count("o_orderkey")).alias("no_order"), F.count("c_custkey").alias("customers"), F.count_if(F.col("o_orderkey").isNotNull() & F.col("c_custkey").isNull()).alias("no_customer"))
 
 
-@query("""WITH a AS (SELECT n_nationkey AS alias_id, lower(n_name) AS alias, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey END AS region_id, CASE WHEN n_nationkey % 2 = 1 THEN n_nationkey END AS nation_id FROM nation)
-SELECT alias, coalesce(a.region_id, n.n_regionkey) AS region_id FROM a LEFT JOIN nation n ON n.n_nationkey = a.nation_id""")
+@query("""WITH a AS (SELECT lower(p_name) AS alias, p_partkey, CASE WHEN p_size % 2 = 0 THEN p_partkey END AS series, CASE WHEN p_size % 2 = 1 THEN p_partkey END AS occurrence FROM part),
+o AS (SELECT l_partkey, min(l_suppkey) AS series FROM lineitem GROUP BY l_partkey) SELECT a.p_partkey, a.alias, coalesce(a.series, o.series) AS series FROM a LEFT JOIN o ON o.l_partkey = a.occurrence""")
 def j13_alias_hop(t: Tables) -> DataFrame:
-    odd = F.col("n_nationkey") % 2 == 1
-    aliases = t.nation.select(F.lower("n_name").alias("alias"), F.when(~odd, F.col("n_regionkey")).alias("region_id"), F.when(odd, F.col("n_nationkey")).alias("nation_id"))
-    hop = t.nation.select(F.col("n_nationkey").alias("nation_id"), "n_regionkey")
-    return aliases.join(hop, "nation_id", "left").select("alias", F.coalesce("region_id", "n_regionkey").alias("region_id"))
+    """An alias names its series, or an occurrence that leads to one."""
+    odd = F.col("p_size") % 2 == 1
+    aliases = t.part.select("p_partkey", F.lower("p_name").alias("alias"), F.when(~odd, F.col("p_partkey")).alias("own"), F.when(odd, F.col("p_partkey")).alias("l_partkey"))
+    hop = t.lineitem.groupBy("l_partkey").agg(F.min("l_suppkey").alias("hop"))
+    return aliases.join(hop, "l_partkey", "left").select("p_partkey", "alias", F.coalesce("own", "hop").alias("series"))
 
 
 @query("SELECT count(*) AS missing FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")

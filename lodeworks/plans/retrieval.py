@@ -236,15 +236,21 @@ def e23_dimension_guard(t: Tables) -> DataFrame:
     return t.embeddings.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.size("embedding") != 64).alias("wrong_size"), (F.count("*") - F.countDistinct("vec_id")).alias("repeated"))
 
 
-@query("""WITH d AS (SELECT doc_id, lang AS source, text FROM documents), g AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) >= 8))[1:3] AS words FROM benchmark),
-u AS (SELECT item_id, unnest(words) AS w, len(words) AS need FROM g), k AS (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM d)
-SELECT item_id, doc_id FROM u JOIN k USING (w) GROUP BY item_id, doc_id, need HAVING count(*) = need""")
+@query("""WITH g AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 6)) AS words FROM benchmark),
+u AS (SELECT item_id, (len(words) + 1) // 2 AS need, unnest(words) AS w, unnest(range(len(words))) // 2 AS grp FROM g),
+d AS (SELECT doc_id, lower(text) AS text, lower(split_part(text, chr(10), 1)) AS caption FROM documents),
+m AS (SELECT item_id, doc_id, need, count(DISTINCT grp) AS got, count(DISTINCT CASE WHEN contains(caption, w) THEN grp END) AS of_caption FROM u JOIN d ON contains(text, w) GROUP BY ALL)
+SELECT item_id, doc_id FROM m WHERE got = need AND NOT (item_id % 2 = 0 AND of_caption = need)""")
 def f23_labelled(t: Tables) -> DataFrame:
-    """Documents that hold all key words of an item: terms joined by equality, then counted, no product of both tables."""
-    words = F.slice(F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) >= 8)), 1, 3)
-    asked = t.benchmark.select("item_id", words.alias("words")).select("item_id", F.size("words").alias("need"), F.explode("words").alias("w"))
-    held = t.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
-    return asked.join(held, "w").groupBy("item_id", "doc_id", "need").agg(F.count("*").alias("n")).where("n = need").select("item_id", "doc_id")
+    """Documents that hold a word of each of an item's groups, anywhere inside their words. Items of one class are labelled by what
+    the text has and the caption (its first line) has not."""
+    from ..operators.filters import labelled
+
+    found = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 6))
+    asked = t.benchmark.select("item_id", F.posexplode(found).alias("pos", "word")).select("item_id", F.floor(F.col("pos") / 2).alias("grp"), "word")
+    whole = labelled(t.documents.select("doc_id", "text"), asked, "doc_id", "text", "item_id")
+    caption = labelled(t.documents.select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("text")), asked.where("item_id % 2 = 0"), "doc_id", "text", "item_id")
+    return whole.join(caption, ["item_id", "doc_id"], "left_anti")
 
 
 @query("""WITH t AS (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark) SELECT w, count(*) AS items FROM t WHERE w NOT IN (SELECT DISTINCT unnest(string_split(lower(text), ' ')) FROM documents) GROUP BY w""")

@@ -54,10 +54,10 @@ def a24_distinct_pages(t: Tables) -> DataFrame:
     return t.pages.agg(F.count("*").alias("pages"), F.countDistinct(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)).alias("hosts"))
 
 
-@query("SELECT page_id FROM pages WHERE sha1(url) NOT IN (SELECT sha1(url) FROM pages WHERE page_id % 3 = 0)")
+@query("SELECT page_id FROM pages WHERE sha1(url) NOT IN (SELECT sha1(url) FROM pages WHERE length(html) > 1500)")
 def j22_not_yet_indexed(t: Tables) -> DataFrame:
-    pages = t.pages.select("page_id", text.point_id(F.col("url")).alias("point"))
-    return pages.join(pages.where(F.col("page_id") % 3 == 0).select("point"), "point", "left_anti").select("page_id")
+    pages = t.pages.select("page_id", F.length("html").alias("size"), text.point_id(F.col("url")).alias("point"))
+    return pages.join(pages.where("size > 1500").select("point"), "point", "left_anti").select("page_id")
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""")

@@ -204,13 +204,28 @@ def t45_bounded_list(t: Tables) -> DataFrame:
     return bounded_list(t.conversations, "conv_id", ["turn", "text"], "role", 3, 2, "roles")
 
 
-_ERR = """(lower(trim(text)) IN ('[]', '{}', 'error', 'failed', 'failure', 'null', 'none', 'n/a', 'na', 'pending', 'processing', 'skipped') OR regexp_matches(text, '(?i)^(api\\s+)?(error|failed|failure|exception|traceback|timeout|timed out)\\b') OR regexp_matches(text, '(?i)\\b(traceback \\(most recent call last\\)|exception:|api error|connection error|rate limit)\\b'))"""
+def _quoted(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-@query(f"SELECT conv_id, turn, text, {_ERR} AS error_like FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 1 THEN 'API Error: ' || text WHEN turn % 5 = 2 THEN 'None' ELSE text END AS text FROM conversations)")
+def _case(values, column: str = "text"):
+    """One of the values for most rows, what the table holds for the others; in SQL as _CASE says it."""
+    k = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(values) + 5)).cast("int")
+    return F.coalesce(F.get(F.array(*map(F.lit, values)), k), F.col(column))
+
+
+def _case_sql(values, column: str = "text") -> str:
+    return f"coalesce({_quoted(values)}[((conv_id * 7 + turn) % {len(values) + 5})::INTEGER + 1], {column})"
+
+
+_REPORTS = (*[x.upper() if i % 3 == 0 else f" {x} " if i % 3 == 1 else x for i, x in enumerate(text.ERROR_TEXTS)], "API  Error: x", "Lỗi mạng", "LỖI", "loi he thong", "Không thể đọc và xử lý ảnh", "khong the  nhan dien", "Timed out waiting", "an exception: none", "Rate limit", "errors are fine", "not an error", "lời chào", "không thể quên", "failures", "traceback (most recent call last) here", "Traceback")
+_ERR = f"""(lower(trim(text)) IN {_quoted(text.ERROR_TEXTS).replace("[", "(", 1)[:-1]}) OR lower({FOLD('lower(trim(text))')}) IN {_quoted(text.ERROR_TEXTS).replace("[", "(", 1)[:-1]}) OR regexp_matches(text, '(?i)^(api\\s+)?(error|failed|failure|exception|traceback|timeout|timed out)\\b')
+ OR regexp_matches(text, '(?i)\\b(traceback \\(most recent call last\\)|exception:|api error|connection error|rate limit)\\b') OR regexp_matches(text || ' ', '(?i)^(lỗi|loi)[^\\p{{L}}\\p{{N}}_]') OR regexp_matches(text, '(?is)^(không thể|khong the).*(xử lý|xu ly|phân tích|phan tich|trích xuất|trich xuat|nhận diện|nhan dien)'))"""
+
+
+@query(f"SELECT conv_id, turn, text, {_ERR} AS error_like FROM (SELECT conv_id, turn, {_case_sql(_REPORTS)} AS text FROM conversations)")
 def f12_error_like(t: Tables) -> DataFrame:
-    made = F.when(F.col("turn") % 5 == 1, F.concat(F.lit("API Error: "), "text")).when(F.col("turn") % 5 == 2, "None").otherwise(F.col("text"))
-    return t.conversations.select("conv_id", "turn", made.alias("text")).withColumn("error_like", text.is_error_like(F.col("text")))
+    return t.conversations.select("conv_id", "turn", _case(_REPORTS).alias("text")).withColumn("error_like", text.is_error_like(F.col("text")))
 
 
 @query("""SELECT event_id, CASE WHEN isfinite(x) THEN x END AS finite, trunc(CASE WHEN isfinite(x) THEN x END)::BIGINT AS whole FROM (SELECT event_id, try_cast(CASE WHEN event_id % 4 = 0 THEN 'NaN' WHEN event_id % 4 = 1 THEN 'x' WHEN event_id % 4 = 2 THEN (-value)::VARCHAR ELSE value::VARCHAR END AS DOUBLE) AS x FROM events)""")
@@ -220,18 +235,25 @@ def f13_finite(t: Tables) -> DataFrame:
     return t.events.select("event_id", status.finite(made).alias("finite"), status.finite_int(made).alias("whole"))
 
 
-@query(f"""WITH f AS (SELECT conv_id, turn, {SQUEEZE('lower(' + FOLD("CASE WHEN turn % 3 = 1 THEN 'Đừng quên  ĐĂNG KÝ! ' || text WHEN turn % 3 = 2 THEN '<' ELSE text END") + ')')} AS s FROM conversations)
-SELECT conv_id, turn, NOT regexp_matches(s, '[a-z0-9]') OR regexp_matches(s, 'hay subscribe|dang ky kenh|bam chuong|dung quen dang ky|dung quen like') AS boilerplate FROM f""")
+_SILENCE = (*[f"Và {x.upper()}!" for x in text.BOILERPLATE], "Đừng quên  ĐĂNG KÝ!", "ĐĂNG  KÝ KÊNH", "<", "…", "", "đăng ký học", "cảm ơn các bạn")
+
+
+@query(f"""WITH f AS (SELECT conv_id, turn, {SQUEEZE('lower(' + FOLD(_case_sql(_SILENCE)) + ')')} AS s FROM conversations)
+SELECT conv_id, turn, NOT regexp_matches(s, '[a-z0-9]') OR len(list_filter({_quoted(text.BOILERPLATE)}, lambda p: contains(s, p))) > 0 AS boilerplate FROM f""")
 def f15_boilerplate(t: Tables) -> DataFrame:
-    made = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("Đừng quên  ĐĂNG KÝ! "), "text")).when(F.col("turn") % 3 == 2, "<").otherwise(F.col("text"))
-    return t.conversations.select("conv_id", "turn", text.is_boilerplate(made).alias("boilerplate"))
+    return t.conversations.select("conv_id", "turn", text.is_boilerplate(_case(_SILENCE)).alias("boilerplate"))
+
+
+_TALK = (
+    "Xin chào bạn nhé!", "😊 ???", ":))", "cảm ơn cậu", "chào ae", "hi admin", "ukm", "biết rồi", "em khoẻ không", "làm gì được", "HELLOOO", "ok thanks bot nha", "Tạm biệt các bạn", "good night", "hahaha", "bạn là ai vậy", "tên là gì",
+    "giúp được những gì", "có gì hay không", "dạo này thế nào", "đang làm gì đấy", "test", "1234", "aaaa", "hello ca nha", "chao you guys", "hi all", "chào mừng tân sinh viên", "ảnh mọi người", "ok", "được rồi", "chào lumi", "tìm ảnh", "cảm ơn nhiều nhé", "test ảnh", "yo", "bye bye", "good",
+)
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN true WHEN turn % 3 = 1 THEN true ELSE false END AS small_talk FROM conversations""")
+@query(f"""WITH f AS (SELECT conv_id, turn, {SQUEEZE("regexp_replace(lower(" + FOLD(_case_sql(_TALK)) + "), '[^a-z0-9]+', ' ', 'g')")} AS s FROM conversations)
+SELECT conv_id, turn, s = '' OR {" OR ".join(f"regexp_matches(s, '{p.replace('OWN', '|lumi')}')" for p in text.SMALL_TALK)} AS small_talk FROM f""")
 def f24_small_talk(t: Tables) -> DataFrame:
-    k = F.col("turn") % 3
-    made = F.when(k == 0, "Xin chào bạn nhé!").when(k == 1, "😊 ???").otherwise(F.concat(F.lit("tìm ảnh "), "text"))
-    return t.conversations.select("conv_id", "turn", text.is_small_talk(made).alias("small_talk"))
+    return t.conversations.select("conv_id", "turn", text.is_small_talk(_case(_TALK), ("lumi",)).alias("small_talk"))
 
 
 @query()

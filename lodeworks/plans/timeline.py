@@ -67,10 +67,7 @@ def j11_cropped(t: Tables) -> DataFrame:
 
 @query("""WITH s AS (SELECT o_orderkey, o_custkey, o_orderdate AS a, o_orderdate + INTERVAL 30 DAY AS b FROM orders) SELECT x.o_custkey, count(*) AS overlaps FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND x.a < y.b AND y.a < x.b GROUP BY x.o_custkey""")
 def j14_overlaps(t: Tables) -> DataFrame:
-    s = t.orders.select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("a"), (F.col("o_orderdate") + F.expr("interval 30 days")).alias("b"))
-    y = s.select("o_custkey", F.col("o_orderkey").alias("k2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    met = s.join(y, "o_custkey").where((F.col("o_orderkey") < F.col("k2")) & intervals.overlap(F.col("a"), F.col("b"), F.col("a2"), F.col("b2")))
-    return met.groupBy("o_custkey").agg(F.count("*").alias("overlaps"))
+    return intervals.overlapping_pairs(t.orders.select("o_custkey", _seconds("o_orderdate").alias("start")), "o_custkey", "start", 30 * 86_400).withColumnRenamed("pairs", "overlaps")
 
 
 @query("""SELECT CASE WHEN event_id % 4 = 0 THEN 'ends before it starts' WHEN event_type = 'error' THEN 'empty' ELSE 'fine' END AS reason, count(*) AS n FROM events GROUP BY 1""")
@@ -193,7 +190,9 @@ def _scores(t: Tables) -> DataFrame:
     return t.events.select("user_id", (F.row_number().over(w) - 1).alias("pos"), "value")
 
 
-@query(f"""WITH {_FRAME_SCORES}, e AS (SELECT user_id, value, unnest(generate_series(greatest(0, ceil((pos - 9) / 5.0)::BIGINT), pos // 5)) AS "window" FROM f) SELECT user_id, "window", round(avg(value), 6) AS mean, count(*) AS frames FROM e GROUP BY ALL""")
+@query(f"""WITH {_FRAME_SCORES}, t AS (SELECT user_id, greatest(0, max(pos) - 9) AS tail, arg_max(value, pos) AS last FROM f GROUP BY user_id),
+e AS (SELECT f.user_id, value, last, unnest(list_distinct(list_concat(list_transform(generate_series(greatest(0, ceil((pos - 9) / 5.0)::BIGINT), pos // 5), lambda x: x * 5), CASE WHEN pos >= tail THEN [tail] ELSE [] END))) AS first FROM f JOIN t USING (user_id))
+SELECT user_id, first, round((sum(value) + (10 - count(*)) * any_value(last)) / 10, 6) AS mean, count(*) AS frames FROM e GROUP BY user_id, first""")
 def w15_window_means(t: Tables) -> DataFrame:
     return intervals.window_means(_scores(t), "user_id", "pos", "value", 10, 5)
 
