@@ -290,7 +290,7 @@ def test_digests_of_cut_rests():
 
 def test_packing_has_little_padding_in_any_layout(spark):
     rng = random.Random(4)
-    texts = [words(i, int(rng.lognormvariate(5.6, 0.9)) + 1, 3000) for i in range(1500)]
+    texts = [words(i, int(rng.lognormvariate(5.6, 0.9)) + 1, 3000) for i in range(900)]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = []
     for layout in (frame.repartition(1), frame.repartition(7, "text")):
