@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ SIMILAR, GAP_SECONDS = 0.90, 10.0
 SHORT_TOKENS = 30
 SHORT_SCENE, PLACES, EVERY_SECONDS, PER_SCENE = 10, (0.15, 0.5, 0.85), 2.5, 8
 CHUNK, OVERLAP, LEAST = 1200, 150, 250
-WINDOW_TOKENS, WINDOW_OVERLAP = 200, 40
+WINDOW_TOKENS, WINDOW_OVERLAP, PICTURE_OVERLAP, LONG_TOKENS = 200, 40, 20, 300
 
 
 def without_repeats(frames: DataFrame, key: str, bucket_seconds: float = 86_400.0) -> DataFrame:
@@ -98,6 +99,56 @@ def token_windows(text: str, size: int = WINDOW_TOKENS, overlap: int = WINDOW_OV
     return [*out, "\n".join(held)] if held else out
 
 
+def transcript_units(segments: DataFrame, key: str) -> DataFrame:
+    """Units of merged segments (key, start and end in seconds, text): unit_id, chunk_index, chunk_total, text. A segment of
+    LONG_TOKENS words or fewer is one unit; a longer one is cut into windows, which share its time."""
+    words = F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != "")
+    n = F.size(words)
+    step = WINDOW_TOKENS - WINDOW_OVERLAP
+    begins = F.sequence(F.lit(0), F.greatest(n - WINDOW_OVERLAP - 1, F.lit(0)), F.lit(step))
+    parts = F.when(n > LONG_TOKENS, F.transform(begins, lambda i: F.array_join(F.slice(words, i + 1, WINDOW_TOKENS), " "))).when(n > 0, F.array(F.array_join(words, " ")))
+    place = F.concat(F.col(key).cast("string"), F.lit(":"), F.format_string("%.3f-%.3f", F.col("start").cast("double"), F.col("end").cast("double")))
+    units = segments.select(key, place.alias("place"), F.size(parts).alias("chunk_total"), F.posexplode(parts).alias("chunk_index", "text"))
+    unit = F.concat(F.lit("transcript:"), "place", F.when(F.col("chunk_total") > 1, F.concat(F.lit("#"), F.col("chunk_index").cast("string"))).otherwise(""))
+    return units.select(key, unit.alias("unit_id"), "chunk_index", "chunk_total", "text")
+
+
+#: What a block of a document begins with (list marks), the letters that tell a heading in capitals, and how marks
+#: that were flattened into a line are set off again.
+ITEM = re.compile(r"^(?:[-+•]|\d{1,3}[.)])\s+")
+NO_LETTERS = re.compile(r"[^A-Za-zÀ-ỹĐđ]")
+SET_OFF = (
+    (re.compile(r"\s+-\s+(?=[A-ZÀ-ỴĐ])"), "\n\n- "),
+    (re.compile(r"\s+\+\s+(?=(?:Lần|Làm|Tự|[A-ZÀ-ỴĐ]))"), "\n\n+ "),
+    (re.compile(r"(?<!^) (?=\d{1,3}\.\s+(?:Đối với|Hình thức))"), "\n\n"),
+)
+
+
+def in_capitals(line: str) -> bool:
+    letters = NO_LETTERS.sub("", line)
+    return len(letters) >= 5 and letters.isupper()
+
+
+def repaired(text: str) -> str:
+    """A document's text without the line breaks of its layout: lines are joined to blocks, which two empty lines, a heading in
+    capitals or a list mark begin; flattened lists are set off."""
+    plain = re.sub(r"[\t\f\v]+", " ", re.sub(r"\r\n?", "\n", unicodedata.normalize("NFC", text)))
+    blocks: list[list[str]] = []
+    empty = 2
+    for line in (re.sub(" {2,}", " ", x).strip() for x in plain.split("\n")):
+        if not line:
+            empty += 1
+            continue
+        if empty >= 2 or in_capitals(line) or ITEM.match(line):
+            blocks.append([])
+        blocks[-1].append(line)
+        empty = 0
+    out = "\n\n".join(map(" ".join, blocks))
+    for mark, put in SET_OFF:
+        out = mark.sub(put, out)
+    return out.strip()
+
+
 _SENTENCE, _CLAUSE = re.compile(r"(?<=[.!?…])\s+"), re.compile(r"(?<=[,;:])\s+")
 
 
@@ -149,25 +200,25 @@ def chunks(text: str, is_heading) -> list[tuple[str, str]]:
 
 
 def chunked(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """(id, chunk_index, section, chunk) of every document; Arrow batches in place, nothing is shuffled."""
+    """(id, chunk_index, section, chunk) of every document, its layout repaired first; Arrow batches in place, nothing is shuffled."""
     from ..functions.text import HEADING, HEADING_CHARS
 
     heading = re.compile(HEADING.replace(r"(?i)", "").replace(r"[^\p{L}\p{N}_]", r"\W"), re.IGNORECASE)
 
     def cut(batches):
         for batch in batches:
-            rows = [(i, n, s, c) for i, x in zip(batch[id_], batch[text], strict=True) for n, (s, c) in enumerate(chunks(x or "", lambda b: len(b) <= HEADING_CHARS and bool(heading.match(b))))]
+            rows = [(i, n, s, c) for i, x in zip(batch[id_], batch[text], strict=True) for n, (s, c) in enumerate(chunks(repaired(x or ""), lambda b: len(b) <= HEADING_CHARS and bool(heading.match(b))))]
             yield pd.DataFrame(rows, columns=[id_, "chunk_index", "section", "chunk"])
 
     return docs.select(F.col(id_).cast("long"), text).mapInPandas(cut, f"{id_} long, chunk_index int, section string, chunk string")
 
 
-def windowed(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """(id, window_index, window) of every document's token windows."""
+def windowed(docs: DataFrame, id_: str, text: str, overlap: int = PICTURE_OVERLAP) -> DataFrame:
+    """(id, window_index, window) of every document's token windows; texts of pictures overlap less than speech."""
 
     def cut(batches):
         for batch in batches:
-            rows = [(i, n, w) for i, x in zip(batch[id_], batch[text], strict=True) for n, w in enumerate(token_windows(x or ""))]
+            rows = [(i, n, w) for i, x in zip(batch[id_], batch[text], strict=True) for n, w in enumerate(token_windows(x or "", overlap=overlap))]
             yield pd.DataFrame(rows, columns=[id_, "window_index", "window"])
 
     return docs.select(F.col(id_).cast("long"), text).mapInPandas(cut, f"{id_} long, window_index int, window string")

@@ -264,6 +264,18 @@ def t27_t28_token_windows(t: Tables) -> DataFrame:
     return greedy.windowed(t.documents, "doc_id", "text")
 
 
+_SPOKEN = "SELECT conv_id, turn * 12.5 AS a, turn * 12.5 + 10 AS b, list_filter(regexp_split_to_array(repeat(text || ' ', (turn % 6 + 1)::INTEGER), '\\s+'), lambda w: w <> '') AS w FROM conversations"
+
+
+@query(f"""WITH s AS ({_SPOKEN}), i AS (SELECT *, unnest(CASE WHEN len(w) > 300 THEN generate_series(0, len(w) - 41, 160) WHEN len(w) > 0 THEN [0] ELSE [] END) AS k FROM s),
+u AS (SELECT conv_id, printf('%d:%.3f-%.3f', conv_id, a::DOUBLE, b::DOUBLE) AS place, len(w) > 300 AS cut, (k // 160)::INTEGER AS chunk_index, array_to_string(CASE WHEN len(w) > 300 THEN w[k + 1:k + 200] ELSE w END, ' ') AS text FROM i)
+SELECT conv_id, 'transcript:' || place || CASE WHEN cut THEN '#' || chunk_index ELSE '' END AS unit_id, chunk_index, text FROM u""")
+def t28_transcript_units(t: Tables) -> DataFrame:
+    start = F.col("turn") * 12.5
+    text_ = F.repeat(F.concat("text", F.lit(" ")), (F.col("turn") % 6 + 1).cast("int"))
+    return greedy.transcript_units(t.conversations.select("conv_id", start.alias("start"), (start + 10).alias("end"), text_.alias("text")), "conv_id").drop("chunk_total")
+
+
 @query("""SELECT date_trunc('hour', ts)::VARCHAR AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2""")
 def x1_stream_windows(t: Tables) -> DataFrame:
     from ..streaming.windows import hourly_counts
