@@ -172,3 +172,14 @@ def test_ranks_over_all_rows_and_quantiles(spark):
     rows = spark.createDataFrame([("a", i) for i in range(100)] + [("b", 7), ("b", 9)], "k string, v long").repartition(5)
     assert [r["n"] for r in sequences.global_rank(rows, ["k", "v"], "n").orderBy("k", "v").collect()] == list(range(1, 103))
     assert sorted(map(tuple, sequences.quantiles(rows, "k", "v", 0.95, "q").collect())) == [("a", 94), ("b", 9)]
+
+
+def test_layout_of_documents_is_repaired():
+    from lodeworks.operators.greedy import repaired
+
+    assert repaired("a\n\nb  c\td") == "a b c d"
+    assert repaired("a\r\n\r\n\r\nb") == "a\n\nb"
+    assert repaired("lead\nQUY ĐỊNH CHUNG\ntext\n- one\n2) two") == "lead\n\nQUY ĐỊNH CHUNG text\n\n- one\n\n2) two"
+    assert repaired("gồm - Một - hai + Lần ba") == "gồm\n\n- Một - hai\n\n+ Lần ba"
+    assert repaired("gọi 0823 2. Đối với lớp") == "gọi 0823\n\n2. Đối với lớp"
+    assert repaired(" \n\n") == ""
