@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, unused
+from .common import handed_back, shipped, unused
 
 FOLDS = 5
 BUCKETS = 1 << 14
@@ -77,18 +77,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fitted(rows: list[tuple[np.ndarray, np.ndarray, int, bool]], labels: list[str], idf: np.ndarray) -> Model:
-    """rows: bucket, count and label of each text, and whether it is for calibration, in the order of learning."""
+    """rows: buckets, features and label of each text, and whether it is for calibration, in the order of learning."""
     z, n = np.zeros((BUCKETS, len(labels))), np.zeros((BUCKETS, len(labels)))
     one_hot = np.eye(len(labels))
 
     def weights(at):
         return np.where(np.abs(z[at]) <= LASSO, 0, (np.sign(z[at]) * LASSO - z[at]) / ((BETA + np.sqrt(n[at])) / ALPHA + RIDGE))
 
-    made = []
-    for at, count, label, apart in rows:
-        x = np.log1p(count) * idf[at]
-        made.append((at, (x / max(np.sqrt(x @ x), 1e-12)).astype(np.float32), label, apart))
-    kept, taught = [r for r in made if r[3]] or made, [r for r in made if not r[3]] or made
+    kept, taught = [r for r in rows if r[3]] or rows, [r for r in rows if not r[3]] or rows
     for _ in range(EPOCHS):
         for at, x, label, _ in taught:
             w = weights(at)
@@ -141,25 +137,26 @@ def trained(docs: DataFrame) -> Model | None:
 
     def sparse(batches):
         for batch in batches:
-            at, often = [], []
-            for text in batch.column("text"):
-                count = counts(text.as_py())
-                at.append(np.flatnonzero(count).astype(np.int32))
-                often.append(count[at[-1]].astype(np.int32))
-            lists = [pa.array(x, pa.list_(pa.int32())) for x in (at, often)]
-            yield pa.RecordBatch.from_arrays([batch.column("order"), *lists, batch.column("label"), batch.column("apart")], ["order", "at", "count", "label", "apart"])
+            made = [features(counts(text.as_py()), idf) for text in batch.column("text")]
+            at = pa.array([at.astype(np.int16) for at, _ in made], pa.list_(pa.int16()))
+            x = pa.array([x.astype(np.float32) for _, x in made], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column("order"), at, x, batch.column("label"), batch.column("apart")], ["order", "at", "x", "label", "apart"])
 
     def fit(batches):
         number, held = {k: i for i, k in enumerate(labels)}, []
         for batch in batches:
-            columns = [batch.column(x) for x in ("order", "at", "count", "label", "apart")]
-            held += [(o.as_py(), np.array(a.values), np.array(c.values), number[k.as_py()], x.as_py()) for o, a, c, k, x in zip(*columns, strict=True)]
+            columns = [batch.column(c) for c in ("order", "at", "x", "label", "apart")]
+            # views of the batch: the sample is held once, without copies
+            held += [(o.as_py(), at.values.to_numpy(), x.values.to_numpy(), number[k.as_py()], apart.as_py()) for o, at, x, k, apart in zip(*columns, strict=True)]
         if held:
             held.sort(key=lambda r: (r[0], r[3], len(r[1]), r[1].tobytes()))  # the same for each run, whatever order the shuffle gives
             model = fitted([r[1:] for r in held], labels, idf)
+            held.clear()
+            columns = batch = None
+            handed_back()
             yield pa.RecordBatch.from_arrays([pa.array([model.temperature]), pa.array([model.weights.tobytes()])], ["temperature", "weights"])
 
-    vectors = sample.mapInArrow(sparse, "order long, at array<int>, count array<int>, label string, apart boolean")
+    vectors = sample.mapInArrow(sparse, "order long, at array<smallint>, x array<float>, label string, apart boolean")
     model = vectors.repartition(1).mapInArrow(fit, "temperature double, weights binary").first()  # FIT_TOTAL rows, about
     if model is None:
         return None

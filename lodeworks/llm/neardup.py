@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, shipped, staged, unused
+from .common import handed_back, joined, shipped, staged, unused
 
 WORDS = 5
 COLLECTIONS = 16
@@ -147,6 +147,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 ids = [batch.column(x).take(pa.array(rows)) for x in ("doc_id", "text_hash")]
                 lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, agree)]
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), *lists], ["doc_id", "text_hash", "n", "node", "keys", "agree"])
+        handed_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sign, SIGNED)
 
@@ -162,6 +163,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 asked = batch.column("node").take(pa.array(rows)).to_pylist()
                 held = [(k, s) for k, s in zip(asked, shingle_sets(texts), strict=True) if len(s) and digest_of(s) == k]  # of rows with one doc_id, those that have the class's set
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([s.view(np.int64) for _, s in held], pa.list_(pa.int64()))], ["node", "shingles"])
+        handed_back()
 
     return picked.mapInArrow(sets, "node long, shingles array<long>").dropDuplicates(["node"])
 
