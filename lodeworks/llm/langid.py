@@ -17,9 +17,11 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,10 +179,10 @@ def identified(docs: DataFrame, model: Model | None, name: str = "predicted") ->
     shipped(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
-    def of(texts):
-        import pandas as pd
-
-        return pd.DataFrame([predict(t, model) for t in texts], columns=["lang_pred", "score"])
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([predict(t, model) for t in texts], columns=["lang_pred", "score"])
+        handed_back()
 
     return docs.withColumn(name, of("text"))
 

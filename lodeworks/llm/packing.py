@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WORD_PATTERN, Memory, remembered, vocabulary
-from .common import shipped, staged
+from .common import handed_back, shipped, staged
 
 #: Pieces in a group of rests: bounds the memory and time of one packing, not what is packed.
 GROUP_PIECES = 3200
@@ -178,6 +178,7 @@ def pieces(docs: DataFrame, path: str, length: int, closing: int) -> DataFrame:
                     for column, x in zip(rows, (doc, start, n, marks.pop(), tokens, marks), strict=True):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in rows[:5]], pa.array(rows[5], pa.list_(pa.int64()))], [*NAMES, "marks"])
+        handed_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, f"{PIECES}, marks array<long>")
 
