@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, htmltext, langid, licenses, neardup, packing, pii, secretscan, topk, winnowing
+from . import bpe, htmltext, langid, licenses, neardup, packing, pii, repair, secretscan, topk, winnowing
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -56,7 +57,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_secretscan, op3_packing, op4_neardup, op5_pii, op6_winnowing, op7_htmltext, op8_licenses, op9_bpe, op10_langid)}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audited(repair.damaged(table(spark, sf_dir, "conversations")), F.col("there"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_secretscan, op3_packing, op4_neardup, op5_pii, op6_winnowing, op7_htmltext, op8_licenses, op9_bpe, op10_langid, op11_repair)}
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
@@ -97,4 +102,54 @@ WITH RECURSIVE w AS (
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_topk": OP1_SQL, "op4_neardup": OP4_SQL}
+OP11_SQL = """
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS c FROM conversations
+), summed AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_concat([4294967295], list_transform(c, lambda x: ord(x)::BIGINT)), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 20 AS k FROM keyed, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN k = 0 THEN [] WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM summed
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS final FROM damaged
+), marked AS (
+  SELECT *, left(role, 1) AS initial, final = '' AS blank, final <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate,
+    coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal FROM numbered
+), faults AS (
+  SELECT *, NOT blank AND NOT duplicate AND final NOT IN ('.', '!', '?') AS truncated FROM marked
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(blank)::BIGINT AS blank, count_if(duplicate)::BIGINT AS duplicate, count_if(truncated)::BIGINT AS truncated, count_if(illegal)::BIGINT AS illegal, count(*) AS n FROM faults GROUP BY conv_id
+), paths AS (
+  SELECT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'w': ''} AS p0, {'c': 1000000000::BIGINT, 'w': ''} AS p1, {'c': 2::BIGINT, 'w': 'I'} AS pu, {'c': 4::BIGINT, 'w': 'II'} AS pa FROM counted
+  UNION ALL
+  SELECT conv_id, i, d0, d1, u, list_sort([da, {'c': u.c + 2, 'w': u.w || 'I'}])[1] FROM (
+    SELECT *, list_sort([du, {'c': d0.c + 2, 'w': d0.w || 'I'}, {'c': d1.c + 2, 'w': d1.w || 'I'}, {'c': da.c + 2, 'w': da.w || 'I'}])[1] AS u FROM (
+      SELECT f.conv_id, f.i, {'c': p0.c + 3, 'w': p0.w || 'D'} AS d0,
+        list_sort([{'c': p1.c + 3, 'w': p1.w || 'D'}, {'c': CASE WHEN initial = 's' AND NOT blank AND NOT duplicate THEN p0.c + truncated::INT ELSE 1000000000 END, 'w': p0.w || 'K'}])[1] AS d1,
+        list_sort(list_concat([{'c': pu.c + 3, 'w': pu.w || 'D'}], CASE WHEN blank OR duplicate THEN [] WHEN initial = 'u' THEN list_transform([p0, p1, pa], lambda p: {'c': p.c + truncated::INT, 'w': p.w || 'K'}) ELSE list_transform([p0, p1, pa], lambda p: {'c': p.c + 2 + truncated::INT, 'w': p.w || 'R'}) END))[1] AS du,
+        list_sort(list_concat([{'c': pa.c + 3, 'w': pa.w || 'D'}], CASE WHEN blank OR duplicate THEN [] WHEN initial = 'a' THEN [{'c': pu.c + truncated::INT, 'w': pu.w || 'K'}] ELSE [{'c': pu.c + 2 + truncated::INT, 'w': pu.w || 'R'}] END))[1] AS da
+      FROM paths p JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1
+    )
+  )
+), chosen AS (
+  SELECT p.conv_id, list_sort([p0, pa])[1] AS best FROM paths p JOIN counted c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.i
+), letters AS (
+  SELECT conv_id, unnest(string_split(best.w, '')) AS letter, generate_subscripts(string_split(best.w, ''), 1) AS j FROM chosen WHERE best.w <> ''
+), placed AS (
+  SELECT *, count_if(letter <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i, count_if(letter <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS e FROM letters
+), lined AS (
+  SELECT l.conv_id, l.j, l.e, l.letter, f.role, f.text, max(CASE WHEN l.e = 1 AND l.letter = 'K' AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS led
+  FROM placed l LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i AND l.letter <> 'I' WHERE l.letter <> 'D'
+), joined AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (e - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j) AS lines FROM lined GROUP BY conv_id
+), every AS (
+  SELECT DISTINCT conv_id FROM conversations
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0) AS cost, coalesce(best.w, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM every e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN chosen h ON h.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN joined j ON j.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_topk": OP1_SQL, "op4_neardup": OP4_SQL, "op11_repair": OP11_SQL}
