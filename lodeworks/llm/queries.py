@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, langid, licenses, neardup, packing, pii, repair, secretscan, topk, winnowing
+from . import bpe, htmltext, langid, licenses, neardup, packing, pii, repair, secretscan, topk, vectorcodes, winnowing
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,7 +61,11 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audited(repair.damaged(table(spark, sf_dir, "conversations")), F.col("there"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_secretscan, op3_packing, op4_neardup, op5_pii, op6_winnowing, op7_htmltext, op8_licenses, op9_bpe, op10_langid, op11_repair)}
+def op12_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_secretscan, op3_packing, op4_neardup, op5_pii, op6_winnowing, op7_htmltext, op8_licenses, op9_bpe, op10_langid, op11_repair, op12_vectorcodes)}
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
@@ -152,4 +156,32 @@ SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM every e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN chosen h ON h.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN joined j ON j.conv_id IS NOT DISTINCT FROM e.conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_topk": OP1_SQL, "op4_neardup": OP4_SQL, "op11_repair": OP11_SQL}
+_DISTANCE = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT"
+_ASSIGNED = f"SELECT vec_id, x.part, any_value(x) AS x, min({{'d': {_DISTANCE}, 'e': entry}}) AS m FROM parts x JOIN {{book}} b ON b.part = x.part GROUP BY vec_id, x.part"
+_ROUNDS = "".join(
+    f"""
+), a{r} AS MATERIALIZED ({_ASSIGNED.format(book=f"b{r}")}
+), s{r} AS (
+  SELECT part, m.e AS entry, i, sum(x[i])::BIGINT AS s, count(*) AS k FROM a{r}, unnest(range(1, len(x) + 1)) AS u(i) GROUP BY ALL
+), b{r + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(n.c, b.c) AS c FROM b{r} b LEFT JOIN (SELECT part, entry, list((s - (s % k + k) % k) // k ORDER BY i) AS c FROM s{r} GROUP BY ALL) n ON n.part = b.part AND n.entry = b.entry"""
+    for r in range(6)
+)
+OP12_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda e: floor(4096 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, p AS part, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x FROM v, unnest(range(8)) AS u(p)
+), b0 AS MATERIALIZED (
+  SELECT part, x AS c, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry FROM parts QUALIFY entry < 16{_ROUNDS}
+), f AS MATERIALIZED ({_ASSIGNED.format(book="b6")}
+), coded AS (
+  SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM f GROUP BY vec_id
+), books AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b6
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN v USING (vec_id), books
+"""
+
+ORACLES: dict[str, str] = {"op1_topk": OP1_SQL, "op4_neardup": OP4_SQL, "op11_repair": OP11_SQL, "op12_vectorcodes": OP12_SQL}
