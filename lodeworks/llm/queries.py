@@ -157,10 +157,10 @@ FROM every e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEF
 """
 
 _DISTANCE = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT"
-_ASSIGNED = f"SELECT vec_id, x.part, any_value(x) AS x, min({{'d': {_DISTANCE}, 'e': entry}}) AS m FROM parts x JOIN {{book}} b ON b.part = x.part GROUP BY vec_id, x.part"
+_ASSIGNED = f"SELECT vec_id, x.part, any_value(x) AS x, min({{'d': {_DISTANCE}, 'e': entry}}) AS m FROM parts x JOIN BOOK b ON b.part = x.part GROUP BY vec_id, x.part"
 _ROUNDS = "".join(
     f"""
-), a{r} AS MATERIALIZED ({_ASSIGNED.format(book=f"b{r}")}
+), a{r} AS MATERIALIZED ({_ASSIGNED.replace("BOOK", f"b{r}")}
 ), s{r} AS (
   SELECT part, m.e AS entry, i, sum(x[i])::BIGINT AS s, count(*) AS k FROM a{r}, unnest(range(1, len(x) + 1)) AS u(i) GROUP BY ALL
 ), b{r + 1} AS MATERIALIZED (
@@ -175,7 +175,7 @@ WITH v AS MATERIALIZED (
   SELECT vec_id, p AS part, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x FROM v, unnest(range(8)) AS u(p)
 ), b0 AS MATERIALIZED (
   SELECT part, x AS c, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry FROM parts QUALIFY entry < 16{_ROUNDS}
-), f AS MATERIALIZED ({_ASSIGNED.format(book="b6")}
+), f AS MATERIALIZED ({_ASSIGNED.replace("BOOK", "b6")}
 ), coded AS (
   SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM f GROUP BY vec_id
 ), books AS (

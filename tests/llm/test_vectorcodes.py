@@ -97,3 +97,16 @@ def test_layout_does_not_matter(spark):
     assert a == sorted(map(tuple, vectorcodes.compressed(table.repartition(7, F.rand(1))).collect()))
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in table.collect()]
     assert [(False, *r) for r in a] == plain(rows)
+
+
+def test_sql(spark):
+    import duckdb
+
+    from lodeworks.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
+    want = con.execute(queries.ORACLES["op12_vectorcodes"])
+    names = [c[0] for c in want.description]
+    rows = queries.QUERIES["op12_vectorcodes"](spark, DATA)
+    assert sorted(tuple(r[c] for c in names) for r in rows.collect()) == sorted(want.fetchall())
