@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, langid, licenses, neardup, packing, pii, repair, secretscan, topk, vectorcodes, winnowing
+from . import bpe, htmltext, langid, licenses, neardup, packing, pii, quality, repair, secretscan, topk, vectorcodes, winnowing
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,7 +65,11 @@ def op12_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compressed(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_secretscan, op3_packing, op4_neardup, op5_pii, op6_winnowing, op7_htmltext, op8_licenses, op9_bpe, op10_langid, op11_repair, op12_vectorcodes)}
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_secretscan, op3_packing, op4_neardup, op5_pii, op6_winnowing, op7_htmltext, op8_licenses, op9_bpe, op10_langid, op11_repair, op12_vectorcodes, op13_quality)}
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
