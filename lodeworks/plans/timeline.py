@@ -248,10 +248,19 @@ def t32_sigmoid(t: Tables) -> DataFrame:
     return t.events.select("user_id", "event_id", F.round(F.when(outside, 1 / (1 + F.exp(-F.col("value") / 100))).otherwise(F.col("value")), 6).alias("score"))
 
 
-@query("""SELECT event_id, user_id, sum(1000) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)::BIGINT AS spent FROM events""")
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS arrived, (event_id % 7 + 1) * 100 AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BIGINT AS arrived, 0::BIGINT AS out, []::STRUCT(t BIGINT, n BIGINT)[] AS w FROM e GROUP BY user_id
+UNION ALL SELECT user_id, i, event_id, arrived, out, list_append(list_filter(w, lambda x: x.t > out - 21600000000), {'t': out, 'n': n}) FROM (
+ SELECT *, CASE WHEN k = 0 THEN now ELSE greatest(now, w[k].t + 21600000000) END AS out FROM (
+  SELECT *, coalesce(list_min(list_filter(range(0, len(w) + 1), lambda j: coalesce(list_sum(list_transform(w[j + 1:], lambda x: x.n)), 0) + n <= 1000)), len(w)) AS k FROM (
+   SELECT e.user_id, e.i, e.event_id, e.arrived, e.n, greatest(e.arrived, s.out) AS now, list_filter(s.w, lambda x: x.t > greatest(e.arrived, s.out) - 21600000000) AS w FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1))))
+SELECT event_id, out - arrived AS waited FROM s WHERE i > 0""")
 def r9_token_budget(t: Tables) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.floor(_seconds())).rangeBetween(-59, 0)
-    return t.events.select("event_id", "user_id", F.sum(F.lit(1000)).over(w).alias("spent"))
+    """A budget of 1000 tokens in six hours for each user: how long each request waits, and with it those behind it."""
+    from ..streaming.budget import budgeted_events
+
+    sent = budgeted_events(t.spark, t.sf_dir, 1000, 6 * 3600)
+    return sent.select(F.col("id").alias("event_id"), (F.col("released") - F.col("at")).alias("waited"))
 
 
 @query()
