@@ -39,25 +39,6 @@ def called(rows: DataFrame, column: str, f: Callable[[list], list], kind: str, n
     return rows.withColumn(name, ask(column))
 
 
-def batches(rows: DataFrame, id_: str, size: str, most_items: int, most_size: int, bits: int = 8) -> DataFrame:
-    """(id, block, batch): neighbours by id in batches bounded by items and by size; a larger item is alone.
-    The fold runs within blocks of 2**bits ids, so that it needs no order over all rows in one place."""
-    held = rows.select(F.shiftright(id_, bits).alias("block"), F.struct(F.col(id_).alias("id"), F.col(size).cast("long").alias("size")).alias("x")).groupBy("block").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("items"), F.lit(0).cast("long").alias("size"), F.expr("cast(array() as array<struct<id:bigint,batch:bigint>>)").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        full = (a["items"] > 0) & ((a["items"] >= most_items) | (a["size"] + x["size"] > most_size))
-        batch = F.when(full, a["batch"] + 1).otherwise(a["batch"])
-        return F.struct(
-            batch.alias("batch"),
-            F.when(full, 1).otherwise(a["items"] + 1).cast("long").alias("items"),
-            F.when(full, x["size"]).otherwise(a["size"] + x["size"]).alias("size"),
-            F.concat(a["out"], F.array(F.struct(x["id"].alias("id"), batch.alias("batch")))).alias("out"),
-        )
-
-    return held.select("block", F.explode(F.aggregate("xs", start, step, lambda a: a["out"])).alias("o")).select(F.col("o.id").alias(id_), "block", "o.batch")
-
-
 def without_empties(value):
     """A JSON value without empty texts, lists and objects, blank keys and numbers that are not finite; None if nothing is left."""
     if isinstance(value, dict):

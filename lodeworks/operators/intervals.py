@@ -5,19 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Longest intervals are cut into bins of this many seconds, so that a join needs no look at all of a key's intervals.
-BIN_SECONDS = 86_400
+#: Seconds of the smallest cell of time; cells of a level are twice as long as those of the level below.
+UNIT = 60.0
+LEVELS = 48
 
 
-def first_interval(points: DataFrame, intervals: DataFrame, key: str, at: str, tolerance: float = 0.0, bin_seconds: int = BIN_SECONDS) -> DataFrame:
+def aligned_cells(low: Column, high: Column) -> Column:
+    """The whole numbers from ``low`` to ``high`` as aligned cells, an array of (level, cell): 2**level numbers each, two cells of a level at most."""
+    none = F.expr("cast(array() as array<struct<level:int,cell:bigint>>)")
+
+    def step(a: Column, level: Column) -> Column:
+        odd, even = (a["low"] <= a["high"]) & (a["low"] % 2 != 0), (a["low"] <= a["high"]) & (a["high"] % 2 == 0)
+        first = F.when(odd, F.array(F.struct(level.cast("int").alias("level"), a["low"].alias("cell")))).otherwise(none)
+        alone = odd & even & (a["low"] == a["high"])
+        last = F.when(even & ~alone, F.array(F.struct(level.cast("int").alias("level"), a["high"].alias("cell")))).otherwise(none)
+        low, high = F.when(odd, a["low"] + 1).otherwise(a["low"]), F.when(even, a["high"] - 1).otherwise(a["high"])
+        return F.struct(F.shiftright(low, 1).alias("low"), F.when(low <= high, F.shiftright(high, 1)).otherwise(F.shiftright(low, 1) - 1).alias("high"), F.concat(a["out"], first, last).alias("out"))
+
+    start = F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), none.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step, lambda a: a["out"])
+
+
+def first_interval(points: DataFrame, intervals: DataFrame, key: str, at: str, tolerance: float = 0.0, unit: float = UNIT) -> DataFrame:
     """Each point with the first interval (by seg_idx) of its key that holds it, both ends included; without one it is
     kept with nulls. points: point_id, key, at (seconds); intervals: key, seg_idx, start_sec, end_sec.
-    Key and time bin are joined by equality; the exact comparison follows within a bin."""
-    p = points.withColumn("bin", F.floor(F.col(at) / bin_seconds))
-    low, high = F.floor((F.col("start_sec") - tolerance) / bin_seconds), F.floor((F.col("end_sec") + tolerance) / bin_seconds)
-    i = intervals.where("end_sec >= start_sec").select(key, "seg_idx", "start_sec", "end_sec", F.explode(F.sequence(low, high)).alias("bin"))
-    met = p.join(i, [key, "bin"]).where((F.col(at) >= F.col("start_sec") - tolerance) & (F.col(at) <= F.col("end_sec") + tolerance))
-    first = met.groupBy("point_id").agg(F.min(F.struct("seg_idx", "start_sec", "end_sec")).alias("m"))
+    An interval of any length is cut into a few aligned cells that lie wholly inside it, joined by equality with the cells of a point on
+    those levels that occur, after the first interval of each cell has been found; the two cells at its ends are compared exactly."""
+    low, high = F.col("start_sec") - tolerance, F.col("end_sec") + tolerance
+    far = 1e13
+
+    def cell(c: Column) -> Column:
+        return F.floor(F.greatest(F.least(c, F.lit(far)), F.lit(-far)) / unit).cast("long")
+
+    valid = intervals.where((F.col("end_sec") >= F.col("start_sec")) & ~F.isnan("start_sec") & ~F.isnan("end_sec")).select(key, F.struct("seg_idx", "start_sec", "end_sec").alias("m"), low.alias("low"), high.alias("high"))
+    first_whole, last_whole = cell(F.col("low")) + 1, cell(F.col("high")) - 1
+    inner = valid.select(key, "m", F.inline(aligned_cells(first_whole, last_whole))).groupBy(key, "level", "cell").agg(F.min("m").alias("m"))
+    levels = sorted(r["level"] for r in inner.select("level").distinct().collect())  # LEVELS at most
+    edges = valid.select(key, "m", "low", "high", F.explode(F.array_distinct(F.array(cell(F.col("low")), cell(F.col("high"))))).alias("cell"))
+    p = points.select("point_id", key, F.col(at).alias("moment"), cell(F.col(at)).alias("cell"))
+    met = p.join(edges, [key, "cell"]).where((F.col("moment") >= F.col("low")) & (F.col("moment") <= F.col("high"))).select("point_id", "m")
+    if levels:
+        above = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright("cell", n).alias("cell")) for n in levels])
+        met = met.unionByName(p.select("point_id", key, F.inline(above)).join(inner, [key, "level", "cell"]).select("point_id", "m"))
+    first = met.groupBy("point_id").agg(F.min("m").alias("m"))
     return points.join(first, "point_id", "left").select(*points.columns, "m.seg_idx", "m.start_sec", "m.end_sec")
 
 
@@ -66,11 +96,25 @@ def window_means(frames: DataFrame, key: str, pos: str, score: str, length: int,
     return each.groupBy(key, "first").agg(F.round(mean, 6).alias("mean"), F.count("*").alias("frames"))
 
 
-def overlapping_pairs(starts: DataFrame, key: str, start: str, seconds: float) -> DataFrame:
-    """(key, pairs) of the keys of which two intervals of one length overlap: begins are counted by their time first, and each
-    time meets those of the next seconds in a window, so that no pair is made."""
-    counted = starts.groupBy(key, start).agg(F.count("*").alias("n"))
-    micros = (F.col(start) * 1_000_000).cast("long")
-    later = F.sum("n").over(Window.partitionBy(key).orderBy(micros).rangeBetween(1, int(seconds * 1_000_000) - 1))
-    pairs = F.col("n") * (F.col("n") - 1) / 2 + F.col("n") * F.coalesce(later, F.lit(0))
-    return counted.select(key, pairs.cast("long").alias("pairs")).groupBy(key).agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
+def overlapping_pairs(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(key, pairs): how many pairs of a key's open intervals overlap, those without any left out. Two do not overlap if one ends before the other
+    starts, or as it does; so it is enough to know the places of starts among all starts and ends in order, which are ranked together
+    over all keys. No pair is made, and no key meets in one task. An interval with a null end, or that ends before it starts, does not
+    count; one without length overlaps those that hold it inside."""
+    from .sequences import global_rank
+
+    valid = intervals.where((F.col(end) >= F.col(start)) & ~F.isnan(F.col(start)) & ~F.isnan(F.col(end))).select(key, F.col(start).cast("double").alias("start"), F.col(end).cast("double").alias("end"))
+    point = F.col("start") == F.col("end")
+    # at one time intervals end, then points start and end, then intervals start
+    marks = F.array(F.struct(F.col("start").alias("time"), F.when(point, 1).otherwise(3).alias("kind")), F.struct(F.col("end").alias("time"), F.when(point, 2).otherwise(0).alias("kind")))
+    ranked = global_rank(valid.select(key, F.inline(marks)), [key, "time", "kind"], "place")
+    begins = F.col("kind").isin(1, 3)
+    place = F.col("place").cast("decimal(20,0)")
+    per = ranked.groupBy(key).agg(F.min("place").alias("first"), F.count_if(begins).cast("decimal(38,0)").alias("n"), F.sum(F.when(begins, place)).alias("places"))
+    same = valid.where(point).groupBy(key, "start").count().groupBy(key).agg(F.sum(F.expr("cast(count as decimal(38,0)) * (count - 1) / 2")).alias("same"))
+    n = F.col("n")
+    apart = F.col("places") - n * (F.col("first") - 1) - n * (n + 1) / 2
+    named = same.withColumnRenamed(key, "same_key")
+    both = per.join(named, F.col(key).eqNullSafe(F.col("same_key")), "left")
+    pairs = n * (n - 1) / 2 - apart - F.coalesce("same", F.lit(0))
+    return both.select(key, pairs.cast("long").alias("pairs")).where("pairs > 0")

@@ -47,7 +47,7 @@ def global_rank(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     placed = checkpointed(placed)
     sizes = placed.groupBy("range").agg(F.count("*").alias("size"))  # a row for each partition
     before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
-    return placed.join(F.broadcast(before), "range").select(*rows.columns, (F.coalesce("before", F.lit(0)) + F.col("within") + 1).alias(name))
+    return placed.join(F.broadcast(before.drop("size")), "range").select(*rows.columns, (F.coalesce("before", F.lit(0)) + F.col("within") + 1).alias(name))
 
 
 def quantiles(rows: DataFrame, key: str, value: str, share: float, name: str) -> DataFrame:

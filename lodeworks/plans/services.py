@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import hooks
+from ..operators import hooks, scans
 from ..sources import files
 from .registry import Tables, query
 
@@ -103,9 +103,9 @@ def e13_calls_with_fallback(t: Tables) -> DataFrame:
     return hooks.called(t.documents.select("doc_id", "text"), "text", measure, "int", "r").select("doc_id", "r.value", "r.error")
 
 
-@query("""WITH RECURSIVE d AS (SELECT doc_id, doc_id >> 8 AS block, n_chars, row_number() OVER (PARTITION BY doc_id >> 8 ORDER BY doc_id) AS i FROM documents),
-r AS (SELECT doc_id, block, i, 0::BIGINT AS batch, 1 AS items, n_chars AS size FROM d WHERE i = 1 UNION ALL
-SELECT d.doc_id, d.block, d.i, CASE WHEN r.items >= 32 OR r.size + d.n_chars > 100000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.items >= 32 OR r.size + d.n_chars > 100000 THEN 1 ELSE r.items + 1 END, CASE WHEN r.items >= 32 OR r.size + d.n_chars > 100000 THEN d.n_chars ELSE r.size + d.n_chars END FROM r JOIN d ON d.block = r.block AND d.i = r.i + 1)
-SELECT doc_id, block, batch FROM r""")
+@query("""WITH RECURSIVE d AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+r AS (SELECT doc_id, i, 0::BIGINT AS batch, 1 AS items, n_chars AS size FROM d WHERE i = 1 UNION ALL
+SELECT d.doc_id, d.i, CASE WHEN r.items >= 32 OR r.size + d.n_chars > 100000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.items >= 32 OR r.size + d.n_chars > 100000 THEN 1 ELSE r.items + 1 END, CASE WHEN r.items >= 32 OR r.size + d.n_chars > 100000 THEN d.n_chars ELSE r.size + d.n_chars END FROM r JOIN d ON d.i = r.i + 1)
+SELECT doc_id, batch FROM r""")
 def r10_batches(t: Tables) -> DataFrame:
-    return hooks.batches(t.documents, "doc_id", "n_chars", 32, 100_000)
+    return scans.batches(t.documents, "doc_id", "n_chars", 32, 100_000)

@@ -65,9 +65,11 @@ def j11_cropped(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", intervals.cropped(F.col("text"), F.lit(0.0), F.lit(10.0), at).alias("crop"))
 
 
-@query("""WITH s AS (SELECT o_orderkey, o_custkey, o_orderdate AS a, o_orderdate + INTERVAL 30 DAY AS b FROM orders) SELECT x.o_custkey, count(*) AS overlaps FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND x.a < y.b AND y.a < x.b GROUP BY x.o_custkey""")
+@query("""WITH s AS (SELECT o_orderkey, o_custkey, o_orderdate AS a, o_orderdate + to_days((o_orderkey % 60)::INTEGER) AS b FROM orders) SELECT x.o_custkey, count(*) AS overlaps FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND x.a < y.b AND y.a < x.b GROUP BY x.o_custkey""")
 def j14_overlaps(t: Tables) -> DataFrame:
-    return intervals.overlapping_pairs(t.orders.select("o_custkey", _seconds("o_orderdate").alias("start")), "o_custkey", "start", 30 * 86_400).withColumnRenamed("pairs", "overlaps")
+    start = _seconds("o_orderdate")
+    held = t.orders.select("o_custkey", start.alias("start"), (start + F.col("o_orderkey") % 60 * 86_400).alias("end"))
+    return intervals.overlapping_pairs(held, "o_custkey", "start", "end").withColumnRenamed("pairs", "overlaps")
 
 
 @query("""SELECT CASE WHEN event_id % 4 = 0 THEN 'ends before it starts' WHEN event_type = 'error' THEN 'empty' ELSE 'fine' END AS reason, count(*) AS n FROM events GROUP BY 1""")
@@ -176,10 +178,16 @@ def w12_w13_places(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.transform(greedy.limited(places), lambda x: x.cast("string")).alias("p")).select("p_partkey", F.array_join("p", ",").alias("places"))
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT label % 2 AS media, vec_id AS frame_id, vec_id * 0.7 AS moment, list_transform(embedding[1:3], lambda x: x::DOUBLE) AS v, row_number() OVER (PARTITION BY label % 2 ORDER BY vec_id) AS i FROM embeddings),
+r AS (SELECT media, 0::BIGINT AS i, NULL::BIGINT AS frame_id, NULL::BOOLEAN AS kept, NULL::DOUBLE AS similarity, []::STRUCT(t DOUBLE, v DOUBLE[])[] AS held FROM f GROUP BY media
+UNION ALL SELECT media, i, frame_id, s < 0.9, round(s, 6), CASE WHEN s < 0.9 THEN list_append(near, {'t': moment, 'v': v}) ELSE near END FROM (
+ SELECT *, greatest(0, coalesce(list_max(list_transform(near, lambda k: list_cosine_similarity(k.v, v))), 0)) AS s FROM (
+  SELECT f.media, f.i, f.frame_id, f.moment::DOUBLE AS moment, f.v, list_filter(r.held, lambda k: f.moment - k.t <= 10) AS near FROM r JOIN f ON f.media = r.media AND f.i = r.i + 1)))
+SELECT media, frame_id, kept, similarity FROM r WHERE i > 0""")
 def w14_without_repeats(t: Tables) -> DataFrame:
-    frames = t.embeddings.select(F.col("label").alias("media"), F.col("vec_id").alias("frame_id"), (F.col("vec_id") * 0.7).alias("at"), F.col("embedding").alias("vector"))
-    return greedy.without_repeats(frames, "media")
+    """Vectors of three components, so that many are alike; pieces of a minute, so that decisions are handed on."""
+    frames = t.embeddings.select((F.col("label") % 2).alias("media"), F.col("vec_id").alias("frame_id"), (F.col("vec_id") * 0.7).alias("at"), F.slice("embedding", 1, 3).alias("vector"))
+    return greedy.without_repeats(frames, "media", piece_seconds=60.0)
 
 
 _FRAME_SCORES = "f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value FROM events)"
@@ -207,9 +215,8 @@ def w16_scenes(t: Tables) -> DataFrame:
 w AS (SELECT conv_id, i, i AS first, n FROM s WHERE i = 1 UNION ALL SELECT s.conv_id, s.i, CASE WHEN w.n < 30 THEN w.first ELSE s.i END, CASE WHEN w.n < 30 THEN w.n + s.n ELSE s.n END FROM w JOIN s ON s.conv_id = w.conv_id AND s.i = w.i + 1)
 SELECT w.conv_id, string_agg(s.turn::VARCHAR, ',' ORDER BY w.i) AS turns, count(*)::INTEGER AS parts FROM w JOIN s ON s.conv_id = w.conv_id AND s.i = w.i GROUP BY w.conv_id, w.first""")
 def w17_merged_segments(t: Tables) -> DataFrame:
-    one = F.struct(F.col("turn").alias("start"), F.col("turn").alias("end"), F.col("text").alias("text"), F.array(F.col("turn").cast("string")).alias("ids"))
-    held = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", one.alias("s")))), lambda x: x["s"]).alias("s"))
-    return held.select("conv_id", F.explode(greedy.merged_segments(F.col("s"))).alias("m")).select("conv_id", F.array_join("m.ids", ",").alias("turns"), F.size("m.ids").alias("parts"))
+    turns = t.conversations.select("conv_id", "turn", F.col("turn").alias("start"), F.col("turn").alias("end"), "text")
+    return greedy.merged_segments(turns, "conv_id", "turn").select("conv_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("turns"), F.size("ids").alias("parts"))
 
 
 @query("""WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events WHERE value < 100) SELECT event_type, event_id FROM r WHERE k = 1""")
@@ -273,16 +280,22 @@ def t27_t28_token_windows(t: Tables) -> DataFrame:
     return greedy.windowed(t.documents, "doc_id", "text")
 
 
-_SPOKEN = "SELECT conv_id, turn * 12.5 AS a, turn * 12.5 + 10 AS b, list_filter(regexp_split_to_array(repeat(text || ' ', (turn % 6 + 1)::INTEGER), '\\s+'), lambda w: w <> '') AS w FROM conversations"
+#: Texts of which every third is cut to a few words, so that they are glued; others are repeated until they are too long.
+_SPOKEN = "SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN left(text, 40) ELSE repeat(text || ' ', (turn % 6 + 1)::INTEGER) END AS text FROM conversations"
 
 
-@query(f"""WITH s AS ({_SPOKEN}), i AS (SELECT *, unnest(CASE WHEN len(w) > 300 THEN generate_series(0, len(w) - 41, 160) WHEN len(w) > 0 THEN [0] ELSE [] END) AS k FROM s),
+@query(f"""WITH RECURSIVE p AS ({_SPOKEN}), s AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n FROM p),
+g AS (SELECT conv_id, i, i AS first, n FROM s WHERE i = 1 UNION ALL SELECT s.conv_id, s.i, CASE WHEN g.n < 30 THEN g.first ELSE s.i END, CASE WHEN g.n < 30 THEN g.n + s.n ELSE s.n END FROM g JOIN s ON s.conv_id = g.conv_id AND s.i = g.i + 1),
+m AS (SELECT g.conv_id, min(s.turn) * 12.5 AS a, max(s.turn) * 12.5 + 10 AS b, list_filter(regexp_split_to_array(string_agg(s.text, ' ' ORDER BY s.i), '\\s+'), lambda w: w <> '') AS w FROM g JOIN s ON s.conv_id = g.conv_id AND s.i = g.i GROUP BY g.conv_id, g.first),
+i AS (SELECT *, unnest(CASE WHEN len(w) > 300 THEN generate_series(0, len(w) - 41, 160) WHEN len(w) > 0 THEN [0] ELSE [] END) AS k FROM m),
 u AS (SELECT conv_id, printf('%d:%.3f-%.3f', conv_id, a::DOUBLE, b::DOUBLE) AS place, len(w) > 300 AS cut, (k // 160)::INTEGER AS chunk_index, array_to_string(CASE WHEN len(w) > 300 THEN w[k + 1:k + 200] ELSE w END, ' ') AS text FROM i)
 SELECT conv_id, 'transcript:' || place || CASE WHEN cut THEN '#' || chunk_index ELSE '' END AS unit_id, chunk_index, text FROM u""")
 def t28_transcript_units(t: Tables) -> DataFrame:
+    """Short segments are merged first, long ones are cut then."""
     start = F.col("turn") * 12.5
-    text_ = F.repeat(F.concat("text", F.lit(" ")), (F.col("turn") % 6 + 1).cast("int"))
-    return greedy.transcript_units(t.conversations.select("conv_id", start.alias("start"), (start + 10).alias("end"), text_.alias("text")), "conv_id").drop("chunk_total")
+    text_ = F.when(F.col("turn") % 3 == 1, F.left("text", F.lit(40))).otherwise(F.repeat(F.concat("text", F.lit(" ")), (F.col("turn") % 6 + 1).cast("int")))
+    spoken = t.conversations.select("conv_id", "turn", start.alias("start"), (start + 10).alias("end"), text_.alias("text"))
+    return greedy.transcript_units(greedy.merged_segments(spoken, "conv_id", "turn"), "conv_id").drop("chunk_total")
 
 
 @query("""SELECT date_trunc('hour', ts)::VARCHAR AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2""")
