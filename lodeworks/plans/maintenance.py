@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-from ..operators import entities, merge
+from ..operators import aliases, entities, merge
 from ..sources import files
+from ..sources.points import Points
 from .registry import Tables, query
 
 
@@ -64,9 +67,16 @@ def e6_last_primary(t: Tables) -> DataFrame:
     return entities.with_last_primary(links, "l_orderkey", "l_linenumber", "asked").select("l_orderkey", "l_linenumber", "is_primary")
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
+@query("""WITH l AS (SELECT c_custkey, c_custkey % 90 AS occurrence, c_acctbal < 9600 AS unlinked FROM customer), used AS (SELECT DISTINCT s_nationkey FROM l JOIN supplier ON s_suppkey = occurrence WHERE NOT unlinked), o AS (SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM used))
+SELECT 'links' AS kind, c_custkey AS id FROM l WHERE unlinked UNION ALL SELECT 'series', n_nationkey FROM o UNION ALL SELECT 'occurrences', s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM o)""")
 def e7_unlinked_removed(t: Tables) -> DataFrame:
-    return t.nation.join(t.supplier.where("s_acctbal > 5000"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("n_nationkey", "n_name")
+    series = t.nation.select(F.col("n_nationkey").alias("series_id"))
+    occurrences = t.supplier.select(F.col("s_suppkey").alias("occurrence_id"), F.col("s_nationkey").alias("series_id"))
+    links = t.customer.select(F.col("c_custkey").alias("post_id"), (F.col("c_custkey") % 90).alias("occurrence_id"))
+    gone = aliases.after_unlinking(series, occurrences, links, t.customer.where("c_acctbal < 9600").select(F.col("c_custkey").alias("post_id")))
+    ids = {"links": "post_id", "series": "series_id", "occurrences": "occurrence_id"}
+    each = [rows.select(F.lit(kind).alias("kind"), F.col(ids[kind]).cast("long").alias("id")) for kind, rows in gone.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations), w AS (SELECT conv_id, turn, 'kept' AS role, n FROM c WHERE conv_id % 4 = 0 AND turn % 2 = 0)
@@ -107,22 +117,41 @@ def e15_first_spelling(t: Tables) -> DataFrame:
     return each.groupBy(F.lower("alias").alias("alias")).agg(F.min(F.struct("p_partkey", "k")).alias("f")).select("alias", F.col("f.p_partkey").alias("canonical"))
 
 
-@query("""WITH f AS (SELECT p_type, count(*) AS n FROM part GROUP BY p_type), a AS (SELECT p_type, n, CASE WHEN p_type LIKE 'PROMO%' THEN 'PROMO' END AS anchor FROM f), g AS (SELECT p_type, n, coalesce(anchor, split_part(p_type, ' ', 3)) AS cluster FROM a)
-SELECT p.p_partkey, coalesce(nullif(g.cluster, ''), p.p_type) AS cluster FROM part p JOIN g USING (p_type)""")
+@query("""WITH RECURSIVE f AS (SELECT p_type || ' ' || p_name AS name, count(*) AS n, CASE WHEN p_type = 'PROMO' AND p_name LIKE '%ring' THEN 'Promo Ring' WHEN p_type = 'PROMO' THEN 'Promo' END AS anchor FROM part GROUP BY p_type, p_name),
+b AS (SELECT name, (row_number() OVER (ORDER BY lower(name), name) - 1) // 40 AS batch FROM f WHERE anchor IS NULL), one AS (SELECT name, min(name) OVER (PARTITION BY batch, split_part(name, ' ', 3)) AS canon FROM b),
+two AS (SELECT DISTINCT canon AS name, CASE WHEN split_part(canon, ' ', 3) = 'widget' THEN 'promo' ELSE split_part(canon, ' ', 3) END AS canon FROM one),
+e AS (SELECT '3' || name AS a, '2' || canon AS b FROM one UNION ALL SELECT '2' || name, '1' || canon FROM two UNION ALL SELECT '3' || name, '0' || anchor FROM f WHERE anchor IS NOT NULL UNION ALL SELECT DISTINCT '1' || canon, '0Promo' FROM two WHERE canon = 'promo'),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(name, reached) AS (SELECT a, a FROM u UNION SELECT r.name, u.b FROM r JOIN u ON u.a = r.reached), c AS (SELECT name, min(reached) AS root, count(*) FILTER (WHERE reached LIKE '0%') AS anchors FROM r GROUP BY name)
+SELECT f.name, n, substring(root, 2) AS cluster, sum(n) OVER (PARTITION BY root)::BIGINT AS weight, anchors FROM f JOIN c ON c.name = '3' || f.name""")
 def e16_anchored_clusters(t: Tables) -> DataFrame:
-    """Names that an anchor takes first, the others by their cluster, what is left as its own."""
-    names = t.part.select("p_type").distinct()
-    anchor = F.when(F.col("p_type").startswith("PROMO"), "PROMO")
-    cluster = F.coalesce(anchor, F.nullif(F.split_part("p_type", F.lit(" "), F.lit(3)), F.lit("")), F.col("p_type"))
-    return t.part.select("p_partkey", "p_type").join(names.withColumn("cluster", cluster), "p_type").select("p_partkey", "cluster")
+    """Kinds of parts: the promotional ones are anchored, the others are clustered by their last word in batches, then over all; one cluster leads to an anchor."""
+    name = F.concat_ws(" ", "p_type", "p_name")
+    names = t.part.groupBy(name.alias("name")).agg(F.count("*").alias("n"))
+    promo = t.part.where("p_type = 'PROMO'").select(name.alias("alias"), F.when(F.col("p_name").endswith("ring"), "Promo Ring").otherwise("Promo").alias("anchor")).distinct()
+    anchors = promo.unionByName(t.region.limit(1).select(F.lit("promo").alias("alias"), F.lit("Promo").alias("anchor")))
+
+    def by_last_word(asked: DataFrame) -> DataFrame:
+        return asked.select("name", F.min("name").over(Window.partitionBy("batch", F.split_part("name", F.lit(" "), F.lit(3)))).alias("canon"))
+
+    def over_all(asked: DataFrame) -> DataFrame:
+        word = lambda n: F.split_part("name", F.lit(" "), F.lit(n))
+        return asked.select("name", F.when(word(3) == "widget", "promo").otherwise(word(3)).alias("canon"))
+
+    return aliases.clustered(names, anchors, by_last_word, over_all)
 
 
-@query("""WITH c AS (SELECT DISTINCT lower(p_brand) AS name FROM part), h AS (SELECT c.name, min(s_suppkey) AS id FROM c LEFT JOIN supplier ON s_suppkey = regexp_extract(c.name, '[0-9]+')::BIGINT GROUP BY c.name)
-SELECT count(*) FILTER (WHERE id IS NOT NULL) AS reused, count(*) FILTER (WHERE id IS NULL) AS created FROM h""")
+@query("""WITH RECURSIVE rec AS (SELECT p_partkey AS seq, p_brand || ' ' || p_size % 5 AS raw, p_brand || ' ' || (p_size + p_partkey) % 7 AS canon FROM part), k AS (SELECT seq, raw, canon, lower(raw) AS kr, lower(canon) AS kc, regexp_replace(lower(canon), '[^a-z0-9]+', '-', 'g') AS slug FROM rec),
+held AS (SELECT DISTINCT lower(p_brand || ' 3') AS key, 'old-' || right(p_brand, 1) AS slug FROM part WHERE p_brand LIKE '%1'), own AS (SELECT key, min(seq) AS seq FROM (SELECT kr AS key, seq FROM k UNION ALL SELECT kc, seq FROM k) GROUP BY key),
+l AS (SELECT k.*, hc.slug AS hc, hr.slug AS hr, c.seq AS oc, r.seq AS o_r FROM k JOIN own c ON c.key = kc JOIN own r ON r.key = kr LEFT JOIN held hc ON hc.key = kc LEFT JOIN held hr ON hr.key = kr),
+p AS (SELECT *, CASE WHEN hc IS NOT NULL THEN NULL WHEN oc < seq THEN oc WHEN hr IS NOT NULL THEN NULL WHEN o_r < seq THEN o_r END AS up, CASE WHEN hc IS NOT NULL THEN hc WHEN oc < seq THEN NULL WHEN hr IS NOT NULL THEN hr WHEN o_r < seq THEN NULL ELSE slug END AS series FROM l),
+climb AS (SELECT seq, up, series FROM p UNION ALL SELECT climb.seq, p.up, p.series FROM climb JOIN p ON p.seq = climb.up), f AS (SELECT seq, series FROM climb WHERE series IS NOT NULL), o AS (SELECT own.key, coalesce(held.slug, f.series) AS series FROM own JOIN f USING (seq) LEFT JOIN held ON held.key = own.key)
+SELECT p.seq, f.series AS slug, (hc IS NOT NULL OR oc < p.seq OR hr IS NOT NULL OR o_r < p.seq) AS known, (a.series <> f.series)::INTEGER + (raw <> canon AND b.series <> f.series)::INTEGER AS conflicts FROM p JOIN f USING (seq) JOIN o a ON a.key = kc JOIN o b ON b.key = kr""")
 def e17_reconciled(t: Tables) -> DataFrame:
-    names = t.part.select(F.lower("p_brand").alias("name")).distinct().withColumn("s_suppkey", F.regexp_extract("name", "[0-9]+", 0).cast("long"))
-    rows = names.join(t.supplier.select("s_suppkey", F.lit(True).alias("held")), "s_suppkey", "left")
-    return rows.agg(F.count_if(F.col("held").isNotNull()).alias("reused"), F.count_if(F.col("held").isNull()).alias("created"))
+    """Parts as records of names that overlap: which series each is written to, and the aliases that belong to others."""
+    brand, size = F.col("p_brand"), F.col("p_size")
+    records = t.part.select(F.col("p_partkey").alias("seq"), F.concat_ws(" ", brand, (size % 5).cast("string")).alias("raw"), F.concat_ws(" ", brand, ((size + F.col("p_partkey")) % 7).cast("string")).alias("canon"))
+    known = t.part.where("p_brand like '%1'").select(F.concat(brand, F.lit(" 3")).alias("alias"), F.concat(F.lit("old-"), F.right(brand, F.lit(1))).alias("slug")).distinct()
+    return aliases.reconciled(records, known)
 
 
 @query("""WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS chunk FROM documents), k AS (SELECT doc_id, sha256(chunk) AS id, chunk FROM c)
@@ -248,10 +277,26 @@ def s17_s19_payload_updates(t: Tables) -> DataFrame:
     return merge.updated_where(rows, F.col("lang") == "fr", {"lang": None})
 
 
-@query("SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'es')")
+@query("""WITH p AS (SELECT vec_id, label, lang, source, embedding[1]::DOUBLE AS x FROM embeddings JOIN documents ON doc_id = vec_id), u AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN label + 100 ELSE label END AS label, CASE WHEN vec_id % 5 = 0 THEN 'new' ELSE lang END AS lang, source, CASE WHEN vec_id % 5 = 0 THEN -x ELSE x END AS x FROM p),
+s AS (SELECT vec_id, label, lang, CASE WHEN vec_id % 3 = 0 THEN 'by id' ELSE source END AS source, x FROM u)
+SELECT vec_id, label, CASE WHEN lang = 'de' THEN 'DE' WHEN lang = 'fr' THEN NULL ELSE lang END AS lang, source, round(x, 6) AS x FROM s WHERE vec_id % 7 <> 0 AND source IS DISTINCT FROM 'src-3'""")
 def s16_s20_points_deleted(t: Tables) -> DataFrame:
-    gone = t.documents.where("lang = 'es'").select(F.col("doc_id").alias("vec_id"))
-    return t.embeddings.select("vec_id", "label").join(gone, "vec_id", "left_anti")
+    """A collection after upserts, payloads set by id and by condition, payloads cleared, and deletes; the last change is repeated."""
+    from ..session import shared_folder
+
+    points = Points(t.spark, f"{shared_folder(t.spark)}/lodeworks/points-{uuid.uuid4().hex}", buckets=16)
+    held = t.embeddings.join(t.documents, F.col("doc_id") == F.col("vec_id"))
+    id_, number = F.col("vec_id").cast("string").alias("id"), F.col("id").cast("long")
+    points.upsert(held.select(id_, F.col("embedding").alias("vector"), "label", "lang", "source"), "first")
+    turned = F.transform("embedding", lambda x: -x)
+    points.upsert(held.where("vec_id % 5 = 0").select(id_, turned.alias("vector"), (F.col("label") + 100).alias("label"), F.lit("new").alias("lang"), "source"), "second")
+    points.set_payloads(held.where("vec_id % 3 = 0").select(id_, F.lit("by id").alias("source")), "sources")
+    points.set_where(F.col("lang") == "de", {"lang": "DE"}, "german")
+    points.set_where(F.col("lang") == "fr", {"lang": None}, "french")
+    points.delete(held.where("vec_id % 7 = 0").select(id_), "sevenths")
+    for _ in range(2):
+        points.delete_where(F.col("source") == "src-3", "source three")
+    return points.read().select(number.alias("vec_id"), "label", "lang", "source", F.round(F.col("vector")[0].cast("double"), 6).alias("x"))
 
 
 @query("WITH s AS (SELECT source, count(*) AS n, min(lang) AS lang FROM documents GROUP BY source) SELECT d.doc_id, s.n, CASE WHEN s.n > 40 THEN s.lang END AS lang FROM documents d JOIN s USING (source)")
