@@ -13,9 +13,21 @@ _SQUEEZE = "trim(regexp_replace({0}, '[\\s\\p{{Z}}\\p{{Cc}}]+', ' ', 'g'))"
 FOLD, SQUEEZE = _FOLD.format, _SQUEEZE.format
 
 
+def _spelled(t: Tables) -> DataFrame:
+    """The documents, two thirds of them with letters that are decomposed, of full width or ligatures."""
+    k = F.col("doc_id") % 3
+    marked = F.replace(F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308")), F.lit("ñ"), F.lit("n\u0303"))
+    wide = F.replace(F.translate("text", "abT", "ａｂＴ"), F.lit("fi"), F.lit("ﬁ"))
+    return t.documents.select("doc_id", "text", F.when(k == 1, marked).when(k == 2, wide).otherwise(F.col("text")).alias("spelled"))
+
+
+_SPELLED = "(SELECT doc_id, text, CASE doc_id % 3 WHEN 1 THEN replace(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)), 'ñ', 'n' || chr(771)) WHEN 2 THEN replace(translate(text, 'abT', 'ａｂＴ'), 'fi', 'ﬁ') ELSE text END AS spelled FROM documents)"
+
+
 @query(f"SELECT doc_id, sha256({FOLD('text')}) AS folded FROM documents")
 def t1_fold(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.sha2(text.fold(F.col("text")), 256).alias("folded"))
+    """However its letters are written, a text folds to what it folds to in plain letters."""
+    return _spelled(t).select("doc_id", F.sha2(text.fold(F.col("spelled")), 256).alias("folded"))
 
 
 @query(f"""SELECT doc_id, left(regexp_replace(regexp_replace(lower({FOLD('text')}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 255) AS slug FROM documents""")
@@ -28,14 +40,14 @@ def t3_alias_key(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.alias_key(F.col("p_name")).alias("alias_key"))
 
 
-@query(f"SELECT doc_id, {SQUEEZE('nfc_normalize(text)')} AS clean FROM documents")
+@query(f"SELECT doc_id, {SQUEEZE('nfc_normalize(spelled)')} AS clean FROM {_SPELLED}")
 def t4_clean(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.clean(F.col("text")).alias("clean"))
+    return _spelled(t).select("doc_id", text.clean(F.col("spelled")).alias("clean"))
 
 
-@query(f"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: {SQUEEZE('l')}), lambda l: l <> ''), chr(10)) AS lines FROM documents""")
+@query(f"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(nfc_normalize(spelled), chr(10)), lambda l: {SQUEEZE('l')}), lambda l: l <> ''), chr(10)) AS lines FROM {_SPELLED}""")
 def t5_clean_lines(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.clean_lines(F.col("text")).alias("lines"))
+    return _spelled(t).select("doc_id", text.clean_lines(F.col("spelled")).alias("lines"))
 
 
 @query(f"""SELECT conv_id, turn, CASE WHEN upper(trim(role)) = 'USER' THEN {SQUEEZE('text')} ELSE '' END AS shown FROM conversations""")

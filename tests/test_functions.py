@@ -22,6 +22,11 @@ def one(spark, expression, *values):
     ("f", "given", "want"),
     [
         (text.fold, "Đặng Thị ÁÉ ñ", "Dang Thi AE n"),
+        (text.fold, "Đặ\u0323ng ｆｕｌｌ ﬁne ½ ² ŉ ĳ Å ⅷ ㎏", "Dang full fine 12 2 n ij A viii kg"),
+        (text.fold, "ß æ ø 日本 😀", "    "),
+        (text.composed, "e\u0301 a\u0323\u0302 \u212b \u1112\u1161\u11ab ñ", "é ậ Å 한 ñ"),
+        (text.composed, None, None),
+        (text.clean, "cafe\u0301\u0020\u00a0x", "café x"),
         (text.slug, "  Ngày hội Đổi mới 2024!! ", "ngay-hoi-doi-moi-2024"),
         (text.slug, "!!!", ""),
         (text.alias_key, "  Lễ   HỘI\t", "le hoi"),
@@ -64,6 +69,21 @@ def test_column_functions(spark, f, given, want):
     assert got == want
 
 
+def test_normal_forms_of_every_letter(spark):
+    """All characters of the basic plane that decompose, alone and between marks, against another implementation."""
+    import unicodedata
+
+    odd = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000 and unicodedata.is_normalized("NFKD", chr(i)) is False and unicodedata.unidata_version >= "13"]
+    rows = [(i, f"a{c}\u0323b\u0301{c}") for i, c in enumerate(odd)]
+    frame = spark.createDataFrame(rows, "i long, t string")
+    got = frame.select("i", text.composed(F.col("t")).alias("c"), text.fold(F.col("t")).alias("f")).collect()
+    for r in got:
+        t = rows[r["i"]][1]
+        assert r["c"] == unicodedata.normalize("NFC", t)
+        assert r["f"] == "".join(x for x in unicodedata.normalize("NFKD", t.replace("đ", "d").replace("Đ", "D")) if ord(x) < 128)
+    assert len(got) > 3000
+
+
 def test_clocks(spark):
     assert one(spark, text.clock, 3725.9) == "01:02:05" and one(spark, text.clock, 65.0) == "01:05" and one(spark, text.clock, -1.0) == ""
     assert one(spark, text.minutes, 6000.0) == "100:00"
