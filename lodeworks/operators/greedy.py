@@ -1,10 +1,7 @@
-"""Decisions that depend on those before them, per group: temporal duplicates, short segments, scene frames, chunks."""
+"""Decisions that depend on those before them, per group: temporal duplicates, short segments, scene frames."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,8 +11,7 @@ from pyspark.sql import functions as F
 SIMILAR, GAP_SECONDS = 0.90, 10.0
 SHORT_TOKENS = 30
 SHORT_SCENE, PLACES, EVERY_SECONDS, PER_SCENE = 10, (0.15, 0.5, 0.85), 2.5, 8
-CHUNK, OVERLAP, LEAST = 1200, 150, 250
-WINDOW_TOKENS, WINDOW_OVERLAP, PICTURE_OVERLAP, LONG_TOKENS = 200, 40, 20, 300
+WINDOW_TOKENS, WINDOW_OVERLAP, LONG_TOKENS = 200, 40, 300
 
 
 def without_repeats(frames: DataFrame, key: str, piece_seconds: float = 300.0) -> DataFrame:
@@ -105,25 +101,6 @@ def limited(places: Column, most: int = PER_SCENE) -> Column:
     return F.when(n <= most, places).otherwise(F.transform(at, lambda i: F.element_at(places, i)))
 
 
-def token_windows(text: str, size: int = WINDOW_TOKENS, overlap: int = WINDOW_OVERLAP) -> list[str]:
-    """Windows of words that end at line ends where they can; only a line that is too long is cut, with an overlap."""
-    out, held, n = [], [], 0
-    for line in text.split("\n"):
-        words = line.split()
-        if not words:
-            continue
-        if n + len(words) > size and held:
-            out.append("\n".join(held))
-            held, n = [], 0
-        if len(words) > size:
-            for i in range(0, max(1, len(words) - overlap), size - overlap):
-                out.append(" ".join(words[i : i + size]))
-            continue
-        held.append(" ".join(words))
-        n += len(words)
-    return [*out, "\n".join(held)] if held else out
-
-
 def transcript_units(segments: DataFrame, key: str) -> DataFrame:
     """Units of merged segments (key, start and end in seconds, text): unit_id, chunk_index, chunk_total, text. A segment of
     LONG_TOKENS words or fewer is one unit; a longer one is cut into windows, which share its time."""
@@ -136,114 +113,3 @@ def transcript_units(segments: DataFrame, key: str) -> DataFrame:
     units = segments.select(key, place.alias("place"), F.size(parts).alias("chunk_total"), F.posexplode(parts).alias("chunk_index", "text"))
     unit = F.concat(F.lit("transcript:"), "place", F.when(F.col("chunk_total") > 1, F.concat(F.lit("#"), F.col("chunk_index").cast("string"))).otherwise(""))
     return units.select(key, unit.alias("unit_id"), "chunk_index", "chunk_total", "text")
-
-
-#: What a block of a document begins with (list marks), the letters that tell a heading in capitals, and how marks
-#: that were flattened into a line are set off again.
-ITEM = re.compile(r"^(?:[-+•]|\d{1,3}[.)])\s+")
-NO_LETTERS = re.compile(r"[^A-Za-zÀ-ỹĐđ]")
-SET_OFF = (
-    (re.compile(r"\s+-\s+(?=[A-ZÀ-ỴĐ])"), "\n\n- "),
-    (re.compile(r"\s+\+\s+(?=(?:Lần|Làm|Tự|[A-ZÀ-ỴĐ]))"), "\n\n+ "),
-    (re.compile(r"(?<!^) (?=\d{1,3}\.\s+(?:Đối với|Hình thức))"), "\n\n"),
-)
-
-
-def in_capitals(line: str) -> bool:
-    letters = NO_LETTERS.sub("", line)
-    return len(letters) >= 5 and letters.isupper()
-
-
-def repaired(text: str) -> str:
-    """A document's text without the line breaks of its layout: lines are joined to blocks, which two empty lines, a heading in
-    capitals or a list mark begin; flattened lists are set off."""
-    plain = re.sub(r"[\t\f\v]+", " ", re.sub(r"\r\n?", "\n", unicodedata.normalize("NFC", text)))
-    blocks: list[list[str]] = []
-    empty = 2
-    for line in (re.sub(" {2,}", " ", x).strip() for x in plain.split("\n")):
-        if not line:
-            empty += 1
-            continue
-        if empty >= 2 or in_capitals(line) or ITEM.match(line):
-            blocks.append([])
-        blocks[-1].append(line)
-        empty = 0
-    out = "\n\n".join(map(" ".join, blocks))
-    for mark, put in SET_OFF:
-        out = mark.sub(put, out)
-    return out.strip()
-
-
-_SENTENCE, _CLAUSE = re.compile(r"(?<=[.!?…])\s+"), re.compile(r"(?<=[,;:])\s+")
-
-
-def _fitting(text: str, budget: int) -> list[str]:
-    """A text in parts of at most ``budget`` characters: at sentences, else clauses, else words; a longer word stays whole."""
-    if len(text) <= budget:
-        return [text]
-    for cut in (_SENTENCE, _CLAUSE, re.compile(r"\s+")):
-        parts = cut.split(text)
-        if len(parts) > 1:
-            out: list[str] = []
-            for p in parts:
-                if out and len(out[-1]) + 1 + len(p) <= budget:
-                    out[-1] += " " + p
-                else:
-                    out += [p] if len(p) <= budget else _fitting(p, budget)
-            return out
-    return [text]
-
-
-def sections(text: str, is_heading) -> list[tuple[str, list[str]]]:
-    """(title, paragraphs) in order; a heading line opens a section."""
-    out: list[tuple[str, list[str]]] = [("", [])]
-    for block in (b.strip() for b in text.split("\n")):
-        if block and is_heading(block):
-            out.append((block, []))
-        elif block:
-            out[-1][1].append(block)
-    return [(t, p) for t, p in out if t or p]
-
-
-def chunks(text: str, is_heading) -> list[tuple[str, str]]:
-    """(section, chunk): paragraphs packed up to the budget, sections never mixed, an overlap from chunk to chunk, the
-    section's title before each; a chunk that is too small joins the one before in its section."""
-    out: list[tuple[str, str]] = []
-    for title, paragraphs in sections(text, is_heading):
-        budget = CHUNK - (len(title) + 1 if title else 0)
-        packed: list[str] = []
-        for part in (x for p in paragraphs for x in _fitting(p, budget)):
-            if packed and len(packed[-1]) + 1 + len(part) <= budget:
-                packed[-1] += "\n" + part
-            else:
-                tail = packed[-1][-OVERLAP:].partition(" ")[2] if packed else ""
-                packed.append(f"{tail} {part}" if tail and len(tail) + 1 + len(part) <= budget else part)
-        while len(packed) > 1 and len(packed[-1]) < LEAST and len(packed[-2]) + 1 + len(packed[-1]) <= budget:
-            packed[-2:] = [packed[-2] + "\n" + packed[-1]]
-        out += [(title, f"{title}\n{c}" if title else c) for c in packed or [""] if c or title]
-    return out
-
-
-def chunked(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """(id, chunk_index, section, chunk) of every document, its layout repaired first; Arrow batches in place, nothing is shuffled."""
-    from ..functions.text import HEADING, HEADING_CHARS
-
-    heading = re.compile(HEADING.replace(r"(?i)", "").replace(r"[^\p{L}\p{N}_]", r"\W"), re.IGNORECASE)
-
-    def cut(batches):
-        for batch in batches:
-            rows = [(i, n, s, c) for i, x in zip(batch[id_], batch[text], strict=True) for n, (s, c) in enumerate(chunks(repaired(x or ""), lambda b: len(b) <= HEADING_CHARS and bool(heading.match(b))))]
-            yield pd.DataFrame(rows, columns=[id_, "chunk_index", "section", "chunk"])
-
-    return docs.select(F.col(id_).cast("long"), text).mapInPandas(cut, f"{id_} long, chunk_index int, section string, chunk string")
-
-
-def windowed(docs: DataFrame, id_: str, text: str, overlap: int = PICTURE_OVERLAP) -> DataFrame:
-    """(id, window_index, window) of every document's token windows; texts of pictures overlap less than speech."""
-
-    def cut(batches):
-        for batch in batches:
-            rows = [(i, n, w) for i, x in zip(batch[id_], batch[text], strict=True) for n, w in enumerate(token_windows(x or "", overlap=overlap))]
-            yield pd.DataFrame(rows, columns=[id_, "window_index", "window"])
-
-    return docs.select(F.col(id_).cast("long"), text).mapInPandas(cut, f"{id_} long, window_index int, window string")

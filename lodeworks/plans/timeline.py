@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import entities, greedy, intervals
+from ..operators import chunks, entities, greedy, intervals
 from .registry import Tables, query
+from .texts import FOLD
 
 
 def _seconds(c: str = "ts"):
@@ -270,14 +271,75 @@ def r9_token_budget(t: Tables) -> DataFrame:
     return sent.select(F.col("id").alias("event_id"), (F.col("released") - F.col("at")).alias("waited"))
 
 
-@query()
+def _laid_out(t: Tables) -> DataFrame:
+    """Documents with the layout of regulations: paragraphs apart, titles and numbered items, articles with clauses, and a word for each line."""
+    apart = lambda mark: F.replace("text", F.lit(". "), F.lit(mark))
+    k = F.col("doc_id") % 4
+    ruled = F.concat(F.lit("Nội quy "), F.coalesce("source", F.lit("")), F.lit("\n\n\n"), F.replace(apart(".\n2) "), F.lit(", "), F.lit(" - The")))
+    articles = F.concat(F.lit("ĐIỀU LỆ CHUNG\nĐiều 1. Tên\n\n\n"), apart(".\n\n\n3. "), F.lit("\n\n\nChương 2 Khác\n\n\n1. Mục\n\n\n"), F.replace("text", F.lit(" "), F.lit("\r\n\n")))
+    return t.documents.select("doc_id", F.when(k == 1, apart(".\n\n\n")).when(k == 2, ruled).when(k == 3, articles).otherwise(F.col("text")).alias("text"))
+
+
+def _cut_sql(at: str, s: str) -> str:
+    """A text as a list, cut where a pattern of two groups stands, between them."""
+    return f"list_filter(list_transform(string_split(regexp_replace({s}, '{at}', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '')"
+
+
+_CAPITALS = "(length(regexp_replace({0}, '[^A-Za-zÀ-ỹĐđ]', '', 'g')) >= 5 AND regexp_replace({0}, '[^A-Za-zÀ-ỹĐđ]', '', 'g') = upper(regexp_replace({0}, '[^A-Za-zÀ-ỹĐđ]', '', 'g')) AND regexp_replace({0}, '[^A-Za-zÀ-ỹĐđ]', '', 'g') <> lower(regexp_replace({0}, '[^A-Za-zÀ-ỹĐđ]', '', 'g')))"
+_HEADS = "(length({0}) <= 120 AND (regexp_matches({0}, '{1}') OR regexp_matches({2}, '{1}')))"
+_HEADING_SQL = r"(?i)^(Chuong|Muc|Dieu|Khoan|Chương|Mục|Điều|Khoản|Nội quy|Quy định|[0-9]+(\.[0-9]+)*[\).]?|Doi voi|Đối với|Hinh thuc xu phat|Hình thức xử phạt)([^\p{L}\p{N}_]|$)"
+_REPAIRED = f"""laid AS (SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN replace(text, '. ', '.' || repeat(chr(10), 3)) WHEN 2 THEN 'Nội quy ' || coalesce(source, '') || repeat(chr(10), 3) || replace(replace(text, '. ', '.' || chr(10) || '2) '), ', ', ' - The')
+  WHEN 3 THEN 'ĐIỀU LỆ CHUNG' || chr(10) || 'Điều 1. Tên' || repeat(chr(10), 3) || replace(text, '. ', '.' || repeat(chr(10), 3) || '3. ') || repeat(chr(10), 3) || 'Chương 2 Khác' || repeat(chr(10), 3) || '1. Mục' || repeat(chr(10), 3) || replace(text, ' ', chr(13) || chr(10) || chr(10)) ELSE text END AS text FROM documents),
+lined AS (SELECT doc_id, list_transform(string_split(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(9), ' '), chr(10)), lambda x: trim(regexp_replace(x, ' {{2,}}', ' ', 'g'))) AS l FROM laid),
+put AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i, l FROM lined), blocks AS (SELECT doc_id, trim(string_agg(CASE WHEN line = '' THEN '' WHEN (i > 2 AND l[i - 1] = '' AND l[i - 2] = '') OR {_CAPITALS.format("line")} OR regexp_matches(line, '^([-+•]|[0-9]{{1,3}}[.)])\\s+') THEN chr(10) || chr(10) || line ELSE ' ' || line END, '' ORDER BY i), ' ' || chr(10)) AS t FROM put GROUP BY doc_id),
+fixed AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\\s+-\\s+([A-ZÀ-ỴĐ])', chr(10) || chr(10) || '- \\1', 'g'), '\\s+\\+\\s+(Lần|Làm|Tự|[A-ZÀ-ỴĐ])', chr(10) || chr(10) || '+ \\1', 'g') AS t FROM blocks)"""
+
+
+@query(f"WITH {_REPAIRED} SELECT doc_id, sha256(t) AS repaired, length(t) AS n FROM fixed")
+def t23_repaired(t: Tables) -> DataFrame:
+    fixed = _laid_out(t).select("doc_id", chunks.repaired(F.col("text")).alias("t"))
+    return fixed.select("doc_id", F.sha2("t", 256).alias("repaired"), F.length("t").alias("n"))
+
+
+_GREEDY = """{g} AS (SELECT doc_id, i, s, p, 1 AS j, length(w[1]) AS n, 0 AS grp, w, budget FROM {of} WHERE len(w) > 0 UNION ALL SELECT doc_id, i, s, p, j + 1, CASE WHEN n + 1 + length(w[j + 1]) > budget THEN length(w[j + 1]) ELSE n + 1 + length(w[j + 1]) END, CASE WHEN n + 1 + length(w[j + 1]) > budget THEN grp + 1 ELSE grp END, w, budget FROM {g} WHERE j < len(w)),
+{g}_ AS (SELECT doc_id, i, s, p, grp, any_value(budget) AS budget, string_agg(w[j], ' ' ORDER BY j) AS x FROM {g} GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {_REPAIRED}, paragraphs AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '\n{{2,}}'), lambda p: trim(p, ' ' || chr(10))), lambda p: p <> '') AS l FROM fixed), each AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM paragraphs),
+looked AS (SELECT *, {_HEADS.format("x", _HEADING_SQL, FOLD("x"))} AS cand, regexp_matches(x, '^\\(?[0-9]{{1,3}}[.)]\\s+') AS clause, regexp_matches(x, '^[0-9]{{1,3}}[.)]\\s+') AS numbered, regexp_matches(x, '(?i)^(Nội quy|Quy định)([^\\p{{L}}\\p{{N}}_]|$)') AS title, regexp_matches(x, '(?i)^(Điều|Khoản)([^\\p{{L}}\\p{{N}}_]|$)') AS article,
+  length(x) <= 180 AND ({_CAPITALS.format("x")} OR regexp_matches(x, '(?i)^(Chương|Mục|Điều|Khoản)\\s+[0-9]+|^[0-9]{{1,3}}[.)]\\s+')) AS alone FROM each),
+headed AS (SELECT *, cand AND NOT (clause AND coalesce(last_value(CASE WHEN cand AND NOT clause THEN article END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)) AS heads FROM looked),
+titled AS (SELECT *, last_value(CASE WHEN heads AND title THEN x END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS under FROM headed),
+sections AS (SELECT *, last_value(CASE WHEN heads AND NOT title AND numbered AND under IS NOT NULL THEN under || ' — ' || x WHEN heads THEN x END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM titled),
+kept AS (SELECT doc_id, i, x, section, greatest(1, 1200 - CASE WHEN section IS NULL OR starts_with(x, section) THEN 0 ELSE length(section) + 2 END) AS budget FROM sections WHERE NOT (heads AND alone)),
+sentences AS (SELECT doc_id, i, section, budget, unnest(l) AS x, generate_subscripts(l, 1) AS s FROM (SELECT *, CASE WHEN length(x) <= budget THEN [x] ELSE {_cut_sql('([.!?…])(' + chr(92) + 's+[A-ZÀ-ỴĐ0-9"“‘(' + chr(92) + '[' + chr(39) * 2 + '])', 'x')} END AS l FROM kept)),
+clauses AS (SELECT doc_id, i, s, 0 AS p, {_cut_sql('([,;:])(' + chr(92) + 's+)', 'x')} AS w, budget FROM sentences WHERE length(x) > budget), {_GREEDY.format(g="g1", of="clauses")},
+words AS (SELECT doc_id, i, s, grp AS p, list_filter(regexp_split_to_array(x, '\\s+'), lambda v: v <> '') AS w, budget FROM g1_ WHERE length(x) > budget), {_GREEDY.format(g="g2", of="words")},
+parts AS (SELECT doc_id, i, s, 0 AS p, 0 AS q, x FROM sentences WHERE length(x) <= budget UNION ALL SELECT doc_id, i, s, grp, 0, x FROM g1_ WHERE length(x) <= budget UNION ALL SELECT doc_id, i, s, p, grp, x FROM g2_),
+ordered AS (SELECT parts.doc_id, parts.i, s, p, q, parts.x, section, CASE WHEN section IS NULL OR starts_with(parts.x, section) THEN 0 ELSE length(section) + 2 END AS head FROM parts JOIN kept ON kept.doc_id = parts.doc_id AND kept.i = parts.i),
+ended AS (SELECT *, sum(length(x) + 2) OVER (PARTITION BY doc_id ORDER BY i, s, p, q)::BIGINT AS e FROM ordered),
+a AS MATERIALIZED (SELECT doc_id, list(x ORDER BY i, s, p, q) AS x, list(section ORDER BY i, s, p, q) AS sec, list(length(x) ORDER BY i, s, p, q) AS n, list(head ORDER BY i, s, p, q) AS h, list(e ORDER BY i, s, p, q) AS e FROM ended GROUP BY doc_id),
+r AS (SELECT doc_id, 1::BIGINT AS i, 1::BIGINT AS first, NULL::BIGINT AS f, NULL::BIGINT AS l FROM a UNION ALL
+ SELECT doc_id, i, CASE WHEN NOT ends THEN first WHEN other OR NOT (h[k] + e[i - 1] - e[k] + n[k] < 1200 AND h[k] + e[i] - e[k] + n[k] <= 1200) THEN i ELSE k END, CASE WHEN ends THEN first END, CASE WHEN ends THEN i - 1 END FROM (
+  SELECT *, other OR h[first] + e[i] - e[first] + n[first] > 1200 AS ends, coalesce(list_min(list_filter(range(first, i), lambda y: e[i - 1] - e[y] + n[y] <= 150)), i - 1) AS k FROM (
+   SELECT a.*, r.i + 1 AS i, r.first, a.sec[r.i + 1] IS DISTINCT FROM a.sec[r.i] AS other FROM r JOIN a ON a.doc_id = r.doc_id WHERE r.i < len(a.n)))),
+cut AS (SELECT doc_id, f, l FROM r WHERE f IS NOT NULL UNION ALL SELECT r.doc_id, r.first, r.i FROM r JOIN a ON a.doc_id = r.doc_id AND r.i = len(a.n)),
+c AS (SELECT cut.doc_id, f, l, row_number() OVER (PARTITION BY cut.doc_id ORDER BY l, f) AS k, sec[f] AS section, h[f] AS head, e[l] - e[f] + n[f] AS body, coalesce(h[f] = 0 AND x[f] = sec[f] AND l > f, false) AS led, n[f] AS own FROM cut JOIN a ON a.doc_id = cut.doc_id),
+m AS (SELECT doc_id, k, 0::BIGINT AS grp, section, head + body AS n, f, l FROM c WHERE k = 1 UNION ALL SELECT doc_id, k, CASE WHEN joins THEN grp ELSE grp + 1 END, section, CASE WHEN joins THEN before + 2 + rest ELSE head + body END, CASE WHEN joins AND led THEN f + 1 ELSE f END, l FROM (
+ SELECT *, head + body < 250 AND was IS NOT DISTINCT FROM section AND before + 2 + rest <= 1200 AS joins FROM (SELECT c.*, m.grp, m.n AS before, m.section AS was, CASE WHEN c.led THEN c.body - c.own - 2 ELSE c.body END AS rest FROM m JOIN c ON c.doc_id = m.doc_id AND c.k = m.k + 1)))
+SELECT m.doc_id, grp::INTEGER AS chunk_index, any_value(m.section) AS section, CASE WHEN h[min(f)] > 0 THEN any_value(m.section) || chr(10) || chr(10) ELSE '' END || string_agg(array_to_string(x[f:l], chr(10) || chr(10)), chr(10) || chr(10) ORDER BY k) AS chunk FROM m JOIN a ON a.doc_id = m.doc_id GROUP BY m.doc_id, grp, x, h""")
 def t23_t25_chunks(t: Tables) -> DataFrame:
-    return greedy.chunked(t.documents, "doc_id", "text")
+    return chunks.chunked(_laid_out(t), "doc_id", "text")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')), lambda w: len(w) > 0) AS l FROM documents),
+r AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS line, 0::BIGINT AS word, 0::BIGINT AS n, NULL::BIGINT AS out_line, NULL::BIGINT AS out_word, 0::BIGINT AS cuts, l FROM d UNION ALL
+ SELECT doc_id, i, CASE WHEN fresh THEN i ELSE line END, CASE WHEN fresh THEN c * 180 ELSE word END, CASE WHEN fresh THEN m - c * 180 ELSE n + m END, CASE WHEN n > 0 AND fresh THEN line END, CASE WHEN n > 0 AND fresh THEN word END, CASE WHEN fresh THEN c ELSE 0 END, l FROM (
+  SELECT *, n = 0 OR n + m > 200 AS fresh, greatest(0, ceil((m - 200) / 180.0))::BIGINT AS c FROM (SELECT doc_id, i + 1 AS i, line, word, n, len(l[i + 1]) AS m, l FROM r WHERE i < len(l)))),
+w AS (SELECT doc_id, i, 0 AS k, out_line AS line, out_word AS word, i - 1 AS last, l FROM r WHERE out_line IS NOT NULL UNION ALL SELECT doc_id, i, 1 + unnest(range(cuts)), i, unnest(range(cuts)) * 180, -1, l FROM r WHERE cuts > 0 UNION ALL SELECT doc_id, i + 1, 0, line, word, i, l FROM r WHERE i = len(l) AND n > 0)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::INTEGER AS window_index, CASE WHEN last < 0 THEN array_to_string(l[line][word + 1:word + 200], ' ') ELSE array_to_string(list_concat([array_to_string(l[line][word + 1:], ' ')], list_transform(l[line + 1:last], lambda x: array_to_string(x, ' '))), chr(10)) END AS window FROM w""")
 def t27_t28_token_windows(t: Tables) -> DataFrame:
-    return greedy.windowed(t.documents, "doc_id", "text")
+    return chunks.windowed(t.documents, "doc_id", "text")
 
 
 #: Texts of which every third is cut to a few words, so that they are glued; others are repeated until they are too long.

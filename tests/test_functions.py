@@ -137,15 +137,6 @@ def test_repeats_only_count_against_kept_frames_of_the_last_seconds(spark):
     assert got == {0: True, 1: False, 2: True, 3: True, 4: True, 5: True}
 
 
-def test_chunks_hold_their_budget_and_sections():
-    doc = "Intro text. " * 10 + "\nĐiều 1. Tên\n" + "Câu này dài, có nhiều vế; và chữ. " * 100 + "\nĐiều 2. Khác\nNgắn."
-    got = greedy.chunks(doc, lambda b: b.startswith("Điều"))
-    assert {s for s, _ in got} == {"", "Điều 1. Tên", "Điều 2. Khác"} and all(len(c) <= greedy.CHUNK for _, c in got)
-    assert all(c.startswith(s) for s, c in got) and greedy.chunks("", lambda b: False) == []
-    assert [len(w.split()) for w in greedy.token_windows("w " * 450)] == [200, 200, 130]
-    assert greedy.token_windows("a b\n\nc") == ["a b\nc"] and greedy.token_windows("") == []
-
-
 def test_merges(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k long, s string, n long")
     new = spark.createDataFrame([(2, None, None), (3, "c", 3)], "k long, s string, n long")
@@ -193,12 +184,3 @@ def test_ranks_over_all_rows_and_quantiles(spark):
     assert sorted(map(tuple, sequences.quantiles(rows, "k", "v", 0.95, "q").collect())) == [("a", 94), ("b", 9)]
 
 
-def test_layout_of_documents_is_repaired():
-    from lodeworks.operators.greedy import repaired
-
-    assert repaired("a\n\nb  c\td") == "a b c d"
-    assert repaired("a\r\n\r\n\r\nb") == "a\n\nb"
-    assert repaired("lead\nQUY ĐỊNH CHUNG\ntext\n- one\n2) two") == "lead\n\nQUY ĐỊNH CHUNG text\n\n- one\n\n2) two"
-    assert repaired("gồm - Một - hai + Lần ba") == "gồm\n\n- Một - hai\n\n+ Lần ba"
-    assert repaired("gọi 0823 2. Đối với lớp") == "gọi 0823\n\n2. Đối với lớp"
-    assert repaired(" \n\n") == ""
