@@ -31,11 +31,12 @@ def replaced_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
     return old.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new)
 
 
-def index_actions(old: DataFrame, new: DataFrame, key: str, compared: list[str], scope: str) -> DataFrame:
-    """(key, action): insert, update, unchanged, or delete for old rows of the scopes that the new rows cover."""
+def index_actions(old: DataFrame, new: DataFrame, key: str, compared: list[str], scope: str, scopes: DataFrame | None = None) -> DataFrame:
+    """(key, action): insert, update, unchanged, or delete for old rows of the scopes that the new rows cover (``scopes``, where these are
+    not all new rows)."""
     o = old.select(key, F.struct(*compared).alias("o"), F.col(scope).alias("old_scope"))
     n = new.select(key, F.struct(*compared).alias("n"))
-    covered = new.select(F.col(scope).alias("old_scope")).distinct().withColumn("covered", F.lit(True))
+    covered = (new if scopes is None else scopes).select(F.col(scope).alias("old_scope")).distinct().withColumn("covered", F.lit(True))
     both = o.join(covered, "old_scope", "left").join(n, key, "full")
     action = F.when(F.col("o").isNull(), "insert").when(F.col("n").isNull() & F.coalesce("covered", F.lit(False)), "delete").when(F.col("n").isNull(), "out of scope").when(F.col("o") == F.col("n"), "unchanged").otherwise("update")
     return both.select(key, action.alias("action"))

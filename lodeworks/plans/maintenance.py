@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-from ..operators import aliases, entities, merge
+from ..operators import aliases, entities, merge, reconcile
 from ..sources import files
 from ..sources.points import Points
 from .registry import Tables, query
@@ -97,6 +97,21 @@ def e11_index_diff(t: Tables) -> DataFrame:
     return merge.index_actions(old, new, "doc_id", ["h", "v"], "lang")
 
 
+@query("""WITH o AS (SELECT doc_id, sha256(text) AS h, lang FROM documents WHERE doc_id NOT BETWEEN 300 AND 310), n AS (SELECT doc_id, CASE WHEN doc_id BETWEEN 100 AND 140 AND doc_id % 7 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS h, lang FROM documents WHERE doc_id % 5000 NOT IN (20, 21, 23) AND lang IS DISTINCT FROM 'es')
+SELECT doc_id, CASE WHEN o.doc_id IS NULL THEN 'insert' WHEN n.doc_id IS NULL AND o.lang IN (SELECT lang FROM n) THEN 'delete' WHEN n.doc_id IS NULL THEN 'out of scope' ELSE 'update' END AS action FROM o FULL JOIN n USING (doc_id) WHERE o.h IS DISTINCT FROM n.h""")
+def s5_e11_reconciled(t: Tables) -> DataFrame:
+    """What differs between two versions of the documents, found by hash trees over ranges of ids."""
+    from ..session import shared_folder
+
+    folder = f"{shared_folder(t.spark)}/lodeworks/reconcile-{uuid.uuid4().hex}"
+    held = t.documents.select("doc_id", F.sha2("text", 256).alias("h"), F.sha2(F.concat("text", F.lit("!")), 256).alias("changed"), "lang")
+    marked = F.when(F.col("doc_id").between(100, 140) & (F.col("doc_id") % 7 == 0), F.col("changed")).otherwise(F.col("h"))
+    old = held.where(~F.col("doc_id").between(300, 310)).select("doc_id", "h", "lang")
+    new = held.where(~(F.col("doc_id") % 5000).isin(20, 21, 23) & ~F.col("lang").eqNullSafe("es")).select("doc_id", marked.alias("h"), "lang")
+    a, b = (reconcile.snapshot(x, f"{folder}/{n}", "doc_id", ["h"], "lang", width=512) for n, x in (("old", old), ("new", new)))
+    return reconcile.differences(a, b, "doc_id", ["h"], "lang")
+
+
 @query("WITH u AS (SELECT text, min(doc_id) AS first_id, length(text) AS v FROM documents GROUP BY text) SELECT d.doc_id, u.v::INTEGER AS v, d.doc_id = u.first_id AS made FROM documents d JOIN u USING (text)")
 def e12_embed_once(t: Tables) -> DataFrame:
     keyed = t.documents.select("doc_id", "text", F.sha2("text", 256).alias("h"))
