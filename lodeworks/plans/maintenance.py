@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-from ..operators import aliases, entities, merge, reconcile
+from ..operators import aliases, entities, gates, merge, reconcile
 from ..sources import files
 from ..sources.points import Points
 from .registry import Tables, query
+from .texts import FOLD
 
 
 def _posts_old(t: Tables) -> DataFrame:
@@ -119,11 +120,22 @@ def e12_embed_once(t: Tables) -> DataFrame:
     return keyed.select("doc_id", "h").join(once, "h").select("doc_id", "v", (F.col("doc_id") == F.col("first_id")).alias("made"))
 
 
-@query("""SELECT count(*) AS found, count(*) FILTER (WHERE o_orderkey IS NULL) AS created, count(*) FILTER (WHERE o_orderkey IS NOT NULL) AS skipped, count(DISTINCT user_id) AS posts FROM events LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') o ON o_orderkey = event_id""")
+_OBJECTS = "o AS (SELECT page_id, url AS object_key, page_id % 120 AS post, page_id % 3 = 0 AS held, page_id % 120 IN (SELECT doc_id FROM documents WHERE lang <> 'es') AS told FROM pages), r AS (SELECT *, CASE WHEN held THEN 'skipped' WHEN NOT told THEN 'missing' ELSE 'created' END AS outcome FROM o)"
+
+
+def _registered(t: Tables) -> DataFrame:
+    objects = t.pages.select("page_id", F.concat_ws("#", "url", F.col("page_id").cast("string")).alias("object_key"), (F.col("page_id") % 120).alias("post"))
+    return gates.registration(objects, objects.where("page_id % 3 = 0"), t.documents.where("lang <> 'es'").select(F.col("doc_id").alias("post")))
+
+
+@query(f"WITH {_OBJECTS} SELECT count(*) AS found, count_if(outcome = 'created')::BIGINT AS created, count_if(outcome = 'skipped')::BIGINT AS skipped, count_if(outcome = 'missing')::BIGINT AS skipped_missing_metadata, count(DISTINCT CASE WHEN outcome = 'created' THEN post END) AS posts, count(DISTINCT CASE WHEN NOT told THEN post END) AS missing_metadata FROM r")
 def e14_registration(t: Tables) -> DataFrame:
-    held = t.orders.where("o_orderstatus <> 'F'").select("o_orderkey")
-    rows = t.events.join(held, F.col("o_orderkey") == F.col("event_id"), "left")
-    return rows.agg(F.count("*").alias("found"), F.count_if(F.col("o_orderkey").isNull()).alias("created"), F.count("o_orderkey").alias("skipped"), F.countDistinct("user_id").alias("posts"))
+    return gates.registration_report(_registered(t))
+
+
+@query(f"WITH {_OBJECTS} SELECT page_id, post, outcome FROM r")
+def e14_outcomes(t: Tables) -> DataFrame:
+    return _registered(t).select("page_id", "post", "outcome")
 
 
 @query("""WITH a AS (SELECT p_partkey, unnest([p_name, p_brand, p_type]) AS alias, unnest([0, 1, 2]) AS k FROM part), r AS (SELECT lower(alias) AS alias, p_partkey, row_number() OVER (PARTITION BY lower(alias) ORDER BY p_partkey, k) AS n FROM a) SELECT alias, p_partkey AS canonical FROM r WHERE n = 1""")
@@ -169,11 +181,21 @@ def e17_reconciled(t: Tables) -> DataFrame:
     return aliases.reconciled(records, known)
 
 
-@query("""WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS chunk FROM documents), k AS (SELECT doc_id, sha256(chunk) AS id, chunk FROM c)
-SELECT doc_id, count(*) AS chunks, count(*) FILTER (WHERE trim(chunk) = '') AS empty, count(*) - count(DISTINCT id) AS repeated FROM k GROUP BY doc_id""")
+@query("""WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents), k AS (SELECT (doc_id << 24) + pos AS place, CASE WHEN pos % 9 = 8 THEN ' ' ELSE left(sha256(line), 12) END AS id, CASE WHEN doc_id % 13 = 5 THEN '' ELSE doc_id::VARCHAR END AS doc, CASE WHEN pos % 7 = 6 THEN '  ' ELSE line END AS line FROM c),
+f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place) AS n FROM k), r AS (SELECT *, CASE WHEN trim(id) = '' THEN 'missing chunk_id' WHEN n > 1 THEN 'duplicate chunk_id' WHEN doc = '' THEN 'missing document_id' WHEN trim(line) = '' THEN 'empty text' ELSE '' END AS reason FROM f)
+SELECT place, reason, CASE WHEN reason = '' THEN sha256(trim(line)) END AS content_hash, CASE WHEN reason = '' THEN CASE WHEN place % 2 = 0 THEN 'then' ELSE 'now' END END AS created_at FROM r""")
 def e18_chunk_validation(t: Tables) -> DataFrame:
-    c = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("chunk"))
-    return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if(F.trim("chunk") == "").alias("empty"), (F.count("*") - F.countDistinct(F.sha2("chunk", 256))).alias("repeated"))
+    """Lines of documents as chunks, with rows for each reason."""
+    c = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    place = F.shiftleft("doc_id", 24) + F.col("pos")
+    chunks = c.select(
+        place.alias("place"),
+        F.when(F.col("pos") % 9 == 8, " ").otherwise(F.left(F.sha2("line", 256), F.lit(12))).alias("chunk_id"),
+        F.when(F.col("doc_id") % 13 == 5, "").otherwise(F.col("doc_id").cast("string")).alias("document_id"),
+        F.when(F.col("pos") % 7 == 6, "  ").otherwise(F.col("line")).alias("text"),
+        F.when(place % 2 == 0, "then").alias("created_at"),
+    )
+    return gates.checked_chunks(chunks, F.lit("now")).select("place", "reason", "content_hash", "created_at")
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'O')")
@@ -339,21 +361,21 @@ def s25_materialised(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.lower("text").alias("text"), F.lower("source").alias("source"))
 
 
-@query("""WITH p AS (SELECT conv_id, turn, text, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, text) AS before FROM conversations)
-SELECT conv_id, turn, CASE WHEN role <> 'user' THEN 'not a question' WHEN trim(text) = '' THEN 'empty' WHEN length(text) < 30 THEN 'short' WHEN before = 'user' THEN 'repeated' WHEN NOT contains(lower(text), 'a') THEN 'no quote' ELSE '' END AS reason FROM p""")
-def f20_gate(t: Tables) -> DataFrame:
-    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn", "text"))
-    rows = t.conversations.withColumn("before", before)
-    return rows.select(
-        "conv_id",
-        "turn",
-        entities.first_reason(
-            ("not a question", F.col("role") != "user"),
-            ("empty", F.trim("text") == ""),
-            ("short", F.length("text") < 30),
-            ("repeated", F.col("before") == "user"),
-            ("no quote", ~F.contains(F.lower("text"), F.lit("a"))),
-        ).alias("reason"),
-    )
+_QUOTED = "CASE doc_id % 11 WHEN 5 THEN ' ' WHEN 6 THEN 'nowhere to be found' WHEN 7 THEN '»' || replace(substring(text, 3, 50), ' ', ' * ') || '!' WHEN 8 THEN '!!!' ELSE substring(text, 5, 40) END"
 
 
+@query(f"""WITH r AS (SELECT doc_id, text, doc_id % 11 <> 0 AS has_event, CASE doc_id % 11 WHEN 1 THEN '  ' WHEN 2 THEN '!!!' ELSE source END AS name, CASE doc_id % 11 WHEN 3 THEN 'sure' WHEN 4 THEN '0.59' WHEN 9 THEN NULL ELSE '0.6' END AS confidence, {_QUOTED} AS quote FROM documents)
+SELECT doc_id, CASE WHEN NOT has_event THEN 'khong_co_su_kien' WHEN trim(name) = '' THEN 'thieu_ten' WHEN regexp_replace(lower({FOLD('name')}), '[^a-z0-9]', '', 'g') = '' THEN 'ten_khong_tao_duoc_slug' WHEN confidence IS NOT NULL AND try_cast(confidence AS DOUBLE) IS NULL THEN 'do_tin_cay_khong_doc_duoc' WHEN coalesce(try_cast(confidence AS DOUBLE), 0) < 0.6 THEN 'do_tin_cay_thap'
+ WHEN trim(quote) = '' THEN 'thieu_trich_dan' WHEN NOT contains(regexp_replace(lower({FOLD('text')}), '[^a-z0-9]', '', 'g'), regexp_replace(lower({FOLD('quote')}), '[^a-z0-9]', '', 'g')) THEN 'trich_dan_khong_co_trong_bai' ELSE '' END AS reason FROM r""")
+def f20_gate(t: Tables) -> DataFrame:
+    """Events extracted from documents, with rows for each reason and quotes in other letters."""
+    k = F.col("doc_id") % 11
+    rows = t.documents.select(
+        "doc_id",
+        "text",
+        (k != 0).alias("has_event"),
+        F.when(k == 1, "  ").when(k == 2, "!!!").otherwise(F.col("source")).alias("name"),
+        F.when(k == 3, "sure").when(k == 4, "0.59").when(k == 9, None).otherwise("0.6").alias("confidence"),
+        F.expr(_QUOTED).alias("quote"),
+    )
+    return rows.select("doc_id", gates.extraction_reason(*[F.col(c) for c in ("has_event", "name", "confidence", "quote", "text")]).alias("reason"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import hooks, scans
+from ..operators import gates, hooks, scans
 from ..sources import files
 from .registry import Tables, query
 
@@ -85,12 +85,18 @@ def t39_flat_messages(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.array_join(texts, " ")).alias("flat"))
 
 
-@query("SELECT 'media' AS kind, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT 'frame', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT 'no parent', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber, 'frames' AS bucket, l_orderkey || '/' || l_linenumber AS key, o_custkey FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus = 'F')
+SELECT 'media' AS kind, o_custkey AS post, l_orderkey AS parent, key FROM f WHERE o_custkey IS NOT NULL UNION ALL SELECT 'frames', NULL, l_orderkey, l_linenumber::VARCHAR FROM f WHERE o_custkey IS NOT NULL UNION ALL SELECT 'rejected', NULL, l_orderkey, key FROM f WHERE o_custkey IS NULL""")
 def e10_registered_frames(t: Tables) -> DataFrame:
-    parents = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(True).alias("held"))
-    rows = t.lineitem.join(parents, "l_orderkey", "left")
-    made = F.when(F.col("held"), F.array(F.lit("media"), F.lit("frame"))).otherwise(F.array(F.lit("no parent")))
-    return rows.select(F.explode(made).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    """Lines as frames of their orders: the rows made for each, and those without a parent."""
+    media = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("media_id"), F.col("o_custkey").alias("post_id"))
+    key = F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    frames = t.lineitem.select(F.col("l_orderkey").alias("video_media_id"), F.lit("frames").alias("bucket_name"), key.alias("object_key"), (F.col("l_linenumber") * 2.5).alias("timestamp"), F.col("l_linenumber").alias("frame_index"))
+    made = gates.registered_frames(frames, media)
+    none = F.lit(None).cast("long")
+    rows = made["media"].select(F.lit("media").alias("kind"), F.col("post_id").alias("post"), F.col("parent_media_id").alias("parent"), F.col("object_key").alias("key"))
+    rows = rows.unionByName(made["frames"].select(F.lit("frames").alias("kind"), none.alias("post"), F.col("video_media_id").alias("parent"), F.col("frame_index").cast("string").alias("key")))
+    return rows.unionByName(made["rejected"].select(F.lit("rejected").alias("kind"), none.alias("post"), F.col("video_media_id").alias("parent"), F.col("object_key").alias("key")))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 5000 THEN length(text) END AS value, CASE WHEN length(text) > 5000 THEN 'too long' END AS error FROM documents")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import chunks, entities, greedy, intervals
+from ..operators import chunks, entities, gates, greedy, intervals
 from .registry import Tables, query
 from .texts import FOLD
 
@@ -81,9 +81,11 @@ def f14_segment_reasons(t: Tables) -> DataFrame:
     return t.events.groupBy(F.coalesce(intervals.segment_reason(start, end, content), F.lit("fine")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_tax, 1) AS tax, round(l_discount, 4) AS discount FROM lineitem WHERE l_discount >= 0.035")
+@query("""SELECT l_orderkey, l_linenumber, coalesce(p_name, l_partkey::VARCHAR) AS label, round(l_discount * 10 + l_tax / 3, 4) AS confidence, concat_ws(' ', round(l_quantity / 3, 1), round(l_partkey / 7, 1)) AS box FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 20) ON p_partkey = l_partkey WHERE l_discount * 10 + l_tax / 3 >= 0.35""")
 def f16_confident(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_discount >= 0.035").select("l_orderkey", "l_linenumber", F.round("l_tax", 1).alias("tax"), F.round("l_discount", 4).alias("discount"))
+    boxes = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("class_id"), (F.col("l_discount") * 10 + F.col("l_tax") / 3).alias("confidence"), F.array(F.col("l_quantity") / 3, F.col("l_partkey") / 7).alias("box"))
+    found = gates.detections(boxes, t.part.where("p_size > 20").select(F.col("p_partkey").alias("class_id"), F.col("p_name").alias("label")), 0.35)
+    return found.select("l_orderkey", "l_linenumber", "label", "confidence", F.array_join(F.transform("box", lambda x: x.cast("string")), " ").alias("box"))
 
 
 _QUALITY = """q AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 100 AS blur, l_quantity * 5 AS bright, l_tax * 500 AS contrast FROM lineitem)"""
@@ -119,16 +121,39 @@ def f19_persist_guard(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.when(e != "view", e).alias("status"), F.when(~e.isin("view", "error"), F.col("value")).alias("content"))
 
 
-@query("""SELECT p_partkey, concat_ws('; ', CASE WHEN p_size > 40 THEN 'too large' END, CASE WHEN p_retailprice > 1500 THEN 'too dear' END, CASE WHEN NOT regexp_matches(p_brand, '^Brand#[1-4][1-4]$') THEN 'unknown brand' END) AS errors FROM part""")
+#: Parts as media, some of which break each rule.
+_MEDIA = """m AS (SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN ' ' ELSE 'm' || p_partkey END AS media_id, CASE p_partkey % 7 WHEN 0 THEN ' Image' WHEN 1 THEN '' WHEN 2 THEN 'Audio' ELSE 'video' END AS media_type, CASE p_partkey % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN NULL ELSE 'Video/mp4' END AS mime,
+ CASE p_partkey % 6 WHEN 0 THEN 'a/b' || p_partkey || '.MP4' WHEN 1 THEN 'a.b/c' WHEN 2 THEN 'x/y.png/' WHEN 3 THEN NULL WHEN 4 THEN 'z.tar.gz' ELSE '.hidden' END AS source, CASE WHEN p_partkey % 9 > 0 THEN p_size * 30.0 END AS seconds, CASE WHEN p_partkey % 8 > 0 THEN (p_retailprice * 1000)::BIGINT END AS bytes, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 4 > 1 END AS audio FROM part)"""
+_ERRORS = """e AS (SELECT *, lower(trim(media_type)) AS kind, lower(trim(coalesce(mime, ''))) AS mt, lower(regexp_extract(coalesce(source, ''), '[^/](\\.[^./]+)/*$', 1)) AS ext FROM m), f AS (SELECT *, concat_ws('; ', CASE WHEN trim(media_id) = '' THEN 'media_id is required' END, CASE WHEN kind = '' THEN 'media_type is required' END, CASE WHEN kind NOT IN ('', 'video', 'image') THEN 'unsupported media_type: ' || media_type END,
+ CASE WHEN ext <> '' AND NOT (CASE WHEN kind = 'image' THEN ext IN ('.jpg', '.jpeg', '.png', '.webp') ELSE ext IN ('.mp4', '.mov', '.mkv', '.webm', '.avi') END) THEN 'unsupported media extension: ' || ext END, CASE WHEN ext = '' AND mt <> '' AND NOT starts_with(mt, CASE WHEN kind = 'image' THEN 'image/' ELSE 'video/' END) THEN 'unsupported mime_type: ' || mime END,
+ CASE WHEN seconds < 60 THEN 'media duration is below the configured minimum' END, CASE WHEN seconds > 1200 THEN 'media duration exceeds the configured maximum' END, CASE WHEN bytes < 950000 THEN 'media size is below the configured minimum' END, CASE WHEN bytes > 1500000 THEN 'media size exceeds the configured maximum' END, CASE WHEN kind <> 'image' AND audio IS false THEN 'audio track is required by policy' END) AS errors FROM e)"""
+
+
+def _media(t: Tables) -> DataFrame:
+    policy = gates.Policy(least_seconds=60, most_seconds=1200, least_bytes=950_000, most_bytes=1_500_000, audio_required=True)
+    k = F.col("p_partkey")
+    m = t.part.select(
+        "p_partkey",
+        F.when(k % 17 == 0, " ").otherwise(F.concat(F.lit("m"), k.cast("string"))).alias("media_id"),
+        F.when(k % 7 == 0, " Image").when(k % 7 == 1, "").when(k % 7 == 2, "Audio").otherwise("video").alias("media_type"),
+        F.when(k % 5 == 0, "image/png").when(k % 5 > 1, "Video/mp4").alias("mime"),
+        F.when(k % 6 == 0, F.concat(F.lit("a/b"), k.cast("string"), F.lit(".MP4"))).when(k % 6 == 1, "a.b/c").when(k % 6 == 2, "x/y.png/").when(k % 6 == 4, "z.tar.gz").when(k % 6 == 5, ".hidden").alias("source"),
+        F.when(k % 9 > 0, F.col("p_size") * 30.0).alias("seconds"),
+        F.when(k % 8 > 0, F.round(F.col("p_retailprice") * 1000).cast("long")).alias("bytes"),
+        F.when(k % 4 > 0, k % 4 > 1).alias("audio"),
+    )
+    errors = gates.media_errors(*[F.col(c) for c in ("media_id", "media_type", "mime", "source", "seconds", "bytes", "audio")], policy)
+    return m.withColumn("errors", errors).withColumn("route", gates.route(F.col("media_type"), F.col("audio"), F.col("errors"), policy))
+
+
+@query(f"WITH {_MEDIA}, {_ERRORS} SELECT p_partkey, errors FROM f")
 def f21_validation(t: Tables) -> DataFrame:
-    found = F.array_compact(F.array(F.when(F.col("p_size") > 40, "too large"), F.when(F.col("p_retailprice") > 1500, "too dear"), F.when(~F.col("p_brand").rlike("^Brand#[1-4][1-4]$"), "unknown brand")))
-    return t.part.select("p_partkey", F.array_join(found, "; ").alias("errors"))
+    return _media(t).select("p_partkey", F.array_join("errors", "; ").alias("errors"))
 
 
-@query("SELECT p_partkey, p_size > 10 AS keyframes, p_size > 10 AND p_type LIKE '%BRASS' AS speech FROM part")
+@query(f"WITH {_MEDIA}, {_ERRORS} SELECT p_partkey, CASE WHEN errors = '' THEN CASE WHEN kind = 'image' THEN 'image' ELSE 'video' END END AS type, CASE WHEN errors = '' THEN kind <> 'image' END AS keyframes, CASE WHEN errors = '' THEN kind <> 'image' AND audio IS DISTINCT FROM false END AS speech FROM f")
 def f22_route(t: Tables) -> DataFrame:
-    video = F.col("p_size") > 10
-    return t.part.select("p_partkey", video.alias("keyframes"), (video & F.col("p_type").endswith("BRASS")).alias("speech"))
+    return _media(t).select("p_partkey", "route.type", "route.keyframes", "route.speech")
 
 
 @query("""WITH a AS (SELECT event_id, list_filter(list_distinct([year(ts)::BIGINT, user_id + 1995, try_cast('x' AS BIGINT), 2024]), lambda y: y BETWEEN 2000 AND 2100) AS y FROM events) SELECT event_id, array_to_string(list_sort(y), ',') AS years FROM a""")
@@ -149,18 +174,33 @@ def f26_tool_results(t: Tables) -> DataFrame:
     return t.events.select("event_id", tool_result(role, body).alias("kind"), F.when(k > 1, F.get_json_object(body, "$.k")).alias("k"))
 
 
-@query("SELECT p.page_id, coalesce(d.source, 'unknown') AS source, CASE WHEN d.n_chars > 500 THEN 'long' ELSE 'short' END AS kind FROM pages p LEFT JOIN documents d ON d.doc_id = p.page_id")
+@query("""SELECT page_id, CASE WHEN page_id % 4 > 0 THEN n_chars / 1000.0 ELSE 0 END AS score, nullif(CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN 'v' || page_id END, '') AS video_id, CASE WHEN page_id % 5 > 0 THEN page_id * 0.5 END AS timestamp_sec, coalesce(d.source, '') AS caption, '' AS ocr_text,
+CASE WHEN page_id % 7 = 0 THEN 'custom' WHEN page_id % 3 = 1 THEN 'video_frame' ELSE 'image' END AS media_kind FROM pages p LEFT JOIN documents d ON d.doc_id = p.page_id""")
 def f27_citation_fields(t: Tables) -> DataFrame:
+    """Pages as hits whose payloads lack one key or another."""
     rows = t.pages.select(F.col("page_id"), F.col("page_id").alias("doc_id")).join(t.documents, "doc_id", "left")
-    return rows.select("page_id", F.coalesce("source", F.lit("unknown")).alias("source"), F.when(F.col("n_chars") > 500, "long").otherwise("short").alias("kind"))
-
-
-@query("""WITH b AS (SELECT user_id, max(value) FILTER (WHERE event_type = 'click') AS c, max(value) FILTER (WHERE event_type = 'view') AS v FROM events GROUP BY user_id) SELECT user_id, CASE WHEN user_id % 3 = 0 THEN c WHEN user_id % 3 = 1 THEN v ELSE greatest(c, v) END AS top, concat_ws(',', CASE WHEN c IS NULL THEN 'no clicks' END, CASE WHEN v < 150 THEN 'views are weak' END) AS notes FROM b""")
+    k = F.col("page_id")
+    payload = {
+        "video_id": F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit("v"), k.cast("string"))),
+        "timestamp_sec": F.when(k % 5 > 0, (k * 0.5).cast("string")).otherwise("later"),
+        "caption": F.col("source"),
+        "media_kind": F.when(k % 7 == 0, " custom ").when(k % 7 == 1, " "),
+    }
+    hit = gates.citation(F.when(k % 4 > 0, F.coalesce("n_chars", F.lit(0)) / 1000), payload)
+    return rows.select("page_id", hit.alias("h")).select("page_id", "h.score", "h.video_id", "h.timestamp_sec", "h.caption", "h.ocr_text", "h.media_kind")
+
+
+@query("""WITH b AS (SELECT user_id, max(value) FILTER (WHERE event_type = 'click') AS c, max(value) FILTER (WHERE event_type = 'view' AND value < 150) AS v, count_if(event_type = 'purchase' AND value > 100) AS n, list_sort(list_distinct(list(event_type) FILTER (WHERE event_type = 'error'))) AS e FROM events GROUP BY user_id)
+SELECT user_id, CASE WHEN user_id % 4 = 0 THEN c WHEN user_id % 4 = 1 THEN v ELSE greatest(c, v) END AS top, concat_ws('; ', CASE WHEN c IS NULL THEN 'no clicks' END, CASE WHEN n = 0 AND coalesce(len(e), 0) = 0 THEN 'nothing in years 2024, 2025' END, CASE WHEN n = 0 AND coalesce(len(e), 0) = 0 AND user_id % 2 = 0 THEN 'nothing in events x' END, CASE WHEN len(e) > 0 THEN 'failed: error' END) AS notes FROM b""")
 def f30_f31_dispatch(t: Tables) -> DataFrame:
-    e, v, k = F.col("event_type"), F.col("value"), F.col("user_id") % 3
-    b = t.events.groupBy("user_id").agg(F.max(F.when(e == "click", v)).alias("c"), F.max(F.when(e == "view", v)).alias("v"))
-    notes = F.array_compact(F.array(F.when(F.col("c").isNull(), "no clicks"), F.when(F.col("v") < 150, "views are weak")))
-    return b.select("user_id", F.when(k == 0, F.col("c")).when(k == 1, F.col("v")).otherwise(F.greatest("c", "v")).alias("top"), F.array_join(notes, ",").alias("notes"))
+    """Users as questions of four classes to two branches, and what is said of their results."""
+    e, v = F.col("event_type"), F.col("value")
+    b = t.events.groupBy("user_id").agg(F.max(F.when(e == "click", v)).alias("c"), F.max(F.when((e == "view") & (v < 150), v)).alias("v"), F.count_if((e == "purchase") & (v > 100)).alias("n"), F.collect_set(F.when(e == "error", e)).alias("e"))
+    kind = F.concat(F.lit("class"), (F.col("user_id") % 4).cast("string"))
+    top = gates.routed_score(kind, {"clicks": F.col("c"), "views": F.col("v")}, {"clicks": ["class0"], "views": ["class1"]})
+    events = F.when(F.col("user_id") % 2 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    notes = gates.result_notes(F.col("n"), {"no clicks": F.col("c").isNull()}, F.col("e"), F.array(F.lit(2024), F.lit(2025)), events)
+    return b.select("user_id", top.alias("top"), F.array_join(notes, "; ").alias("notes"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 6 THEN 'invalid_frame_index' WHEN l_quantity < 3 THEN 'invalid_timestamp' WHEN l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5) THEN 'missing_frame_image' ELSE '' END AS reason FROM lineitem""")
