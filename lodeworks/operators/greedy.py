@@ -104,12 +104,14 @@ def limited(places: Column, most: int = PER_SCENE) -> Column:
 def transcript_units(segments: DataFrame, key: str) -> DataFrame:
     """Units of merged segments (key, start and end in seconds, text): unit_id, chunk_index, chunk_total, text. A segment of
     LONG_TOKENS words or fewer is one unit; a longer one is cut into windows, which share its time."""
-    each = words(F.col("text"))
-    n = F.size(each)
+    each, n = F.col("words"), F.size("words")
     step = WINDOW_TOKENS - WINDOW_OVERLAP
     begins = F.sequence(F.lit(0), F.greatest(n - WINDOW_OVERLAP - 1, F.lit(0)), F.lit(step))
     parts = F.when(n > LONG_TOKENS, F.transform(begins, lambda i: F.array_join(F.slice(each, i + 1, WINDOW_TOKENS), " "))).when(n > 0, F.array(F.array_join(each, " ")))
     place = F.concat(F.col(key).cast("string"), F.lit(":"), F.format_string("%.3f-%.3f", F.col("start").cast("double"), F.col("end").cast("double")))
-    units = segments.select(key, place.alias("place"), F.size(parts).alias("chunk_total"), F.posexplode(parts).alias("chunk_index", "text"))
+    # one step after the other, so that words and parts are made once
+    split = segments.select(key, place.alias("place"), words(F.col("text")).alias("words"))
+    cut = split.select(key, "place", parts.alias("parts"))
+    units = cut.select(key, "place", F.size("parts").alias("chunk_total"), F.posexplode("parts").alias("chunk_index", "text"))
     unit = F.concat(F.lit("transcript:"), "place", F.when(F.col("chunk_total") > 1, F.concat(F.lit("#"), F.col("chunk_index").cast("string"))).otherwise(""))
     return units.select(key, unit.alias("unit_id"), "chunk_index", "chunk_total", "text")
