@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import HEADING_CHARS, composed, is_heading
+from ..functions.text import HEADING_CHARS, composed, fold_letters, is_heading
 
 #: Fixed values of the chunk and window rules.
 CHUNK, OVERLAP, LEAST = 1200, 150, 250
@@ -40,7 +40,8 @@ def once(c: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def stripped(c: Column) -> Column:
-    return once(c, lambda x: F.when(x.rlike(rf"^{_BLANK}|{_BLANK}\z"), F.regexp_replace(x, rf"^{_BLANK}+|{_BLANK}+\z", "")).otherwise(x))
+    ends = lambda x: F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1)))
+    return once(c, lambda x: F.when(ends(x).rlike(_BLANK), F.regexp_replace(x, rf"^{_BLANK}+|{_BLANK}+\z", "")).otherwise(x))
 
 
 def replaced(c: Column, sign: str, pattern: str, with_: str) -> Column:
@@ -53,24 +54,39 @@ def in_capitals(line: Column) -> Column:
     return F.when(line.rlike("[a-z]"), False).otherwise(capitals)
 
 
-def repaired(text: Column) -> Column:
-    """A document's text without the line breaks of its layout. Each line that is not empty is put after a blank, or, where it begins a block, after
-    an empty line: two empty lines before it, a heading in capitals and a list mark begin one. Then flattened lists are set off. Null is empty."""
-    plain = once(F.coalesce(text, F.lit("")), composed)
-    for old, new in (("\r\n", "\n"), ("\r", "\n"), ("\t", " "), ("\f", " "), ("\x0b", " ")):
-        plain = F.replace(plain, F.lit(old), F.lit(new))
+def _by_line(plain: Column) -> Column:
+    """Blocks where headings in capitals may begin one: each line that is not empty is put after a blank or after an empty line."""
     lines = F.transform(F.split(plain, "\n"), lambda x: stripped(replaced(x, "  ", " {2,}", " ")))
 
     def put(lines: Column) -> Column:
         def one(line: Column, i: Column) -> Column:
             apart = (i >= 2) & (F.get(lines, i - 1) == "") & (F.get(lines, i - 2) == "")
-            begins = F.coalesce(apart, F.lit(False)) | in_capitals(line) | line.rlike(ITEM)
+            begins = F.coalesce(apart, F.lit(False)) | F.left(line, F.lit(5)).rlike(ITEM) | in_capitals(line)
             return F.when(line == "", "").otherwise(F.concat(F.when(begins, "\n\n").otherwise(" "), line))
 
         return F.array_join(F.transform(lines, one), "")
 
-    # the lines are made once and then looked back upon
-    out = stripped(once(lines, put))
+    return stripped(once(lines, put))
+
+
+def _at_once(plain: Column) -> Column:
+    """The same for a text in which no line is in capitals, by a few patterns over the whole of it; \\x01 marks where a block begins."""
+    edge = _BLANK[:-1] + "&&[^\\n]]*"
+    x = stripped(F.regexp_replace(replaced(plain, "  ", " {2,}", " "), f"{edge}\\n{edge}", "\n"))
+    x = F.regexp_replace(x, "\\n{3,}", "\x01")
+    x = F.regexp_replace(x, "[\\n\\x01]+(?=(?:[-+•]|[0-9]{1,3}[.)]) )", "\x01")
+    return F.replace(F.regexp_replace(x, "\\n+", " "), F.lit("\x01"), F.lit("\n\n"))
+
+
+def repaired(text: Column) -> Column:
+    """A document's text without the line breaks of its layout: lines are joined to blocks, which two empty lines, a heading in capitals and a list mark
+    begin. Then flattened lists are set off. Null is empty."""
+    plain = once(F.coalesce(text, F.lit("")), composed)
+    for old, new in (("\r\n", "\n"), ("\r", "\n"), ("\t", " "), ("\f", " "), ("\x0b", " ")):
+        plain = F.replace(plain, F.lit(old), F.lit(new))
+    # a line in capitals has no small letter, and a text with the mark in it cannot be marked
+    odd = r"(?<![^\n])[^a-z\n]{5,}(?![^\n])|\x01"
+    out = once(plain, lambda x: F.when(x.rlike(odd), _by_line(x)).otherwise(_at_once(x)))
     for sign, mark, with_ in SET_OFF:
         out = replaced(out, sign, mark, with_)
     return stripped(out)
@@ -91,9 +107,13 @@ def sectioned(paragraphs: Column) -> Column:
         return once(stripped(F.substring_index(p, "\n", 1)), lambda line: flagged(p, line))
 
     def flagged(p: Column, line: Column) -> Column:
-        short = F.length(line) <= HEADING_CHARS
-        flags = {"heads": is_heading(line), "clause": line.rlike(CLAUSE), "numbered": line.rlike(NUMBERED), "title": line.rlike(TITLE), "article": line.rlike(ARTICLE), "alone": is_alone(p)}
-        return F.struct(p.alias("text"), F.when(short, line).alias("line"), *[F.coalesce(short & f, F.lit(False)).alias(k) for k, f in flags.items()])
+        # most paragraphs are too long or begin with another letter, so that nothing else of them is looked at
+        may = (F.length(line) <= HEADING_CHARS) & fold_letters(F.left(line, F.lit(1))).rlike("[CcMmDdKkNnQqHh0-9]")
+        return once(may & is_heading(line), lambda heads: told(p, line, heads))
+
+    def told(p: Column, line: Column, heads: Column) -> Column:
+        flags = {"clause": line.rlike(CLAUSE), "numbered": line.rlike(NUMBERED), "title": line.rlike(TITLE), "article": line.rlike(ARTICLE), "alone": is_alone(p)}
+        return F.struct(p.alias("text"), F.when(heads, line).alias("line"), heads.alias("heads"), *[(heads & f).alias(k) for k, f in flags.items()])
 
     start = F.struct(none.alias("section"), none.alias("title"), F.lit(False).alias("article"), F.expr("cast(array() as array<struct<section:string,text:string>>)").alias("out"))
 
