@@ -5,12 +5,10 @@ What is decided step by step is decided on lengths alone; texts are put together
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import HEADING_CHARS, composed, fold_letters, is_heading
+from ..functions.text import HEADING_CHARS, composed, fold_letters, is_heading, once
 
 #: Fixed values of the chunk and window rules.
 CHUNK, OVERLAP, LEAST = 1200, 150, 250
@@ -34,11 +32,6 @@ SENTENCE, PART = r"(?<=[.!?…])(?=\s+(?:[A-ZÀ-ỴĐ0-9\"“'‘(\[]))", r"(?<=
 _BLANK = r"[\s\p{Z}\x1C-\x1F\x85]"
 
 
-def once(c: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of ``c``, which is made once however often ``f`` names it."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
-
-
 def stripped(c: Column) -> Column:
     ends = lambda x: F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1)))
     return once(c, lambda x: F.when(ends(x).rlike(_BLANK), F.regexp_replace(x, rf"^{_BLANK}+|{_BLANK}+\z", "")).otherwise(x))
