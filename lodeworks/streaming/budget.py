@@ -35,14 +35,15 @@ def released(at: int, tokens: int, last: int, sent: list[tuple[int, int]], budge
 
 class Waiting(StatefulProcessor):
     """Requests of one key (id, at, tokens) are held until the watermark has passed them, then released in the order of their time; so
-    how they fall into batches does not matter. State: the requests held, the sent ones that count, and the time of the last."""
+    how they fall into batches does not matter. State: the requests held, the sent ones that count, and the time of the last. The store is
+    asked a few times for each key and batch, not for each request, as every call is answered by another process."""
 
     def __init__(self, budget: int, window_seconds: int = WINDOW_SECONDS):
         self.budget, self.window = budget, window_seconds * 1_000_000
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "at long, id long", "tokens long")
+        self.held = handle.getListState("held", "at long, id long, tokens long")
         self.sent = handle.getValueState("sent", "last long, at array<long>, tokens array<long>")
         self.timer = handle.getValueState("timer", "due long")
 
@@ -60,19 +61,17 @@ class Waiting(StatefulProcessor):
             self.timer.update((due,))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        earliest = None
-        for r in rows:
-            if r.id is not None:
-                self.held.updateValue((r.at, r.id), (r.tokens or 0,))
-                earliest = r.at if earliest is None else min(earliest, r.at)
-        if earliest is not None:
-            self._due(earliest)
+        new = [(r.at, r.id, r.tokens or 0) for r in rows if r.id is not None]
+        if new:
+            self.held.appendList(new)
+            self._due(min(at for at, _, _ in new))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         self.timer.clear()
-        every = sorted((k[0], k[1], v[0]) for k, v in self.held.iterator())
+        # a request that came again counts once, as it came last
+        every = sorted((at, id_, tokens) for (at, id_), tokens in {(at, id_): n for at, id_, n in self.held.get()}.items())
         now = [x for x in every if x[0] <= passed]
         last, sent = 0, []
         if self.sent.exists():
@@ -80,12 +79,15 @@ class Waiting(StatefulProcessor):
             sent = list(zip(at, tokens, strict=True))
         for at, id_, tokens in now:
             last, sent = released(at, tokens, last, sent, self.budget, self.window)
-            self.held.removeKey((at, id_))
             yield Row(id=id_, at=at, released=last, tokens=tokens)
         if now:
             self.sent.update((last, [s for s, _ in sent], [n for _, n in sent]))
-        if len(now) < len(every):
-            self._due(every[len(now)][0])
+        rest = every[len(now) :]
+        if rest:
+            self.held.put(rest)
+            self._due(rest[0][0])
+        else:
+            self.held.clear()
 
     def close(self) -> None:
         pass

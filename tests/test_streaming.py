@@ -100,3 +100,32 @@ def test_jobs_are_created_once(spark, tmp_path):
     rows = [(1, START, 1, "view", 0.0, "{}"), (2, START, 1, "view", 0.0, "{}"), (3, START, 2, "error", 0.0, "{}")]
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"file://{tmp_path}/events.parquet")
     assert [tuple(r) for r in jobs.created_jobs(spark, f"file://{tmp_path}").collect()] == [("view", 1)]
+
+
+def test_the_store_is_asked_per_key_not_per_request():
+    from types import SimpleNamespace as N
+
+    from lodeworks.streaming.budget import Waiting
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.value = None
+
+        def __getattr__(self, name):
+            def call(*a):
+                calls.append(name)
+                if name in ("get", "exists"):
+                    return self.value is not None if name == "exists" else self.value if self.value is not None else iter(())
+                self.value = None if name == "clear" else a[0] if a else None
+
+            return call
+
+    state = lambda *a: State()
+    w = Waiting(1000, 60)
+    w.init(N(getMapState=state, getListState=state, getValueState=state, registerTimer=lambda t: None, deleteTimer=lambda t: None))
+    list(w.handleInputRows(("k",), iter([N(id=i % 400, at=i % 400 * 1000, tokens=1) for i in range(500)]), None))
+    out = list(w.handleExpiredTimer(("k",), N(getCurrentWatermarkInMs=lambda: 300), None))
+    assert [r.id for r in out] == list(range(301))
+    assert len(calls) < 20
