@@ -62,15 +62,30 @@ def _by_line(plain: Column) -> Column:
     return stripped(once(lines, put))
 
 
-def _at_once(plain: Column) -> Column:
-    """The same for a text in which no line is in capitals, by a few patterns over the whole of it; \\x01 marks where a block begins."""
+def _at_once(plain: Column, capitals: Column | None = None) -> Column:
+    """The same by a few patterns over the whole of a text, all of whose lines in capitals are in an array; \\x01 marks where a block begins."""
     edge = _BLANK[:-1] + "&&[^\\n]]*"
     x = stripped(F.regexp_replace(replaced(plain, "  ", " {2,}", " "), f"{edge}\\n{edge}", "\n"))
+    if capitals is not None:
+        quoted = F.transform(capitals, lambda c: F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+        before = F.concat(F.lit(r"\n+(?=(?:"), F.array_join(quoted, "|"), F.lit(r")(?:\n|\z))"))
+        x = F.when(F.size(capitals) > 0, F.regexp_replace(x, before, F.lit("\x01"))).otherwise(x)
     x = F.regexp_replace(x, "\\n{3,}", "\x01")
     x = F.regexp_replace(x, "[\\n\\x01]+(?=(?:[-+•]|[0-9]{1,3}[.)]) )", "\x01")
     return F.replace(F.regexp_replace(x, "\\n+", " "), F.lit("\x01"), F.lit("\n\n"))
 
 
+#: Distinct lines in capitals beyond which a text is looked at line by line.
+FEW_CAPITALS = 20
+
+
+def _by_capitals(plain: Column) -> Column:
+    """The same for a text that may have lines in capitals: few of them are found first, with more of them it goes line by line."""
+    lines = F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(?<![^\n])[^a-z\n]{5,}(?![^\n])"), F.lit(0)))
+    found = F.filter(F.transform(lines, lambda x: stripped(replaced(x, "  ", " {2,}", " "))), in_capitals)
+    return once(found, lambda c: F.when(F.contains(plain, F.lit("\x01")) | (F.size(c) > FEW_CAPITALS), _by_line(plain)).otherwise(_at_once(plain, c)))
+
+
 def repaired(text: Column) -> Column:
     """A document's text without the line breaks of its layout: lines are joined to blocks, which two empty lines, a heading in capitals and a list mark
     begin. Then flattened lists are set off. Null is empty."""
@@ -79,7 +94,7 @@ def repaired(text: Column) -> Column:
         plain = F.replace(plain, F.lit(old), F.lit(new))
     # a line in capitals has no small letter, and a text with the mark in it cannot be marked
     odd = r"(?<![^\n])[^a-z\n]{5,}(?![^\n])|\x01"
-    out = once(plain, lambda x: F.when(x.rlike(odd), _by_line(x)).otherwise(_at_once(x)))
+    out = once(plain, lambda x: F.when(x.rlike(odd), _by_capitals(x)).otherwise(_at_once(x)))
     for sign, mark, with_ in SET_OFF:
         out = replaced(out, sign, mark, with_)
     return stripped(out)

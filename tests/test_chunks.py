@@ -108,3 +108,14 @@ def test_a_long_document_takes_its_time_in_proportion(spark):
     frame = spark.createDataFrame([(1, "Một câu ngắn. " * 20_000)], "i long, t string")
     began = time.time()
     assert chunks.chunked(frame, "i", "t").count() > 200 and time.time() - began < 60
+
+
+def test_few_lines_in_capitals_are_found_at_once(spark):
+    given = [
+        "a b\nĐIỀU LỆ CHUNG\nTHE  END.\nTHE  END.\n c\n\nd\n\n\ne", "AAAAA\nb\n AAAAA \nAAAAAB\n12345\nПривет\nПРИВЕТ\nx\n2) y", "q\nA\\EB (C)|D\\Q\nq A\\EB (C)|D\\Q\nz\nA\\EB (C)|D\\Q",
+        "x\n日本語日本語\ny\nABCDE", "ABCDE\x01\nb\nFGHIJ", "\n".join(f"LINE {'A' * i}\nb" for i in range(30)), "ABC\nDE FG\nÉÈÊÂÔ\nß ẞẞẞẞẞ\nß",
+    ]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, t string").orderBy("i")
+    got = rows.select("i", "t", chunks._by_capitals(F.col("t")).alias("a"), chunks._by_line(F.col("t")).alias("b")).collect()
+    for r in got:
+        assert r["a"] == r["b"], r["t"]
