@@ -94,7 +94,7 @@ def shipped(spark: SparkSession) -> None:
 
 
 def handed_back() -> None:
-    """Give the memory that a task has freed back to the machine, since its Python worker outlives it and serves later stages."""
+    """Give the memory that a task has freed (a batch, where one frees much) back to the machine, since its Python worker outlives it and serves later stages."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim is not None:

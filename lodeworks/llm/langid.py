@@ -182,7 +182,7 @@ def identified(docs: DataFrame, model: Model | None, name: str = "predicted") ->
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([predict(t, model) for t in texts], columns=["lang_pred", "score"])
-        handed_back()
+            handed_back()
 
     return docs.withColumn(name, of("text"))
 

@@ -147,7 +147,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 ids = [batch.column(x).take(pa.array(rows)) for x in ("doc_id", "text_hash")]
                 lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, agree)]
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), *lists], ["doc_id", "text_hash", "n", "node", "keys", "agree"])
-        handed_back()
+            handed_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sign, SIGNED)
 

@@ -23,8 +23,9 @@ from __future__ import annotations
 
 import functools
 import heapq
-import struct
 import zlib
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import WORD_PATTERN, Memory, remembered, vocabulary
+from .bpe import Vocabulary, vocabulary, words
 from .common import handed_back, shipped, staged
 
 #: Pieces in a group of rests: bounds the memory and time of one packing, not what is packed.
@@ -43,14 +44,29 @@ SLACK = 0.006
 LEAST, GRAIN = 32, 16
 #: Bits of a sequence's number that name its window within a group.
 WINDOW_BITS = 24
+#: Words of a text that are merged at once, and what stands between them; words that hold it are merged one by one.
+WORDS_AT_ONCE, BETWEEN = 1 << 16, "\0"
 
 
 @functools.lru_cache(maxsize=1)
-def id_memory(path: str) -> Memory:
-    """Kept by a worker from task to task: the ids of each word, as bytes."""
-    vocab = vocabulary(path)
-    library = tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks=vocab.id_of, special_tokens={})
-    return Memory(library.encode_ordinary, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+def merger(path: str) -> tiktoken.Encoding:
+    """Merges each of the words that ``BETWEEN`` stands between; it gives no ids itself."""
+    return tiktoken.Encoding("words", pat_str=f"[^{BETWEEN}]+", mergeable_ranks=vocabulary(path).id_of, special_tokens={})
+
+
+def ids_of(vocab: Vocabulary, library: tiktoken.Encoding, text: str) -> Iterator[bytes]:
+    """The ids of a text, in parts. All words of a part are merged in one call, which takes no longer than to look up
+    each in a memory of words, so a worker need not hold one."""
+    for part, known in vocab.pieces(text):
+        if known is not None:
+            yield np.array([known], "<u4").tobytes()
+            continue
+        found = words(part)
+        for i in range(0, len(found), WORDS_AT_ONCE):
+            some = found[i : i + WORDS_AT_ONCE]
+            for odd, run in groupby(some, lambda w: BETWEEN in w) if BETWEEN in part else [(False, some)]:
+                ids = [x for w in run for x in vocab.merged(w.encode())] if odd else library.encode_ordinary(BETWEEN.join(run))
+                yield np.array(ids, "<u4").tobytes()
 
 
 def cuts(tokens: int, length: int) -> list[tuple[int, int]]:
@@ -165,20 +181,20 @@ def pieces(docs: DataFrame, path: str, length: int, closing: int) -> DataFrame:
     shipped(docs.sparkSession)
 
     def cut(batches):
-        vocab, memory = vocabulary(path), id_memory(path)
+        vocab, library = vocabulary(path), merger(path)
         end = np.array([closing], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 doc = doc.as_py()
-                ids = memoryview(b"".join([*remembered(vocab, memory, text.as_py() or ""), end]))
+                ids = memoryview(b"".join([*ids_of(vocab, library, text.as_py() or ""), end]))
                 tokens = len(ids) // 4
                 for start, n in cuts(tokens, length):
                     marks = crc_marks(ids[4 * start : 4 * (start + n)]) if n < length else [zlib.crc32(ids[4 * start : 4 * (start + n)])]
                     for column, x in zip(rows, (doc, start, n, marks.pop(), tokens, marks), strict=True):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in rows[:5]], pa.array(rows[5], pa.list_(pa.int64()))], [*NAMES, "marks"])
-        handed_back()
+            handed_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, f"{PIECES}, marks array<long>")
 
