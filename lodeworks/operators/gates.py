@@ -156,16 +156,26 @@ def registration_report(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def registered_rows(frames: DataFrame, media: DataFrame) -> DataFrame:
+    """A row for each row that registering frames makes, with its ``kind``: of a frame with a parent in media (media_id, post_id) one of ``media`` and one
+    of ``frames``, with the post_id; of any other one that is ``rejected``. Frames stream past their parents, which are held by hash, so frames are
+    dealt out once and a task does not sort them."""
+    parents = media.select(F.col("media_id").alias("video_media_id"), F.col("post_id"), F.lit(True).alias("parented"))
+    met = frames.join(parents.hint("shuffle_hash"), "video_media_id", "left")
+    kinds = F.when(F.col("parented"), F.array(F.lit("media"), F.lit("frames"))).otherwise(F.array(F.lit("rejected")))
+    return met.withColumn("kind", F.explode(kinds)).drop("parented")
+
+
 def registered_frames(frames: DataFrame, media: DataFrame) -> dict[str, DataFrame]:
     """The rows that registering frames (video_media_id, bucket_name, object_key, timestamp, frame_index) makes: ``media`` (the frame as a medium of its
     parent's post) and ``frames``; those without a parent in media (media_id, post_id) are ``rejected``. A frame's id follows from where it lies."""
-    parents = media.select(F.col("media_id").alias("video_media_id"), F.col("post_id"))
-    id_ = text.point_id(F.concat_ws("/", "bucket_name", "object_key"))
-    made = frames.join(parents, "video_media_id").withColumn("media_id", id_)
+    rows = registered_rows(frames, media)
+    of = {k: rows.where(F.col("kind") == k) for k in ("media", "frames", "rejected")}
+    id_ = text.point_id(F.concat_ws("/", "bucket_name", "object_key")).alias("media_id")
     return {
-        "media": made.select("media_id", "post_id", F.lit("frame").alias("media_type"), "bucket_name", "object_key", F.col("video_media_id").alias("parent_media_id")),
-        "frames": made.select("media_id", "video_media_id", "timestamp", "frame_index"),
-        "rejected": frames.join(parents, "video_media_id", "left_anti"),
+        "media": of["media"].select(id_, "post_id", F.lit("frame").alias("media_type"), "bucket_name", "object_key", F.col("video_media_id").alias("parent_media_id")),
+        "frames": of["frames"].select(id_, "video_media_id", "timestamp", "frame_index"),
+        "rejected": of["rejected"].select(*frames.columns),
     }
 
 

@@ -92,11 +92,9 @@ def e10_registered_frames(t: Tables) -> DataFrame:
     media = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("media_id"), F.col("o_custkey").alias("post_id"))
     key = F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     frames = t.lineitem.select(F.col("l_orderkey").alias("video_media_id"), F.lit("frames").alias("bucket_name"), key.alias("object_key"), (F.col("l_linenumber") * 2.5).alias("timestamp"), F.col("l_linenumber").alias("frame_index"))
-    made = gates.registered_frames(frames, media)
-    none = F.lit(None).cast("long")
-    rows = made["media"].select(F.lit("media").alias("kind"), F.col("post_id").alias("post"), F.col("parent_media_id").alias("parent"), F.col("object_key").alias("key"))
-    rows = rows.unionByName(made["frames"].select(F.lit("frames").alias("kind"), none.alias("post"), F.col("video_media_id").alias("parent"), F.col("frame_index").cast("string").alias("key")))
-    return rows.unionByName(made["rejected"].select(F.lit("rejected").alias("kind"), none.alias("post"), F.col("video_media_id").alias("parent"), F.col("object_key").alias("key")))
+    rows, kind = gates.registered_rows(frames, media), F.col("kind")
+    made = F.when(kind == "frames", F.col("frame_index").cast("string")).otherwise(F.col("object_key"))
+    return rows.select("kind", F.when(kind == "media", F.col("post_id")).alias("post"), F.col("video_media_id").alias("parent"), made.alias("key"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 5000 THEN length(text) END AS value, CASE WHEN length(text) > 5000 THEN 'too long' END AS error FROM documents")
