@@ -75,10 +75,12 @@ def labelled(rows: DataFrame, asked: DataFrame, id_: str, text: str, label: str)
     """(label, id) of the texts that hold, for each group of a label, one of its words, anywhere inside a word of theirs.
     asked: label, grp, word (lower case, without blanks). A word of a text that holds a key word has the key word's first
     letters somewhere: distinct words of texts and key words are joined by those, then compared, then brought back to the
-    texts; there is no product of texts and labels."""
+    texts; there is no product of texts and labels. Words of texts that are shorter than every key word hold none and are left out first."""
     sought = asked.select("word", F.left("word", F.lit(SOUGHT_BY)).alias("gram")).distinct()
+    lengths = sought.groupBy(F.length("gram").alias("n")).agg(F.min(F.length("word")).alias("shortest")).collect()  # SOUGHT_BY rows at most
+    sizes = [r["n"] for r in lengths]
     tokens = rows.select(id_, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"\s+"))).alias("token"))
-    sizes = [r["n"] for r in sought.select(F.length("gram").alias("n")).distinct().collect()]  # SOUGHT_BY values at most
+    tokens = tokens.where(F.length("token") >= min((r["shortest"] for r in lengths), default=0))
 
     def runs(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - (n - 1), F.lit(1))), lambda i: F.substring("token", i, F.lit(n)))
